@@ -114,9 +114,8 @@ def packing_utilisation(batches: DataFrame) -> DataFrame:
 def shape_microbatches(shapes: DataFrame, cell_budget: int, max_tables: int, key: str = "table_id") -> DataFrame:
     """Micro-batches of tables with the same power-of-two shape, small areas first.
 
-    A shape bin may hold most tables, so its members are ranked in pieces cut by the
-    leading characters of a bucket hash is not possible here (order is by key): the
-    corpus index is taken first and bins are ranked along it.
+    A shape bin may hold most tables: tables get their corpus index first, and bins
+    are ranked in pieces of 65,536 consecutive indices.
     """
     indexed = global_ids(shapes, [key], name="_idx")
     binned = indexed.withColumn("col_bin", power_of_two_ceiling("n_cols")).withColumn(

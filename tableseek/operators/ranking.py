@@ -47,7 +47,7 @@ def top_k(
         first = F.row_number().over(Window.partitionBy(*group, "_piece").orderBy(*_cols(order)))
         df = df.withColumn("_first", first).filter(F.col("_first") <= k).drop("_first", "_piece")
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*_cols(order))))
-    return ranked.filter(F.col(rank) <= k)
+    return ranked.filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def ordinal(
@@ -70,6 +70,20 @@ def ordinal(
     )
 
 
+def prefix_sum(
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], weight: str, bucket: Column, name: str = "before"
+) -> DataFrame:
+    """Sum of ``weight`` over the rows that precede in the group's order, bucketed like ``ordinal``."""
+    keys = [*group, "_bucket"]
+    running = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumn("_bucket", bucket).withColumn("_run", F.sum(weight).over(running))
+    sizes = local.groupBy(*keys).agg(F.max("_run").alias("_size"))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    joined = local.join(starts, keys)
+    return joined.withColumn(name, F.col("_start") + F.col("_run") - F.col(weight)).drop("_bucket", "_run", "_start")
+
+
 def hash_ordinal(
     df: DataFrame,
     group: Sequence[str],

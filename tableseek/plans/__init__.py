@@ -3,6 +3,8 @@
 from tableseek.plans import (  # noqa: F401
     batch_queries,
     profile_queries,
+    relation_queries,
+    retrieval_queries,
     sampling_queries,
     text_queries,
 )
