@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def _c(value: str | Column) -> Column:
@@ -69,12 +70,12 @@ def random_projection(vec: str | Column, dim_in: int, dim_out: int, seed: int =
     return project(_c(vec))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def to_half(batch: pd.Series) -> pd.Series:
     """Vector packed as 16-bit floats for storage."""
     return batch.map(lambda v: None if v is None else np.asarray(v, dtype=np.float16).tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def from_half(batch: pd.Series) -> pd.Series:
     return batch.map(lambda b: None if b is None else np.frombuffer(b, dtype=np.float16).astype(np.float32))

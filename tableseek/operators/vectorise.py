@@ -28,7 +28,7 @@ def hashed_token_vectors(strings: DataFrame, column: str, dims: int, seed: int =
     distinct = strings.select(F.col(column).alias("_s")).distinct()
     tokens = distinct.select(T.fingerprint("_s").alias("text_key"), F.explode(T.tokens("_s")).alias("_t"))
     n = hash_number("_t", seed=seed)
-    hashed = tokens.select("text_key", (F.floor(n / 2) % dims).alias("dim"), F.when(n % 2 == 0, 1.0).otherwise(-1.0).alias("_v"))
+    hashed = tokens.select("text_key", (F.shiftright(n, 1) % dims).alias("dim"), F.when(n % 2 == 0, 1.0).otherwise(-1.0).alias("_v"))
     return hashed.groupBy("text_key", "dim").agg(F.sum("_v").alias("value"))
 
 

@@ -2,6 +2,7 @@
 
 from tableseek.plans import (  # noqa: F401
     batch_queries,
+    lineage_queries,
     profile_queries,
     relation_queries,
     retrieval_queries,

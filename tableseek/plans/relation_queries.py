@@ -107,12 +107,13 @@ def fk_verify(spark, d):
 
 @query(
     "fk_eligible",
-    f"WITH {DB_SQL} SELECT o_orderkey, o_custkey FROM ord WHERE o_custkey IS NULL OR o_custkey IN (SELECT c_custkey FROM customer)",
+    f"WITH {DB_SQL} SELECT o_orderkey, coalesce(o_custkey, -1) AS o_custkey FROM ord WHERE o_custkey IS NULL OR o_custkey IN (SELECT c_custkey FROM customer)",
 )
 def fk_eligible(spark, d):
     """Whole tables: NULL customers are exempt, dangling ones go."""
     db = database(spark, d)
-    return R.eligible(db["orders"], FKS[3], db["customer"])
+    kept = R.eligible(db["orders"], FKS[3], db["customer"])
+    return kept.select("o_orderkey", F.coalesce("o_custkey", F.lit(-1)).alias("o_custkey"))
 
 
 @query(
@@ -140,13 +141,14 @@ def _tree(spark, d):
 s AS (SELECT * FROM node ORDER BY md5(concat_ws('|', '42', 'node', id)), id LIMIT 700),
 closed AS (SELECT id, parent_id FROM s WHERE parent_id IS NULL
            UNION ALL SELECT s.id, s.parent_id FROM s JOIN closed c ON s.parent_id = c.id)
-SELECT id, parent_id, (SELECT count(*) FROM s) - (SELECT count(*) FROM closed) AS n_removed FROM closed""",
+SELECT id, coalesce(parent_id, -1) AS parent_id, (SELECT count(*) FROM s) - (SELECT count(*) FROM closed) AS n_removed FROM closed""",
 )
 def fk_prune(spark, d):
     """A self-referencing tree over the customers, sampled and pruned to its closure."""
     sampled = R.sample_database({"node": _tree(spark, d)}, {"node": ["id"]}, [TREE_FK], 700)
     closed, removed = R.prune_to_closure(sampled, [TREE_FK], bound=700)
-    return closed["node"].withColumn("n_removed", F.lit(removed).cast("bigint"))
+    rest = closed["node"].select("id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
+    return rest.withColumn("n_removed", F.lit(removed).cast("bigint"))
 
 
 @query(

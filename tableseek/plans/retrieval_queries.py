@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tableseek.functions import text as T
 from tableseek.functions import vectors as V
-from tableseek.functions.hashing import hash_number
+from tableseek.functions.hashing import hash_key
 from tableseek.operators import batches as B
 from tableseek.operators import candidates as K
 from tableseek.operators import metrics as M
@@ -336,8 +336,6 @@ SELECT query_id, doc_id, score FROM f""",
 )
 def hybrid_ranks(spark, d):
     """The lexical list fused with a second list (seeded order of the matches)."""
-    from tableseek.functions.hashing import hash_key
-
     scores = X.bm25_scores(docs(spark, d), passages(spark, d), "doc_id", "text").select("query_id", "doc_id")
     second = top_k(scores.withColumn("_h", hash_key("query_id", "doc_id")), ["query_id"], ["_h", "doc_id"], 100)
     return M.fuse_ranks([_hits(spark, d), second], "doc_id").withColumn("score", F.round("score", 6))
@@ -388,7 +386,7 @@ SELECT table_id, grain, idx, i AS dim, round(y, 6) AS value FROM m""",
 def pooled_vectors(spark, d):
     pooled = S.pooled_vectors(cell_vecs(spark, d))
     return pooled.select("table_id", "grain", "idx", F.posexplode("vec").alias("dim", "value")).select(
-        "table_id", "grain", "idx", (F.col("dim") + 1).alias("dim"), F.round("value", 6).alias("value")
+        "table_id", "grain", F.col("idx").cast("bigint").alias("idx"), (F.col("dim") + 1).cast("bigint").alias("dim"), F.round("value", 6).alias("value")
     )
 
 
@@ -399,7 +397,7 @@ SELECT vec_id, i AS dim, round(v[i] / greatest(sqrt(list_dot_product(v, v)), 1e-
 )
 def normalized_vectors(spark, d):
     unit = load(spark, d, "embeddings").select("vec_id", F.posexplode(V.l2_normalize("embedding")).alias("dim", "value"))
-    return unit.select("vec_id", (F.col("dim") + 1).alias("dim"), F.round("value", 6).alias("value"))
+    return unit.select("vec_id", (F.col("dim") + 1).cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
 
 
 @query(
@@ -411,7 +409,8 @@ SELECT vec_id, j AS dim, round(sum(y * w) / 4.0, 6) AS value FROM x JOIN s USING
 )
 def random_projection(spark, d):
     projected = load(spark, d, "embeddings").select("vec_id", V.random_projection("embedding", 64, 16).alias("v"))
-    return projected.select("vec_id", F.posexplode("v").alias("dim", "value")).withColumn("value", F.round("value", 6))
+    long = projected.select("vec_id", F.posexplode("v").alias("dim", "value"))
+    return long.select("vec_id", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
 
 
 @query(
