@@ -105,10 +105,10 @@ def ast_lineage(spark, d):
         F.lit('{"from": {"table_units": [["table_unit", '), (k % 4).cast("string"),
         F.lit(']]}, "union": {"from": {"table_units": [["table_unit",'), (k % 3).cast("string"), F.lit("]]}}}"),
     )
-    trees = load(spark, d, "orders").select(k.alias("query_id"), F.lit("one").alias("db_id"), tree.alias("ast"))
-    schemas = load(spark, d, "region").limit(1).select(
-        F.lit("one").alias("db_id"), F.array(*[F.lit(n) for n in ("n0", "n1", "n2")]).alias("table_names")
-    )
+    db = F.concat(F.lit("db"), F.floor(k / 10).cast("string")).alias("db_id")
+    trees = load(spark, d, "orders").select(k.alias("query_id"), db, tree.alias("ast"))
+    names = F.array(*[F.lit(n) for n in ("n0", "n1", "n2")]).alias("table_names")
+    schemas = trees.select("db_id").distinct().select("db_id", names)
     return L.ast_tables(trees, schemas).select("query_id", F.array_join("tables", ",").alias("tables"))
 
 
