@@ -2,6 +2,7 @@
 
 from tableseek.plans import (  # noqa: F401
     batch_queries,
+    corpus_queries,
     io_queries,
     lineage_queries,
     profile_queries,

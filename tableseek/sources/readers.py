@@ -18,18 +18,18 @@ def scan_web_dump(spark: SparkSession, folder: str, pattern: str = "*.json.gz")
     gzip files do not split, so the number of files sets the read parallelism; the good
     rows are spread again before the expensive text work.
     """
-    lines = (
-        spark.read.schema(f"{WEB_LINE}, _bad STRING")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .option("recursiveFileLookup", True)
+    text = (
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .option("ignoreCorruptFiles", True)
-        .json(folder)
-        .select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+        .text(folder)
+        .select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
     )
-    bad = lines.filter(F.col("_bad").isNotNull()).select("_file", F.col("_bad").alias("line"))
-    good = lines.filter(F.col("_bad").isNull()).select("_file", "_line", "relation", "pageTitle")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = text.filter(F.trim("value") != "").withColumn("_r", F.from_json("value", f"{WEB_LINE}, _bad STRING", options))
+    broken = F.col("_r").isNull() | F.col("_r._bad").isNotNull()
+    bad = parsed.filter(broken).select("_file", F.col("value").alias("line"))
+    good = parsed.filter(~broken).select("_file", "_line", "_r.relation", "_r.pageTitle")
     return good, bad
 
 
