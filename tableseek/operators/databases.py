@@ -21,20 +21,23 @@ ROW = ["db_id", "table_name", "rowid"]
 
 def table_levels(tables: DataFrame, fks: DataFrame, max_levels: int = 64) -> tuple[DataFrame, int]:
     """Level of every table: parents below children; tables on cycles share one last level."""
-    edges = fks.filter(F.col("child") != F.col("parent")).select("db_id", F.col("child").alias("table_name"), "parent").distinct()
-    edges = cut_lineage(edges.join(tables.select("db_id", F.col("table_name").alias("parent")).distinct(), ["db_id", "parent"], "left_semi"))
-    waiting = cut_lineage(tables.select("db_id", "table_name").distinct())
+    names = cut_lineage(tables.select("db_id", "table_name").distinct())
+    edges = fks.filter(F.col("child") != F.col("parent")).select("db_id", F.col("child").alias("table_name"), "parent")
+    known = names.withColumnRenamed("table_name", "parent")
+    edges = cut_lineage(edges.distinct().join(known, ["db_id", "parent"], "left_semi"))
     done = None
     for level in range(max_levels):
-        placed = waiting.limit(0) if done is None else done
-        open_edges = edges.join(placed.select("db_id", F.col("table_name").alias("parent")), ["db_id", "parent"], "left_anti")
+        waiting, open_edges = names, edges
+        if done is not None:
+            waiting = names.join(done, ["db_id", "table_name"], "left_anti")
+            placed = done.select("db_id", F.col("table_name").alias("parent"))
+            open_edges = edges.join(placed, ["db_id", "parent"], "left_anti")
         ready = waiting.join(open_edges, ["db_id", "table_name"], "left_anti")
         ready = cut_lineage(ready.withColumn("level", F.lit(level)))
         if ready.isEmpty():
             rest = waiting.withColumn("level", F.lit(level))
             return (rest if done is None else done.unionByName(rest)), level
         done = ready if done is None else done.unionByName(ready)
-        waiting = cut_lineage(waiting.join(ready, ["db_id", "table_name"], "left_anti"))
     raise ValueError(f"foreign-key chains are longer than {max_levels} tables")
 
 
@@ -86,7 +89,7 @@ def sample_databases(rows: DataFrame, fks: DataFrame, max_rows: int, seed: int =
         step = top_k(hashed, ["db_id", "table_name"], ["_h", "rowid"], max_rows, rank="_r").drop("_h", "_r")
         step = cut_lineage(step)
         sampled = step if sampled is None else sampled.unionByName(step)
-    return prune(cut_lineage(sampled), fks)
+    return prune(sampled, fks)
 
 
 def prune(sampled: DataFrame, fks: DataFrame) -> tuple[DataFrame, int]:

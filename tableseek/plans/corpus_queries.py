@@ -13,8 +13,8 @@ from tableseek.operators import metrics as M
 from tableseek.operators import profile as P
 from tableseek.operators.corrupt import value_runs
 from tableseek.operators.impute import impute, value_pools
-from tableseek.operators.ranking import global_ids
-from tableseek.operators.sampling import first_rows, row_sample
+from tableseek.operators.ranking import global_ids, row_in_small_group
+from tableseek.operators.sampling import first_rows, reshuffled_epochs, row_sample
 from tableseek.plans.batch_queries import PLAN_SQL, chunked_questions
 from tableseek.plans.lowering import ORDER_CELLS_SQL, ORDER_ROWS_SQL, QUESTIONS_SQL, catalog, order_cells, order_rows, order_tables, qrels
 from tableseek.plans.registry import load, query
@@ -127,7 +127,8 @@ def database_corpus(spark, d):
     )
     order = ["l_orderkey", "l_partkey", "l_linenumber", "qty"]
     kept = row_sample(lines, ["l_suppkey"], order, 20)
-    ranked = kept.withColumn("row_key", C_row_index(order))
+    # A sampled table holds at most 20 rows.
+    ranked = kept.withColumn("row_key", row_in_small_group(["l_suppkey"], order) - 1)
     cells = ranked.select(
         F.col("l_suppkey").cast("string").alias("table_id"), F.col("row_key").cast("bigint").alias("row_key"),
         F.inline(
@@ -149,13 +150,6 @@ def database_corpus(spark, d):
     return global_ids(docs, ["l_suppkey"], start=90266199)
 
 
-def C_row_index(order):
-    """Natural row position inside one sampled (bounded) supplier table."""
-    from tableseek.operators.ranking import row_in_small_group
-
-    return row_in_small_group(["l_suppkey"], order) - 1
-
-
 @query(
     "imputed_audit",
     f"""WITH {_HOLEY_SQL}
@@ -266,8 +260,6 @@ SELECT epoch, batch // 20 AS shard, count(*) AS n_rows, count(DISTINCT batch) AS
 )
 def batch_shards(spark, d):
     """Two epochs of 60 batches, twenty batches per shard, written partitioned and read back."""
-    from tableseek.operators.sampling import reshuffled_epochs
-
     path = scratch_path(spark, "batches")
     rows = reshuffled_epochs(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", 960, 2)
     batched = rows.withColumn("batch", F.floor(F.col("pos") / 16)).withColumn("shard", F.floor(F.col("batch") / 20))
