@@ -14,12 +14,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableseek.functions.hashing import hash_key, hash_mod
-from tableseek.operators.ranking import hash_ordinal, top_k
+from tableseek.operators.ranking import hash_ordinal, row_in_small_group, top_k
 
 
-def ring(tables: DataFrame, group: Sequence[str], key: str, seed: int = 42) -> DataFrame:
+# Groups up to this many tables are ranked by one window; larger ones in pieces.
+SMALL_GROUP = 100_000
+
+
+def group_sizes(tables: DataFrame, group: Sequence[str]) -> tuple[DataFrame, int]:
+    """Tables per group, and the largest number of them."""
+    sizes = tables.groupBy(*group).agg(F.count("*").alias("_n"))
+    return sizes, sizes.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+
+
+def ring(tables: DataFrame, group: Sequence[str], key: str, largest: int, seed: int = 42) -> DataFrame:
     """Position of every table in the seeded order of its group."""
-    return hash_ordinal(tables.select(*group, key), group, [key], seed, name="_pos")
+    listed = tables.select(*group, key)
+    if largest > SMALL_GROUP:
+        return hash_ordinal(listed, group, [key], seed, name="_pos")
+    rank = row_in_small_group(group, [hash_key(key, seed=seed), key])
+    return listed.withColumn("_pos", (rank - 1).cast("bigint"))
 
 
 def draw_from_ring(
@@ -44,9 +58,9 @@ def hard_negatives(qrels: DataFrame, tables: DataFrame, n: int, seed: int = 42)
     wherever the database has that many.
     """
     usable = tables.filter("n_rows > 0").select("db_id", "table_id")
-    sizes = usable.groupBy("db_id").agg(F.count("*").alias("_n"))
+    sizes, largest = group_sizes(usable, ["db_id"])
     wants = qrels.groupBy("query_id", "db_id").agg((F.count("*") + n).alias("_want"))
-    drawn = draw_from_ring(wants, ring(usable, ["db_id"], "table_id", seed), ["db_id"], sizes, "query_id", seed)
+    drawn = draw_from_ring(wants, ring(usable, ["db_id"], "table_id", largest, seed), ["db_id"], sizes, "query_id", seed)
     free = drawn.join(qrels.select("query_id", "table_id"), ["query_id", "table_id"], "left_anti")
     return top_k(free, ["query_id"], ["_step"], n).drop("_step")
 
@@ -59,8 +73,9 @@ def chunk_distractors(
     A chunk draws 2n tables of the whole corpus, each of its queries keeps n tables of
     that pool from other databases, in the query's own seeded order.
     """
-    placed = ring(tables.withColumn("_all", F.lit(0)), ["_all"], "table_id", seed)
-    sizes = tables.groupBy(F.lit(0).alias("_all")).agg(F.count("*").alias("_n"))
+    whole = tables.withColumn("_all", F.lit(0))
+    sizes, largest = group_sizes(whole, ["_all"])
+    placed = ring(whole, ["_all"], "table_id", largest, seed)
     wants = queries.select("chunk").distinct().select(
         "chunk", F.lit(0).alias("_all"), F.lit(2 * n).cast("bigint").alias("_want")
     )
@@ -87,7 +102,13 @@ def candidate_plan(queries: DataFrame, tables: DataFrame, qrels: DataFrame, n: i
 
 
 def plan_violations(plan: DataFrame, qrels: DataFrame) -> DataFrame:
-    """Queries whose plan lacks a positive, or whose gold is not visible."""
-    hidden = qrels.join(plan, ["query_id", "table_id"], "left_anti").select("query_id", F.lit("hidden_gold").alias("why"))
-    none = plan.groupBy("query_id").agg(F.some("positive").alias("_any")).filter(~F.col("_any"))
-    return hidden.unionByName(none.select("query_id", F.lit("no_positive").alias("why")))
+    """Per query: gold tables the plan hides, and plans without any positive."""
+    met = plan.groupBy("query_id").agg(F.count_if("positive").alias("_met"))
+    gold = qrels.groupBy("query_id").agg(F.count("*").alias("_gold"))
+    both = met.join(gold, "query_id", "full_outer")
+    hidden = F.coalesce("_gold", F.lit(0)) - F.coalesce("_met", F.lit(0))
+    reasons = F.array(
+        F.struct(F.lit("hidden_gold").alias("why"), hidden.alias("n")),
+        F.struct(F.lit("no_positive").alias("why"), (F.col("_met") == 0).cast("bigint").alias("n")),
+    )
+    return both.select("query_id", F.inline(reasons)).filter("n > 0")

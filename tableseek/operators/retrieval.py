@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +51,8 @@ def bm25_scores(
     tokens = lengths.select(key, F.size("_t").alias("_len"), F.explode("_t").alias("term"))
     tf = tokens.join(vocabulary, "term", "left_semi").groupBy(key, "_len", "term").agg(F.count("*").alias("tf"))
 
-    stats = document_stats(docs, text)
-    n_docs, avg_len = stats.select("n_docs").scalar(), stats.select("avg_len").scalar()
+    stats = docs.agg(F.struct(F.count("*").alias("n"), F.avg(F.size(T.tokens(text))).alias("len")).alias("s")).scalar()
+    n_docs, avg_len = stats["n"], stats["len"]
     df = tf.groupBy("term").agg(F.count("*").alias("_df"))
     idf = F.log(1 + (n_docs - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     weights = asked.join(df, "term").select("query_id", "term", (idf * F.col("qtf")).alias("_w"))
@@ -73,26 +74,22 @@ def fetch(hits: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
 def passage_qrels(docs: DataFrame, passages: DataFrame, key: str = "id", text: str = "contents", gram: int = 8) -> DataFrame:
     """(query_id, document) where the passage's whole token sequence occurs in the document.
 
-    Candidates share the hash of the passage's opening gram (shorter passages use their
+    Candidates share the passage's opening gram (shorter passages use their
     whole length); a final check compares the full sequences.
     """
     toks = passages.select("query_id", T.tokens("text").alias("_p")).filter(F.size("_p") > 0)
     opened = toks.select(
-        "query_id", F.least(F.size("_p"), F.lit(gram)).alias("_m"),
-        F.xxhash64(F.concat_ws(" ", F.slice("_p", 1, gram))).alias("_g"),
+        "query_id", F.least(F.size("_p"), F.lit(gram)).alias("_m"), F.array_join(F.slice("_p", 1, gram), " ").alias("_g")
     )
     sizes = [r[0] for r in opened.select("_m").distinct().collect()]  # at most ``gram`` values
-
-    def grams(m: int):
-        starts = F.sequence(F.lit(1), F.size("_t") - m + 1)
-        hashed = F.transform(starts, lambda p: F.xxhash64(F.concat_ws(" ", F.slice("_t", p, m))))
-        hashes = F.when(F.size("_t") >= m, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(hashes, lambda g: F.struct(F.lit(m).alias("_m"), g.alias("_g")))
-
     if not sizes:
         return docs.select(F.lit(None).cast("bigint").alias("query_id"), key).limit(0)
     doc_tokens = docs.select(key, T.tokens(text).alias("_t"))
-    listed = doc_tokens.select(key, F.inline(F.concat(*[grams(m) for m in sizes])))
+    listed = None
+    for m in sizes:
+        grams = NGram(n=m, inputCol="_t", outputCol="_n").transform(doc_tokens)
+        part = grams.select(key, F.lit(m).alias("_m"), F.explode("_n").alias("_g"))
+        listed = part if listed is None else listed.unionByName(part)
     pairs = listed.join(small_or_unhinted(opened), ["_m", "_g"]).select("query_id", key).distinct()
     passage_text = toks.select("query_id", F.concat(F.lit(" "), F.array_join("_p", " "), F.lit(" ")).alias("_ps"))
     doc_text = doc_tokens.select(key, F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")).alias("_ds"))

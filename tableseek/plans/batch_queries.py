@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tableseek.operators import batches as B
 from tableseek.operators import candidates as K
-from tableseek.plans.lowering import ORDER_CELLS_SQL, ORDER_ROWS_SQL, QUESTIONS_SQL, catalog, order_cells, order_rows, qrels, questions
+from tableseek.plans.lowering import ORDER_CELLS_SQL, ORDER_ROWS_SQL, QUESTIONS_SQL, catalog, order_cells, order_rows, questions, stored_gold
 from tableseek.plans.registry import query
 
 N60 = "CAST(('0x' || substr(md5(concat_ws('|', {0})), 1, 15)) AS BIGINT)"
@@ -26,7 +26,8 @@ negatives AS (SELECT query_id, table_id, row_number() OVER (PARTITION BY query_i
     f"WITH {QUESTIONS_SQL}, {RING_SQL} SELECT query_id, table_id, rank FROM negatives WHERE rank <= 3",
 )
 def hard_negatives(spark, d):
-    return K.hard_negatives(qrels(spark, d), catalog(spark, d), 3).select("query_id", "table_id", "rank")
+    tables, gold = stored_gold(spark, d)
+    return K.hard_negatives(gold, tables, 3).select("query_id", "table_id", "rank")
 
 
 PLAN_SQL = f"""
@@ -64,7 +65,8 @@ SELECT p.query_id, p.table_id, p.own, q.table_id IS NOT NULL AS positive
 FROM plan p LEFT JOIN qrels q ON q.query_id = p.query_id AND q.table_id = p.table_id""",
 )
 def candidates_visible(spark, d):
-    plan = K.candidate_plan(chunked_questions(spark, d), catalog(spark, d), qrels(spark, d), 10)
+    tables, gold = stored_gold(spark, d)
+    plan = K.candidate_plan(chunked_questions(spark, d), tables, gold, 10)
     return plan.select("query_id", "table_id", "own", "positive")
 
 
@@ -79,9 +81,9 @@ SELECT why, count(*) AS n FROM (
 )
 def plan_violations(spark, d):
     """Questions without any existing gold table show up as plans without a positive."""
-    gold = qrels(spark, d)
-    plan = K.candidate_plan(chunked_questions(spark, d), catalog(spark, d), gold, 10)
-    return K.plan_violations(plan, gold).groupBy("why").agg(F.count("*").alias("n"))
+    tables, gold = stored_gold(spark, d)
+    plan = K.candidate_plan(chunked_questions(spark, d), tables, gold, 10)
+    return K.plan_violations(plan, gold).groupBy("why").agg(F.sum("n").alias("n"))
 
 
 BATCH_SQL = f"""
@@ -102,7 +104,8 @@ batches AS (SELECT c.batch, p.query_id, c.candidate, c.table_id, q.table_id IS N
 
 
 def _train_batches(spark, d):
-    return B.train_batches(qrels(spark, d), catalog(spark, d), batch_size=8, n_negatives=3)
+    tables, gold = stored_gold(spark, d)
+    return B.train_batches(gold, tables, batch_size=8, n_negatives=3)
 
 
 @query(

@@ -16,7 +16,7 @@ from tableseek.operators.impute import impute, value_pools
 from tableseek.operators.ranking import global_ids, row_in_small_group
 from tableseek.operators.sampling import first_rows, reshuffled_epochs, row_sample
 from tableseek.plans.batch_queries import PLAN_SQL, chunked_questions
-from tableseek.plans.lowering import ORDER_CELLS_SQL, ORDER_ROWS_SQL, QUESTIONS_SQL, catalog, order_cells, order_rows, order_tables, qrels
+from tableseek.plans.lowering import ORDER_CELLS_SQL, ORDER_ROWS_SQL, QUESTIONS_SQL, catalog, order_tables, stored_gold
 from tableseek.plans.registry import load, query
 from tableseek.plans.relation_queries import _HOLEY_SQL, batch_cells, holey_cells
 from tableseek.session import scratch_path
@@ -246,7 +246,8 @@ SELECT round(avg(ap), 6) AS map, round(avg(rr), 6) AS mrr, count(*) AS n_queries
 )
 def masked_ranking(spark, d):
     """Only visible candidates are ranked; the scores are seeded draws."""
-    plan = K.candidate_plan(chunked_questions(spark, d), catalog(spark, d), qrels(spark, d), 10)
+    tables, gold = stored_gold(spark, d)
+    plan = K.candidate_plan(chunked_questions(spark, d), tables, gold, 10)
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("42"), "table_id", F.col("query_id").cast("string"))), 1, 8), 16, 10)
     scores = plan.withColumn("score", draw.cast("bigint") % 1000 / F.lit(1000.0))
     return M.map_mrr(M.per_query_metrics(scores, "table_id"))
@@ -279,7 +280,7 @@ SELECT epoch, query_id, (row_number() OVER (PARTITION BY epoch ORDER BY md5(conc
 )
 def epoch_batches(spark, d):
     """Fresh batches for every epoch."""
-    gold, tables = qrels(spark, d), catalog(spark, d)
+    tables, gold = stored_gold(spark, d)
     epochs = [
         B.train_batches(gold, tables, 8, 3, epoch=e).select(F.lit(e).alias("epoch"), "query_id", "batch").distinct() for e in (0, 1)
     ]

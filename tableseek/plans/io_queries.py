@@ -14,7 +14,7 @@ from tableseek.plans.profile_queries import READINGS_SQL, readings
 from tableseek.plans.registry import load, query
 from tableseek.plans.retrieval_queries import BM25_SQL, METRIC_SQL, judged_hits
 from tableseek.plans.text_queries import _DOC_SQL
-from tableseek.session import scratch_path
+from tableseek.session import materialize, scratch_path
 from tableseek.sources import readers as R
 from tableseek.sources import writers as W
 from tableseek.streaming import jobs as J
@@ -344,7 +344,7 @@ def stream_metrics(spark, d):
     """Per-query results arrive in two waves; the running sums give the overall MAP and MRR."""
     folder = scratch_path(spark, "scored")
     out, checkpoint = J.stream_paths(spark, "metrics")
-    found = M.per_query_metrics(judged_hits(spark, d), "doc_id")
+    found = materialize(M.per_query_metrics(judged_hits(spark, d), "doc_id"), "per-query")
     for wave in (0, 1):
         found.filter(F.col("query_id") % 2 == wave).select("query_id", "ap", "rr").write.mode("append").parquet(folder)
         stream = spark.readStream.schema("query_id bigint, ap double, rr double").parquet(folder)

@@ -18,6 +18,7 @@ from tableseek.functions.text import table_id
 from tableseek.model import MAX_ROWS_PER_TABLE
 from tableseek.operators.ranking import row_in_small_group, top_k
 from tableseek.plans.registry import load
+from tableseek.session import materialize
 
 LINE_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "qty", "ship"]
 HEADERS = ["line_key", "partkey", "suppkey", "quantity", "return_flag", "ship_date"]
@@ -166,3 +167,13 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", "db_id", F.explode(F.array_distinct("required_tables")).alias("table_name")
     )
     return asked.join(catalog(spark, sf_dir), ["db_id", "table_name"]).select("query_id", "db_id", "table_id")
+
+
+def stored_gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Catalog and qrels written once, for plans that read them several times."""
+    tables = materialize(catalog(spark, sf_dir), "catalog")
+    asked = questions(spark, sf_dir).select(
+        "query_id", "db_id", F.explode(F.array_distinct("required_tables")).alias("table_name")
+    )
+    found = asked.join(tables, ["db_id", "table_name"]).select("query_id", "db_id", "table_id")
+    return tables, materialize(found, "qrels")
