@@ -179,6 +179,19 @@ def tokens(text: str | Column) -> Column:
     return F.array_remove(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+"), "")
 
 
+def exploded(df, array: Column, name: str, *keep, position: str | None = None):
+    """One row per element of a computed array.
+
+    The outer form with a NULL test stops the optimizer from testing the array's size
+    below the explode, which would compute the array a second time.
+    """
+    if position is None:
+        rows = df.select(*keep, F.explode_outer(array).alias(name))
+    else:
+        rows = df.select(*keep, F.posexplode_outer(array).alias(position, name))
+    return rows.filter(F.col(name).isNotNull())
+
+
 def first_tokens(text: str | Column, limit: int = 32) -> Column:
     return F.slice(tokens(text), 1, limit)
 

@@ -12,6 +12,7 @@ from tableseek.functions.text import power_of_two_ceiling
 from tableseek.operators.candidates import hard_negatives
 from tableseek.operators.ranking import global_ids, hash_ordinal, ordinal, row_in_small_group
 from tableseek.operators.sampling import one_per_group
+from tableseek.session import materialize
 
 
 def fixed_chunks(df: DataFrame, order: Sequence[str], size: int, name: str) -> DataFrame:
@@ -53,12 +54,15 @@ def train_batches(
     gold = qrels.join(usable.select("table_id"), "table_id", "left_semi")
     pick_seed = seed if epoch is None else f"{seed}e{epoch}"
     positives = one_per_group(gold, ["query_id"], "table_id", seed=pick_seed)
-    placed = hash_ordinal(positives.select("query_id"), [], ["query_id"], seed=pick_seed, name="_pos")
-    placed = placed.select("query_id", F.floor(F.col("_pos") / batch_size).alias("batch"))
-    slots = positives.withColumn("slot", F.lit(0)).unionByName(
-        hard_negatives(gold, usable, n_negatives, seed).select("query_id", "table_id", F.col("rank").alias("slot"))
+    placed = hash_ordinal(positives, [], ["query_id"], seed=pick_seed, name="_pos")
+    batch = F.floor(F.col("_pos") / batch_size).alias("batch")
+    # Every later step starts from the batch assignment, so it is written once.
+    assigned = materialize(placed.select("query_id", "table_id", batch), "batches")
+    placed = assigned.select("query_id", "batch")
+    negatives = hard_negatives(gold, usable, n_negatives, seed).join(placed, "query_id")
+    listed = assigned.withColumn("slot", F.lit(0).cast("bigint")).unionByName(
+        negatives.select("query_id", "table_id", "batch", F.col("rank").alias("slot"))
     )
-    listed = slots.join(placed, "query_id")
     first = listed.groupBy("batch", "table_id").agg(F.min(F.struct("query_id", "slot")).alias("_at"))
     ranked = row_in_small_group(["batch"], [F.col("_at.query_id"), F.col("_at.slot")])
     candidates = first.withColumn("candidate", (ranked - 1).cast("bigint")).drop("_at")

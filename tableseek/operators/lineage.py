@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tableseek.functions.text import is_missing, question_key
+from tableseek.functions.text import exploded, is_missing, question_key
 from tableseek.operators.sampling import keep_first
 from tableseek.session import materialize
 
@@ -87,7 +87,7 @@ def source_names(sql: str | Column) -> Column:
 
 def syntax_tables(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """(query_id, table_name, pos) of catalog tables in FROM and JOIN positions, first mention."""
-    named = queries.select("query_id", "db_id", F.posexplode(source_names("sql")).alias("pos", "_n"))
+    named = exploded(queries, source_names("sql"), "_n", "query_id", "db_id", position="pos")
     low = catalog.select("db_id", "table_name", F.lower("table_name").alias("_low"))
     found = named.withColumn("_low", F.lower("_n")).join(low, ["db_id", "_low"])
     return found.groupBy("query_id", "table_name").agg(F.min("pos").alias("pos"))
@@ -102,9 +102,8 @@ def mentioned_tables(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     scrubbed = queries.select("query_id", "db_id", F.regexp_replace("sql", NOISE_PATTERN, " ").alias("_s"))
     names = catalog.select("db_id", "table_name", F.lower("table_name").alias("_low"))
     plain = names.filter(F.col("_low").rlike(r"^[a-z0-9_]+$"))
-    words = scrubbed.select(
-        "query_id", "db_id", F.explode(F.array_distinct(F.split(F.lower("_s"), r"[^a-z0-9_]+"))).alias("_low")
-    )
+    parts = F.array_distinct(F.split(F.lower("_s"), r"[^a-z0-9_]+"))
+    words = exploded(scrubbed, parts, "_low", "query_id", "db_id")
     by_word = words.join(plain, ["db_id", "_low"]).select("query_id", "table_name")
     other = names.filter(~F.col("_low").rlike(r"^[a-z0-9_]+$"))
     quoted = F.concat(F.lit(r"\Q"), F.col("_low"), F.lit(r"\E"))

@@ -13,8 +13,8 @@ from tableseek.operators.sampling import fill_to_size
 
 def postings(docs: DataFrame, key: str = "id", text: str = "contents") -> DataFrame:
     """term, id, tf and token positions. A posting is bounded by its document."""
-    exploded = docs.select(key, F.posexplode(T.tokens(text)).alias("pos", "term"))
-    return exploded.groupBy("term", key).agg(
+    placed = T.exploded(docs, T.tokens(text), "term", key, position="pos")
+    return placed.groupBy("term", key).agg(
         F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")
     )
 
@@ -30,9 +30,8 @@ def document_stats(docs: DataFrame, text: str = "contents") -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term, qtf over queries(query_id, text)."""
-    return queries.select("query_id", F.explode(T.tokens("text")).alias("term")).groupBy("query_id", "term").agg(
-        F.count("*").alias("qtf")
-    )
+    terms = T.exploded(queries, T.tokens("text"), "term", "query_id")
+    return terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def bm25_scores(
@@ -48,12 +47,13 @@ def bm25_scores(
     asked = query_terms(queries)
     vocabulary = small_or_unhinted(asked.select("term").distinct())
     lengths = docs.select(key, T.tokens(text).alias("_t"))
-    tokens = lengths.select(key, F.size("_t").alias("_len"), F.explode("_t").alias("term"))
+    tokens = T.exploded(lengths, F.col("_t"), "term", key, F.size("_t").alias("_len"))
     tf = tokens.join(vocabulary, "term", "left_semi").groupBy(key, "_len", "term").agg(F.count("*").alias("tf"))
 
     stats = docs.agg(F.struct(F.count("*").alias("n"), F.avg(F.size(T.tokens(text))).alias("len")).alias("s")).scalar()
     n_docs, avg_len = stats["n"], stats["len"]
-    df = tf.groupBy("term").agg(F.count("*").alias("_df"))
+    # Reading tf here keeps both uses of the counts on one shuffle.
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("_df"))
     idf = F.log(1 + (n_docs - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     weights = asked.join(df, "term").select("query_id", "term", (idf * F.col("qtf")).alias("_w"))
     saturation = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / avg_len))
@@ -88,7 +88,7 @@ def passage_qrels(docs: DataFrame, passages: DataFrame, key: str = "id", text: s
     listed = None
     for m in sizes:
         grams = NGram(n=m, inputCol="_t", outputCol="_n").transform(doc_tokens)
-        part = grams.select(key, F.lit(m).alias("_m"), F.explode("_n").alias("_g"))
+        part = T.exploded(grams, F.col("_n"), "_g", key, F.lit(m).alias("_m"))
         listed = part if listed is None else listed.unionByName(part)
     pairs = listed.join(small_or_unhinted(opened), ["_m", "_g"]).select("query_id", key).distinct()
     passage_text = toks.select("query_id", F.concat(F.lit(" "), F.array_join("_p", " "), F.lit(" ")).alias("_ps"))

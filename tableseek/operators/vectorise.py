@@ -26,7 +26,7 @@ def vectoriser(name: str):
 def hashed_token_vectors(strings: DataFrame, column: str, dims: int, seed: int = 42) -> DataFrame:
     """Signed token hashing, computed once per distinct string."""
     distinct = strings.select(F.col(column).alias("_s")).distinct()
-    tokens = distinct.select(T.fingerprint("_s").alias("text_key"), F.explode(T.tokens("_s")).alias("_t"))
+    tokens = T.exploded(distinct, T.tokens("_s"), "_t", T.fingerprint("_s").alias("text_key"))
     n = hash_number("_t", seed=seed)
     hashed = tokens.select("text_key", (F.shiftright(n, 1) % dims).alias("dim"), F.when(n % 2 == 0, 1.0).otherwise(-1.0).alias("_v"))
     return hashed.groupBy("text_key", "dim").agg(F.sum("_v").alias("value"))
@@ -36,7 +36,7 @@ def hashed_token_vectors(strings: DataFrame, column: str, dims: int, seed: int =
 def token_count_vectors(strings: DataFrame, column: str, dims: int, seed: int = 42) -> DataFrame:
     """Unsigned token counts over hashed dimensions."""
     distinct = strings.select(F.col(column).alias("_s")).distinct()
-    tokens = distinct.select(T.fingerprint("_s").alias("text_key"), F.explode(T.tokens("_s")).alias("_t"))
+    tokens = T.exploded(distinct, T.tokens("_s"), "_t", T.fingerprint("_s").alias("text_key"))
     hashed = tokens.select("text_key", (hash_number("_t", seed=seed) % dims).alias("dim"))
     return hashed.groupBy("text_key", "dim").agg(F.count("*").cast("double").alias("value"))
 

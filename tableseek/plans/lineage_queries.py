@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tableseek.operators import lineage as L
 from tableseek.plans.registry import load, query
+from tableseek.session import spread
 
 # Six statement shapes; {a}, {b}, {c} are the order-dependent table names.
 SHAPES = [
@@ -36,7 +37,7 @@ def sql_log(spark, d):
     shape = F.element_at(F.array(*[F.lit(s) for s in SHAPES]), (k % 6 + 1).cast("int"))
     for mark, name in names.items():
         shape = F.replace(shape, F.lit(mark), name)
-    return load(spark, d, "orders").select(
+    return spread(load(spark, d, "orders").select("o_orderkey", "o_orderpriority")).select(
         k.alias("query_id"), F.concat(F.lit("db"), F.floor(k / 10).cast("string")).alias("db_id"),
         shape.alias("sql"), F.concat_ws(" ", "o_orderpriority", F.floor(k / 40).cast("string")).alias("question"),
     )

@@ -18,7 +18,7 @@ from tableseek.functions.text import table_id
 from tableseek.model import MAX_ROWS_PER_TABLE
 from tableseek.operators.ranking import row_in_small_group, top_k
 from tableseek.plans.registry import load
-from tableseek.session import materialize
+from tableseek.session import materialize, spread
 
 LINE_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "qty", "ship"]
 HEADERS = ["line_key", "partkey", "suppkey", "quantity", "return_flag", "ship_date"]
@@ -26,7 +26,10 @@ HEADERS = ["line_key", "partkey", "suppkey", "quantity", "return_flag", "ship_da
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per kept line item: table_id, row_idx and the six text attributes."""
-    li = load(spark, sf_dir, "lineitem").select(
+    lines = load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag"
+    )
+    li = spread(lines).select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",

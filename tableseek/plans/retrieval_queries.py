@@ -15,7 +15,7 @@ from tableseek.operators import scoring as S
 from tableseek.operators.ranking import top_k
 from tableseek.operators.vectorise import hashed_token_vectors
 from tableseek.plans.registry import load, query
-from tableseek.session import materialize
+from tableseek.session import materialize, spread
 
 TOK = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
@@ -25,7 +25,7 @@ def tok_sql(col):
 
 
 def docs(spark, d):
-    return load(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    return spread(load(spark, d, "documents").select("doc_id", "text", "source", "lang"))
 
 
 def passages(spark, d, terms=6):
