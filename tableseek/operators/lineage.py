@@ -96,20 +96,25 @@ def syntax_tables(queries: DataFrame, catalog: DataFrame) -> DataFrame:
 def mentioned_tables(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """(query_id, table_name) of catalog names that occur as a word or quoted outside literals.
 
-    Names of plain words meet the statement by an equi-join on its words; only names
-    with other characters are searched for as text, inside their database.
+    Statements and names meet by an equi-join on (database, word): plain names on the whole
+    name, other names on their first word, followed by a test of the full name. A name
+    without any word character has no such key and is searched for in its database.
     """
-    scrubbed = queries.select("query_id", "db_id", F.regexp_replace("sql", NOISE_PATTERN, " ").alias("_s"))
-    names = catalog.select("db_id", "table_name", F.lower("table_name").alias("_low"))
-    plain = names.filter(F.col("_low").rlike(r"^[a-z0-9_]+$"))
-    parts = F.array_distinct(F.split(F.lower("_s"), r"[^a-z0-9_]+"))
-    words = exploded(scrubbed, parts, "_low", "query_id", "db_id")
-    by_word = words.join(plain, ["db_id", "_low"]).select("query_id", "table_name")
-    other = names.filter(~F.col("_low").rlike(r"^[a-z0-9_]+$"))
-    quoted = F.concat(F.lit(r"\Q"), F.col("_low"), F.lit(r"\E"))
-    pattern = F.concat(F.lit(r"(?<![a-z0-9_])"), quoted, F.lit(r"(?![a-z0-9_])"))
-    by_text = scrubbed.join(other, "db_id").filter(F.regexp_like(F.lower("_s"), pattern)).select("query_id", "table_name")
-    return by_word.unionByName(by_text).distinct()
+    scrubbed = queries.select("query_id", "db_id", F.lower(F.regexp_replace("sql", NOISE_PATTERN, " ")).alias("_s"))
+    words = F.split(F.lower("table_name"), r"[^a-z0-9_]+")
+    names = catalog.select(
+        "db_id", "table_name", F.lower("table_name").alias("_full"), F.get(F.array_remove(words, ""), F.lit(0)).alias("_low")
+    )
+    used = exploded(scrubbed, F.array_distinct(F.split("_s", r"[^a-z0-9_]+")), "_low", "query_id", "db_id")
+    met = used.join(names, ["db_id", "_low"]).select("query_id", "table_name", "_low", "_full")
+    plain = met.filter(F.col("_low") == F.col("_full")).select("query_id", "table_name")
+    bare = names.filter(F.col("_low").isNull())
+    unkeyed = scrubbed.join(bare, "db_id").select("query_id", "table_name", "_s", "_full")
+    keyed = met.filter(F.col("_low") != F.col("_full")).join(scrubbed, "query_id")
+    candidates = keyed.select("query_id", "table_name", "_s", "_full").unionByName(unkeyed)
+    pattern = F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.col("_full"), F.lit(r"\E(?![a-z0-9_])"))
+    found = candidates.filter(F.regexp_like("_s", pattern)).select("query_id", "table_name")
+    return plain.unionByName(found).distinct()
 
 
 def resolve_lineage(queries: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -42,7 +42,8 @@ def top_k(
     group does the same job.
     """
     if k > GROUP_LIMIT_THRESHOLD:
-        piece = F.pmod(F.xxhash64(*_cols(df.columns)), F.lit(pieces))
+        hashable = [c for c, kind in df.dtypes if "map<" not in kind]
+        piece = F.pmod(F.xxhash64(*hashable), F.lit(pieces))
         df = df.withColumn("_piece", piece)
         first = F.row_number().over(Window.partitionBy(*group, "_piece").orderBy(*_cols(order)))
         df = df.withColumn("_first", first).filter(F.col("_first") <= k).drop("_first", "_piece")

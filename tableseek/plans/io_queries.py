@@ -64,7 +64,7 @@ def web_dump_scan(spark, d):
 @query(
     "corpus_scan",
     f"""WITH {_DOC_SQL}
-SELECT table_id AS id, split_part(table_id, '#sep#', 2) AS table_name, 6 AS n_cols, n_rows, 'bird' AS source FROM docs""",
+SELECT table_id AS id, split_part(table_id, '#sep#', 2) AS table_name, CAST(6 AS BIGINT) AS n_cols, n_rows, 'bird' AS source FROM docs""",
 )
 def corpus_scan(spark, d):
     """Corpus lines written as JSON and parsed back to tables."""

@@ -116,6 +116,37 @@ def test_syntax_lineage(spark, sql, want):
     assert got == want
 
 
+def test_mentions_equal_a_name_by_name_scan(spark):
+    import re
+
+    names = ["plain", "two words", "#odd name", "name", "Upper", "a.b", "!!"]
+    texts = [
+        "SELECT plain, name FROM x", "select * from [two  words], [two words]", "xplain UPPER plain_2", "a.b a.bc",
+        "q #odd name 'name'", "!! -- plain", "two wordsy", "",
+    ]
+    catalog = spark.createDataFrame([("d", n) for n in names], "db_id string, table_name string")
+    queries = spark.createDataFrame([(i, "d", t) for i, t in enumerate(texts)], "query_id int, db_id string, sql string")
+    got = {(r["query_id"], r["table_name"]) for r in L.mentioned_tables(queries, catalog).collect()}
+    want = set()
+    for i, text in enumerate(texts):
+        scrubbed = re.sub(r"--[^\n]*|'[^']*'", " ", text)
+        want |= {(i, n) for n in names if re.search(rf"(?<![A-Za-z0-9_]){re.escape(n)}(?![A-Za-z0-9_])", scrubbed, re.I)}
+    assert got == want
+
+
+def test_nearest_centroids_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(40, 5))
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id bigint, vec array<double>")
+    centroids = V.kmeans_centroids(vectors.select("vec"), 4)
+    book = np.stack([r["vec"] for r in centroids.orderBy("centroid").collect()])
+    unit = book / np.linalg.norm(book, axis=1, keepdims=True)
+    got = {}
+    for r in V.nearest_centroids(vectors, centroids, 2).collect():
+        got.setdefault(r["vec_id"], set()).add(r["centroid"])
+    assert {k: v for k, v in got.items()} == {i: set(np.argsort(-(unit @ p))[:2].tolist()) for i, p in enumerate(points)}
+
+
 def test_quoted_keyword_is_a_table(spark):
     catalog = spark.createDataFrame([("d", "from")], "db_id string, table_name string")
     query = spark.createDataFrame([(0, "d", 'SELECT * FROM "from"')], "query_id int, db_id string, sql string")

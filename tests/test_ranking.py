@@ -48,6 +48,11 @@ def test_top_k_keeps_all_of_the_first_k(skewed, collect_rows, k):
     assert collect_rows(got, "g", "id", "rank") == collect_rows(expected, "g", "id", "rank")
 
 
+def test_large_k_takes_rows_with_maps(skewed):
+    mapped = skewed.withColumn("m", F.create_map(F.lit("k"), F.col("v")))
+    assert ranking.top_k(mapped, ["g"], ["v", "id"], 1001).count() == 1001 + skewed.filter("g <> 0").count()
+
+
 def test_top_k_limits_before_the_shuffle(skewed):
     plan = ranking.top_k(skewed, ["g"], ["v", "id"], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
