@@ -276,10 +276,11 @@ def batch_shards(spark, d):
     f"""WITH {QUESTIONS_SQL},
 p AS (SELECT e AS epoch, query_id, table_id, row_number() OVER (PARTITION BY e, query_id ORDER BY md5(concat_ws('|', '42e' || e, query_id, table_id)), table_id) AS r
   FROM qrels, (VALUES (0), (1)) t(e))
-SELECT epoch, query_id, (row_number() OVER (PARTITION BY epoch ORDER BY md5(concat_ws('|', '42e' || epoch, query_id)), query_id) - 1) // 8 AS batch FROM p WHERE r = 1""",
+SELECT * FROM (SELECT epoch, query_id, (row_number() OVER (PARTITION BY epoch ORDER BY md5(concat_ws('|', '42e' || epoch, query_id)), query_id) - 1) // 8 AS batch FROM p WHERE r = 1)
+QUALIFY count(*) OVER (PARTITION BY epoch, batch) >= 2""",
 )
 def epoch_batches(spark, d):
-    """Fresh batches for every epoch."""
+    """Fresh batches for every epoch; a last batch of one query is dropped."""
     tables, gold = stored_gold(spark, d)
     epochs = [
         B.train_batches(gold, tables, 8, 3, epoch=e).select(F.lit(e).alias("epoch"), "query_id", "batch").distinct() for e in (0, 1)
