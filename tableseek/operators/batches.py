@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableseek.functions.hashing import hash_key
 from tableseek.functions.text import power_of_two_ceiling
 from tableseek.operators.candidates import hard_negatives
 from tableseek.operators.ranking import global_ids, hash_ordinal, ordinal, row_in_small_group
