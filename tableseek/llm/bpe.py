@@ -4,23 +4,24 @@ The texts of one slice of a partition form a corpus. Its distinct words (pattern
 array of symbols, and an inverted index leads from each adjacent pair to the positions where it stands. Merges
 are then replayed in rank order: a merge touches only the positions of its pair, joins them from left to right,
 and files the pairs with the two neighbours anew. Each distinct word is therefore encoded once per slice and
-remembered for later slices of the task, however often it occurs. Documents are looked up word by word.
+remembered for later slices of the task, however often it occurs.
 
-No shuffle is needed and memory is bounded by the slice and by `remember` words.
+No shuffle is needed, and memory is bounded by the slice and by REMEMBER stretches.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 4_000_000
-REMEMBER = 200_000
+SLICE_BYTES = 8_000_000
+REMEMBER = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,52 +64,68 @@ class MergeReplay:
         single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         sizes = np.array([len(w) for w in words], np.int64)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        symbol = single[np.frombuffer(b"".join(words), np.uint8)].tolist()
-        n = len(symbol)
-        following = list(range(1, n + 1))
-        preceding = list(range(-1, n - 1))
-        for start in bounds[:-1].tolist():
-            preceding[start] = -1
-        for end in bounds[1:].tolist():
-            following[end - 1] = -1
-        width, index, queue = self.width, {}, []
-
-        def file(at: int, pair: int) -> None:
-            places = index.get(pair)
-            if places is not None:
-                places.append(at)
-                return
-            rank = self.rank_of(pair)
-            if rank >= 0:
-                index[pair] = [at]
-                heapq.heappush(queue, (rank, pair))
-
-        for at in range(n):
-            after = following[at]
-            if after >= 0:
-                file(at, symbol[at] * width + symbol[after])
+        symbol = single[np.frombuffer(b"".join(words), np.uint8)]
+        n, width = len(symbol), self.width
+        following = np.arange(1, n + 1, dtype=np.int32)
+        following[bounds[1:] - 1] = -1
+        preceding = np.arange(-1, n - 1, dtype=np.int32)
+        preceding[bounds[:-1]] = -1
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[tuple[int, int]] = []
+
+        def file(places: np.ndarray, pairs: np.ndarray) -> None:
+            """Adds places to the index; pairs that no merge joins are left out."""
+            order = np.argsort(pairs, kind="stable")
+            places, pairs = places[order], pairs[order]
+            first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+            for pair, low, high in zip(pairs[first].tolist(), first.tolist(), [*first[1:].tolist(), len(pairs)]):
+                rank = self.rank_of(pair)
+                if rank < 0:
+                    continue
+                if pair in index:
+                    index[pair].append(places[low:high])
+                else:
+                    index[pair] = [places[low:high]]
+                    heapq.heappush(queue, (rank, pair))
+
+        start = np.flatnonzero(following >= 0).astype(np.int32)
+        if len(start):
+            file(start, symbol[start] * width + symbol[start + 1])
         while queue:
             rank, pair = heapq.heappop(queue)
             left, right = divmod(pair, width)
-            for at in sorted(index.pop(pair)):
+            found = index.pop(pair)
+            at = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+            after = following[at]
+            good = (symbol[at] == left) & (after >= 0)
+            good &= symbol[np.maximum(after, 0)] == right  # else an earlier merge took one side
+            at, after = at[good], after[good]
+            if left == right and len(at) > 1:  # from left to right: a joined symbol takes part once
+                at = np.sort(at)
+                taken, chosen = -1, []
+                for place, beside in zip(at.tolist(), following[at].tolist()):
+                    if place != taken:
+                        chosen.append(place)
+                        taken = beside
+                at = np.array(chosen, np.int32)
                 after = following[at]
-                if symbol[at] != left or after < 0 or symbol[after] != right:
-                    continue  # an earlier merge took one side
-                symbol[at], symbol[after] = rank, -1
-                beyond = following[after]
-                following[at] = beyond
-                if beyond >= 0:
-                    preceding[beyond] = at
-                    file(at, rank * width + symbol[beyond])
-                before = preceding[at]
-                if before >= 0:
-                    file(before, symbol[before] * width + rank)
-        ids = np.array(symbol, np.int64)
-        kept = ids >= 0
-        places = np.concatenate([[0], np.cumsum(kept)])[bounds]
-        packed = ids[kept].astype("<u4").tobytes()
-        for i, slot in enumerate(slots):
-            out[slot] = packed[4 * places[i] : 4 * places[i + 1]]
+            if not len(at):
+                continue
+            beyond = following[after]
+            symbol[at], symbol[after] = rank, -1
+            following[at] = beyond
+            ahead = beyond >= 0
+            preceding[beyond[ahead]] = at[ahead]
+            before = preceding[at]
+            behind = before >= 0
+            places = np.concatenate([at[ahead], before[behind]])
+            if len(places):
+                file(places, np.concatenate([rank * width + symbol[beyond[ahead]], symbol[before[behind]] * width + rank]))
+        kept = symbol >= 0
+        places = 4 * np.concatenate([[0], np.cumsum(kept)])[bounds]
+        packed = symbol[kept].astype("<u4").tobytes()
+        for slot, low, high in zip(slots, places[:-1].tolist(), places[1:].tolist()):
+            out[slot] = packed[low:high]
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -128,25 +145,42 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
         import regex
 
         replay = MergeReplay(read_ranks(ranks_path))
-        vocabulary = replay.tokens
-        split = regex.compile(pattern).findall
-        known: dict[str, tuple[bytes, bytes]] = {}
+        token = replay.tokens.__getitem__
+        find = regex.compile(pattern).findall
+        text_at = columns.index(text)
+        # A blank before a character that is no white space always begins a word of the pattern. Where a text has no
+        # other blanks, its stretches from blank to blank are encoded once each; else its words are.
+        other_blank = re.compile(r" (?:\s|\Z)").search
+
+        def stretches(value: str) -> list[str]:
+            if not value:
+                return []
+            if other_blank(value):
+                return find(value)
+            first, *rest = value.split(" ")
+            return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+
+        known: dict[str, bytes] = {}
         for batch in batches:
-            texts = batch.column(columns.index(text))
-            size = texts.nbytes / max(1, len(texts))
+            size = batch.column(text_at).nbytes / max(1, batch.num_rows)
             rows = max(1, int(SLICE_BYTES / max(1, size)))
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                pieces = [split(t) if t else [] for t in part.column(columns.index(text)).to_pylist()]
-                fresh = list({w for words in pieces for w in words if w not in known})
+                texts = part.column(text_at).to_pylist()
+                used: set[str] = set()
+                for value in texts:
+                    used.update(stretches(value))
+                fresh = list(used.difference(known))
                 if len(known) + len(fresh) > REMEMBER:
-                    known = {}
-                    fresh = list({w for words in pieces for w in words})
-                for word, ids in zip(fresh, replay.encode([w.encode() for w in fresh])):
-                    known[word] = ids, b"".join([vocabulary[i] for i in np.frombuffer(ids, "<u4").tolist()])
-                coded = [[known[w] for w in words] for words in pieces]
-                ids = [b"".join([c[0] for c in row]) for row in coded]
-                decoded = [b"".join([c[1] for c in row]) for row in coded]
+                    known.clear()
+                    fresh = list(used)
+                pieces = [find(x) for x in fresh]
+                words = list({w for piece in pieces for w in piece})
+                ids_of = dict(zip(words, replay.encode([w.encode() for w in words])))
+                for stretch, piece in zip(fresh, pieces):
+                    known[stretch] = b"".join([ids_of[w] for w in piece])
+                ids = [b"".join([known[x] for x in stretches(value)]) for value in texts]
+                decoded = [b"".join(map(token, np.frombuffer(row, "<u4").tolist())) for row in ids]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(columns.index(c)) for c in keep]
                     + [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
@@ -154,4 +188,3 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
                 )
 
     return docs.select(*columns).mapInArrow(encode, schema)
-
