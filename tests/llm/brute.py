@@ -46,3 +46,35 @@ def repeated_bytes(docs, window):
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         out.append((len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))
     return out
+
+
+def shingles(text, size):
+    w = [x.translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))) for x in words(text)]
+    if not w:
+        return frozenset()
+    return frozenset([tuple(w)]) if len(w) < size else frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+
+
+def near(docs, size, percent=80):
+    """op7: (n_shingles, component) for each (doc_id, text), ids present."""
+    sets = [shingles(t, size) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
+                common = len(a & b)
+                if 100 * common >= percent * (len(a) + len(b) - common):
+                    parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        r = root(i)
+        least[r] = min(d, least.get(r, d))
+    return [(len(sets[i]), least[root(i)]) for i in range(len(docs))]
