@@ -50,7 +50,8 @@ def marked(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Values of all entities in order."""
-    return F.transform(F.slice(F.split(marked(text), LEFT), 2, 2147483647), lambda piece: F.substring_index(piece, RIGHT, 1))
+    pieces = F.split(marked(text), LEFT)
+    return F.transform(F.slice(pieces, 2, F.size(pieces)), lambda piece: F.substring_index(piece, RIGHT, 1))
 
 
 def _draw(secret: Column, i: Column, n: int) -> Column:
@@ -198,7 +199,7 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text", added:
         return F.concat(F.when(kind.isNull(), value).otherwise(surrogate(value, kind, key, tries)), rest)
 
     pieces = F.split(marked(F.col(text)), LEFT)
-    rewritten = F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, 2147483647), rewrite), ""))
+    rewritten = F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), rewrite), ""))
     some = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
     out = source.select(*columns, F.when(some, rewritten).otherwise(F.col(text)).alias("__new"), F.when(some, F.size(pieces) - 1).otherwise(0).cast("long").alias(added))
     return out.select(*[F.col("__new").alias(c) if c == text else F.col(c) for c in columns], added)
