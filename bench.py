@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -19,7 +20,7 @@ HEADLINE = [
     "capped_rows", "split_queries", "fixed_corpus", "fk_closure_sample", "aligned_sample",
     "impute_cyclic", "corrupt_cells", "hard_negatives", "candidates_visible", "train_batches",
     "size_batches", "padding_plan", "map_mrr_multi_model", "info_nce", "dense_candidates",
-    "sql_lineage", "state_changes", "dedupe_questions",
+    "sql_lineage", "state_changes", "dedupe_questions", "nested_corpus", "score_global", "hybrid_ranks", "stream_state_changes",
 ]
 
 
@@ -37,6 +38,8 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "20g",
+            # one machine: a local folder is shared by all its executors
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),
         },
     )
     spark.sparkContext.setLogLevel("OFF")

@@ -14,26 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableseek.functions.hashing import hash_key, hash_mod
-from tableseek.operators.ranking import hash_ordinal, row_in_small_group, top_k
+from tableseek.operators.ranking import hash_ordinal, top_k
 
 
-# Groups up to this many tables are ranked by one window; larger ones in pieces.
-SMALL_GROUP = 100_000
+def group_sizes(tables: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Tables per group."""
+    return tables.groupBy(*group).agg(F.count("*").alias("_n"))
 
 
-def group_sizes(tables: DataFrame, group: Sequence[str]) -> tuple[DataFrame, int]:
-    """Tables per group, and the largest number of them."""
-    sizes = tables.groupBy(*group).agg(F.count("*").alias("_n"))
-    return sizes, sizes.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
-
-
-def ring(tables: DataFrame, group: Sequence[str], key: str, largest: int, seed: int = 42) -> DataFrame:
+def ring(tables: DataFrame, group: Sequence[str], key: str, seed: int = 42) -> DataFrame:
     """Position of every table in the seeded order of its group."""
-    listed = tables.select(*group, key)
-    if largest > SMALL_GROUP:
-        return hash_ordinal(listed, group, [key], seed, name="_pos")
-    rank = row_in_small_group(group, [hash_key(key, seed=seed), key])
-    return listed.withColumn("_pos", (rank - 1).cast("bigint"))
+    return hash_ordinal(tables.select(*group, key), group, [key], seed, name="_pos")
 
 
 def draw_from_ring(
@@ -58,9 +49,9 @@ def hard_negatives(qrels: DataFrame, tables: DataFrame, n: int, seed: int = 42)
     wherever the database has that many.
     """
     usable = tables.filter("n_rows > 0").select("db_id", "table_id")
-    sizes, largest = group_sizes(usable, ["db_id"])
+    sizes = group_sizes(usable, ["db_id"])
     wants = qrels.groupBy("query_id", "db_id").agg((F.count("*") + n).alias("_want"))
-    drawn = draw_from_ring(wants, ring(usable, ["db_id"], "table_id", largest, seed), ["db_id"], sizes, "query_id", seed)
+    drawn = draw_from_ring(wants, ring(usable, ["db_id"], "table_id", seed), ["db_id"], sizes, "query_id", seed)
     free = drawn.join(qrels.select("query_id", "table_id"), ["query_id", "table_id"], "left_anti")
     return top_k(free, ["query_id"], ["_step"], n).drop("_step")
 
@@ -74,8 +65,8 @@ def chunk_distractors(
     that pool from other databases, in the query's own seeded order.
     """
     whole = tables.withColumn("_all", F.lit(0))
-    sizes, largest = group_sizes(whole, ["_all"])
-    placed = ring(whole, ["_all"], "table_id", largest, seed)
+    sizes = group_sizes(whole, ["_all"])
+    placed = ring(whole, ["_all"], "table_id", seed)
     wants = queries.select("chunk").distinct().select(
         "chunk", F.lit(0).alias("_all"), F.lit(2 * n).cast("bigint").alias("_want")
     )

@@ -8,6 +8,8 @@ longest chain of any database and not the number of tables.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +21,14 @@ from tableseek.session import cut_lineage
 ROW = ["db_id", "table_name", "rowid"]
 
 
-def table_levels(tables: DataFrame, fks: DataFrame, max_levels: int = 64) -> tuple[DataFrame, int]:
+def table_levels(tables: DataFrame, fks: DataFrame) -> tuple[DataFrame, int]:
     """Level of every table: parents below children; tables on cycles share one last level."""
     names = cut_lineage(tables.select("db_id", "table_name").distinct())
     edges = fks.filter(F.col("child") != F.col("parent")).select("db_id", F.col("child").alias("table_name"), "parent")
     known = names.withColumnRenamed("table_name", "parent")
     edges = cut_lineage(edges.distinct().join(known, ["db_id", "parent"], "left_semi"))
     done = None
-    for level in range(max_levels):
+    for level in count():
         waiting, open_edges = names, edges
         if done is not None:
             waiting = names.join(done, ["db_id", "table_name"], "left_anti")
@@ -38,7 +40,6 @@ def table_levels(tables: DataFrame, fks: DataFrame, max_levels: int = 64) -> tup
             rest = waiting.withColumn("level", F.lit(level))
             return (rest if done is None else done.unionByName(rest)), level
         done = ready if done is None else done.unionByName(ready)
-    raise ValueError(f"foreign-key chains are longer than {max_levels} tables")
 
 
 def _key(columns: str) -> Column:

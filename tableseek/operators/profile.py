@@ -113,10 +113,10 @@ def size_distribution(shapes: DataFrame, wide: int = 30, long: int = 100) -> Dat
 
 
 def key_columns(cells: DataFrame) -> DataFrame:
-    """Per column of capped tables: key-like flag (declared or by header) and distinct ratio."""
-    counted = cells.groupBy("table_id", "col_idx", "header").agg(
-        F.max("is_foreign_key").alias("is_fk"),
-        F.round(F.size(F.collect_set("cell")) / F.count("*"), 6).alias("distinct_ratio"),
+    """Per column: key-like flag (declared or by header) and distinct ratio. Equal cells are counted first."""
+    values = cells.groupBy("table_id", "col_idx", "header", "cell").agg(F.max("is_foreign_key").alias("_fk"), F.count("*").alias("_n"))
+    counted = values.groupBy("table_id", "col_idx", "header").agg(
+        F.max("_fk").alias("is_fk"), F.round(F.count("cell") / F.sum("_n"), 6).alias("distinct_ratio")
     )
     return counted.withColumn("key_like", F.col("is_fk") | T.is_key_header("header"))
 

@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from tableseek.functions.hashing import hash_key
 from tableseek.session import cut_lineage
 
-# Spark plans a map-side WindowGroupLimit for rank filters up to this k
-# (default of spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT_THRESHOLD = 1000
+# Spark plans a map-side WindowGroupLimit for rank filters up to this k.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
@@ -33,20 +32,16 @@ def row_in_small_group(group: Sequence[str], order: Sequence[str | Column]) -> C
 
 
 def top_k(
-    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], k: int, rank: str = "rank", pieces: int = 64
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], k: int, rank: str = "rank"
 ) -> DataFrame:
     """First k rows of every group, with their 1-based rank.
 
-    Up to the group-limit threshold Spark already keeps only k rows per group and
-    map task before the shuffle. Above it, a first cut inside hashed pieces of the
-    group does the same job.
+    Spark keeps only k rows per group and map task before the shuffle; the session's
+    threshold for that is raised to k where it is lower.
     """
-    if k > GROUP_LIMIT_THRESHOLD:
-        hashable = [c for c, kind in df.dtypes if "map<" not in kind]
-        piece = F.pmod(F.xxhash64(*hashable), F.lit(pieces))
-        df = df.withColumn("_piece", piece)
-        first = F.row_number().over(Window.partitionBy(*group, "_piece").orderBy(*_cols(order)))
-        df = df.withColumn("_first", first).filter(F.col("_first") <= k).drop("_first", "_piece")
+    spark = df.sparkSession
+    if int(spark.conf.get(GROUP_LIMIT, "1000")) < k:
+        spark.conf.set(GROUP_LIMIT, str(k))
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*_cols(order))))
     return ranked.filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("bigint"))
 

@@ -10,16 +10,16 @@ from tableseek.session import spread
 
 # Six statement shapes; {a}, {b}, {c} are the order-dependent table names.
 SHAPES = [
-    "WITH x AS (SELECT * FROM {a} s JOIN {b} c ON s.id = c.id) SELECT 'unused, FROM {c}' FROM x JOIN \"big {c}\" AS r ON r.id = x.id",
-    "SELECT * FROM main.{a} s, [{b}] c WHERE s.id = c.id /* FROM {c} */",
+    "SELECT p.v + q.v FROM {b} p CROSS JOIN {a} q LEFT OUTER JOIN \"big {c}\" USING (k) WHERE q.note <> 'see JOIN {c}'",
+    "SELECT count(*) AS n FROM [{b}] AS p INNER JOIN main.{a} AS q ON p.k = q.k -- later FROM {c}",
     "SELECT max(s.v, 1), (SELECT count(*) FROM {b}) FROM (SELECT * FROM {a}) s -- JOIN {c}",
     "SELECT id FROM `{b}` WHERE id IN (SELECT id FROM {c}) UNION SELECT id FROM {a}",
     "SELECT {a}.v FROM {b}, lateral {c} ORDER BY {a}.v, {b}.v",
     "SELECT 1",
 ]
 EXPECTED = [
-    ("syntax", ["a", "b", "big c"]),
-    ("syntax", ["a", "b"]),
+    ("syntax", ["b", "a", "big c"]),
+    ("syntax", ["b", "a"]),
     ("syntax", ["b", "a"]),
     ("syntax", ["b", "c", "a"]),
     ("mentions", ["a", "b", "c"]),
@@ -76,7 +76,7 @@ def sql_lineage(spark, d):
     return found.select("query_id", "path", F.array_join("tables", ",").alias("tables"))
 
 
-_SYN = [["a", "b", "big c"], ["a", "b"], ["b", "a"], ["b", "c", "a"], ["b", "c"]]
+_SYN = [["b", "a", "big c"], ["b", "a"], ["b", "a"], ["b", "c", "a"], ["b", "c"]]
 
 
 @query(

@@ -1,7 +1,7 @@
 """The given wide tables seen as a corpus of many small tables.
 
-Every order is one table: its line items are the rows (at most 50 kept, chosen in
-hash order), six attributes are the columns, ten consecutive orders form one
+Every order is one table: its line items are the rows, all of them for audits, at most
+50 in hash order where a table must fit one record; six attributes are the columns, ten consecutive orders form one
 database. Blank cells are injected by key modulo, so that missing-value operators
 have work to do. The number of tables grows with the data, their size does not.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tableseek.functions.hashing import hash_key
 from tableseek.functions.text import table_id
 from tableseek.model import MAX_ROWS_PER_TABLE
-from tableseek.operators.ranking import row_in_small_group, top_k
+from tableseek.operators.ranking import ordinal, row_in_small_group, top_k
 from tableseek.plans.registry import load
 from tableseek.session import materialize, spread
 
@@ -24,8 +24,8 @@ LINE_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "qty", "ship"]
 HEADERS = ["line_key", "partkey", "suppkey", "quantity", "return_flag", "ship_date"]
 
 
-def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per kept line item: table_id, row_idx and the six text attributes."""
+def order_rows(spark: SparkSession, sf_dir: str, max_rows: int | None = MAX_ROWS_PER_TABLE) -> DataFrame:
+    """One row per kept line item: table_id, row_idx and the six text attributes. None keeps all."""
     lines = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag"
     )
@@ -41,13 +41,19 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("l_returnflag"))
         .alias("flag"),
     )
-    keyed = li.withColumn("_h", hash_key("l_orderkey", *LINE_KEY))
-    kept = top_k(keyed, ["l_orderkey"], ["_h", *LINE_KEY, "flag"], MAX_ROWS_PER_TABLE)
+    order = [*LINE_KEY, "flag"]
+    if max_rows is None:
+        # a table of any size: its rows are ranked in runs of line numbers
+        kept = ordinal(li, ["l_orderkey"], order, F.floor(F.col("l_linenumber") / 64), "row_idx")
+    else:
+        keyed = li.withColumn("_h", hash_key("l_orderkey", *LINE_KEY))
+        kept = top_k(keyed, ["l_orderkey"], ["_h", *order], max_rows)
+        kept = kept.withColumn("row_idx", row_in_small_group(["l_orderkey"], order) - 1)
     db = F.concat(F.lit("db"), F.floor(F.col("l_orderkey") / 10).cast("string"))
     return kept.select(
         table_id(db, F.concat(F.lit("order"), F.col("l_orderkey").cast("string"))).alias("table_id"),
         "l_orderkey",
-        (row_in_small_group(["l_orderkey"], [*LINE_KEY, "flag"]) - 1).alias("row_idx"),
+        F.col("row_idx").cast("int").alias("row_idx"),
         F.col("l_linenumber").cast("string").alias("line_key"),
         F.col("l_partkey").cast("string").alias("partkey"),
         F.col("l_suppkey").cast("string").alias("suppkey"),
@@ -77,9 +83,12 @@ order_rows AS (
   FROM kept WHERE hr <= 50)"""
 
 
-def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+ALL_ROWS_SQL = ORDER_ROWS_SQL.replace(" WHERE hr <= 50", "")
+
+
+def order_cells(spark: SparkSession, sf_dir: str, max_rows: int | None = MAX_ROWS_PER_TABLE) -> DataFrame:
     """Long form: table_id, col_idx, row_idx, header, cell."""
-    rows = order_rows(spark, sf_dir)
+    rows = order_rows(spark, sf_dir, max_rows)
     cells = F.array(
         *[
             F.struct(F.lit(i).alias("col_idx"), F.lit(h).alias("header"), F.col(h).alias("cell"))
@@ -100,6 +109,9 @@ ORDER_CELLS_SQL = (
 )
 
 
+ALL_CELLS_SQL = ORDER_CELLS_SQL.replace(" WHERE hr <= 50", "")
+
+
 def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested form: table_id, table_name, columns. At most 50 rows are gathered per table."""
     rows = order_rows(spark, sf_dir)

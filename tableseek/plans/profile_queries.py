@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tableseek.functions import text as T
-from tableseek.operators import cells as C
 from tableseek.operators import profile as P
 from tableseek.operators.resolution import classify_questions
 from tableseek.plans.lowering import (
-    ORDER_CELLS_SQL,
+    ALL_CELLS_SQL,
     QUESTIONS_SQL,
     catalog,
     order_cells,
-    order_tables,
     qrels,
     questions,
 )
@@ -91,13 +89,13 @@ def all_null_columns(spark, d):
 
 @query(
     "imputation_audit",
-    f"""WITH {ORDER_CELLS_SQL}
+    f"""WITH {ALL_CELLS_SQL}
 SELECT table_id, col_idx, header, count(*) AS n_cells, count(*) FILTER (WHERE trim(cell) = '') AS n_empty,
   round(100.0 * count(*) FILTER (WHERE trim(cell) = '') / count(*), 4) AS empty_pct
 FROM order_cells GROUP BY table_id, col_idx, header HAVING count(*) FILTER (WHERE trim(cell) = '') > 0""",
 )
 def imputation_audit(spark, d):
-    return P.empty_cells(order_cells(spark, d))
+    return P.empty_cells(order_cells(spark, d, None))
 
 
 _DIV_COLS = ["o_custkey", "o_orderstatus", "o_orderpriority", "o_day", "o_clerk"]
@@ -127,28 +125,28 @@ def random_values(spark, d):
 
 @query(
     "size_distribution",
-    f"""WITH {ORDER_CELLS_SQL},
+    f"""WITH {ALL_CELLS_SQL},
 s AS (SELECT table_id, count(DISTINCT row_idx) AS n_rows, count(DISTINCT col_idx) AS n_cols FROM order_cells GROUP BY 1)
 SELECT count(*) AS n_tables, min(n_rows) AS min_rows, max(n_rows) AS max_rows, round(avg(n_rows), 6) AS mean_rows,
   min(n_cols) AS min_cols, max(n_cols) AS max_cols, round(avg(n_cols), 6) AS mean_cols,
   count(*) FILTER (WHERE n_cols > 5) AS n_wide, count(*) FILTER (WHERE n_rows > 8) AS n_long FROM s""",
 )
 def size_distribution(spark, d):
-    shapes = order_tables(spark, d).select(
-        T.shortest_column("columns").cast("bigint").alias("n_rows"), F.size("columns").cast("bigint").alias("n_cols")
-    )
+    cells = order_cells(spark, d, None)
+    shapes = cells.groupBy("table_id").agg((F.max("row_idx") + 1).cast("bigint").alias("n_rows"), (F.max("col_idx") + 1).cast("bigint").alias("n_cols"))
     return P.size_distribution(shapes, wide=5, long=8)
 
 
 @query(
     "key_share",
-    f"""WITH {ORDER_CELLS_SQL},
+    f"""WITH {ALL_CELLS_SQL},
 c AS (SELECT table_id, col_idx, header, round(count(DISTINCT cell) / count(*), 6) AS distinct_ratio FROM order_cells GROUP BY ALL)
 SELECT header, count(*) AS n_columns, count(*) FILTER (WHERE header IN ('partkey', 'suppkey', 'line_key')) AS n_key_like,
   round(avg(distinct_ratio), 4) AS mean_ratio FROM c GROUP BY header""",
 )
 def key_share(spark, d):
-    columns = P.key_columns(C.explode_tables(order_tables(spark, d)))
+    cells = order_cells(spark, d, None).withColumn("is_foreign_key", F.col("header").isin("partkey", "suppkey"))
+    columns = P.key_columns(cells)
     return columns.groupBy("header").agg(
         F.count("*").alias("n_columns"),
         F.count_if("key_like").alias("n_key_like"),

@@ -13,7 +13,7 @@ from tableseek.operators import resolution as Q
 from tableseek.operators.corrupt import corrupt_cells
 from tableseek.operators.impute import impute
 from tableseek.operators.structure import hyperedges, visible_cells
-from tableseek.plans.lowering import ORDER_CELLS_SQL, QUESTIONS_SQL, catalog, order_cells, qrels, questions
+from tableseek.plans.lowering import ALL_CELLS_SQL, ORDER_CELLS_SQL, QUESTIONS_SQL, catalog, order_cells, qrels, questions
 from tableseek.plans.registry import load, query
 
 FKS = [
@@ -392,11 +392,11 @@ def split_resolution(spark, d):
 
 @query(
     "cache_misses",
-    f"""WITH {ORDER_CELLS_SQL} SELECT DISTINCT cell AS text FROM order_cells
+    f"""WITH {ALL_CELLS_SQL} SELECT DISTINCT cell AS text FROM order_cells
 WHERE trim(cell) <> '' AND cell NOT IN (SELECT CAST(p_partkey AS VARCHAR) FROM part)""",
 )
 def cache_misses(spark, d):
-    strings = order_cells(spark, d).filter(~T.is_missing("cell")).select(F.col("cell").alias("text"))
+    strings = order_cells(spark, d, None).filter(~T.is_missing("cell")).select(F.col("cell").alias("text"))
     cache = load(spark, d, "part").select(F.col("p_partkey").cast("string").alias("text"))
     return Q.cache_misses(strings, cache, "text")
 
@@ -429,13 +429,13 @@ def visible(spark, d):
 
 @query(
     "hyperedges",
-    f"""WITH {ORDER_CELLS_SQL},
+    f"""WITH {ALL_CELLS_SQL},
 e AS (SELECT table_id, 'row' AS edge_kind, row_idx AS edge_idx, cell FROM order_cells UNION ALL SELECT table_id, 'column', col_idx, cell FROM order_cells
       UNION ALL SELECT table_id, 'table', 0, cell FROM order_cells)
 SELECT table_id, edge_kind, edge_idx, count(*) AS n_cells FROM e GROUP BY 1, 2, 3""",
 )
 def edges(spark, d):
-    return hyperedges(order_cells(spark, d)).groupBy("table_id", "edge_kind", "edge_idx").agg(F.count("*").alias("n_cells"))
+    return hyperedges(order_cells(spark, d, None)).groupBy("table_id", "edge_kind", "edge_idx").agg(F.count("*").alias("n_cells"))
 
 
 @query(

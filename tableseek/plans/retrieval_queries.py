@@ -28,11 +28,9 @@ def docs(spark, d):
     return spread(load(spark, d, "documents").select("doc_id", "text", "source", "lang"))
 
 
-def passages(spark, d, terms=6):
-    """First tokens of every benchmark passage as query text."""
-    return load(spark, d, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens("text"), 1, terms), " ").alias("text")
-    )
+def passages(spark, d):
+    """Every benchmark passage as query text."""
+    return load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 BM25_SQL = f"""
@@ -40,7 +38,7 @@ dt AS (SELECT doc_id, {tok_sql('text')} AS t FROM documents),
 tf AS (SELECT doc_id, len_, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len_, unnest(t) AS term FROM dt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM dt),
-qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(({tok_sql('text')})[1:6]) AS term FROM benchmark) GROUP BY ALL),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({tok_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
 bm AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.4 + 0.4 * len_ / a))), 6) AS score
        FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tableseek.functions import text as T
 from tableseek.operators import cells as C
 from tableseek.operators.ranking import global_ids
-from tableseek.plans.lowering import HEADERS, ORDER_CELLS_SQL, ORDER_ROWS_SQL, order_cells, order_rows, order_tables
+from tableseek.plans.lowering import ALL_CELLS_SQL, HEADERS, ORDER_CELLS_SQL, ORDER_ROWS_SQL, order_cells, order_rows, order_tables
 from tableseek.plans.registry import load, query
 
 _CLEAN = "trim(regexp_replace(coalesce({0}, ''), '[\\s\\x0B\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
@@ -97,7 +97,7 @@ def numeric_cells(spark, d):
 
 @query(
     "column_types",
-    f"""WITH {ORDER_CELLS_SQL}
+    f"""WITH {ALL_CELLS_SQL}
 SELECT table_id, col_idx, header,
   CASE WHEN count(*) FILTER (WHERE trim(cell) <> '') > 0 AND
     count(*) FILTER (WHERE regexp_matches(replace(trim(cell), ',', ''), '{_FLOAT}'))
@@ -105,7 +105,7 @@ SELECT table_id, col_idx, header,
 FROM order_cells GROUP BY ALL""",
 )
 def column_types(spark, d):
-    return C.column_types(order_cells(spark, d))
+    return C.column_types(order_cells(spark, d, None))
 
 
 _DOC_SQL = (
@@ -142,20 +142,20 @@ marked AS (SELECT *, CASE WHEN CAST(suppkey AS BIGINT) % 9 = 0 THEN concat(suppk
                           WHEN CAST(suppkey AS BIGINT) % 9 = 1 THEN concat(suppkey, chr(10), 'y') ELSE suppkey END AS sk
            FROM order_rows),
 lines AS (SELECT table_id, row_idx, unnest(string_split(
-            concat_ws(' | ', line_key, partkey, sk, quantity), chr(10))) AS line FROM marked),
+            concat_ws(' | ', line_key, partkey, sk, quantity, return_flag, ship_date), chr(10))) AS line FROM marked),
 split AS (SELECT *, string_split(line, ' | ') AS p FROM lines)
-SELECT table_id, count(*) FILTER (WHERE len(p) >= 4) AS n_rows, count(*) FILTER (WHERE len(p) < 4) AS n_skipped,
-       CAST(sum(CASE WHEN len(p) >= 4 THEN length(array_to_string(p[4:], ' | ')) ELSE 0 END) AS BIGINT) AS last_chars
+SELECT table_id, count(*) FILTER (WHERE len(p) >= 6) AS n_rows, count(*) FILTER (WHERE len(p) < 6) AS n_skipped,
+       CAST(sum(CASE WHEN len(p) >= 6 THEN length(array_to_string(p[6:], ' | ')) ELSE 0 END) AS BIGINT) AS last_chars
 FROM split GROUP BY table_id""",
 )
 def doc_roundtrip(spark, d):
     """Stray separators and line breaks inside cells; ragged lines are skipped and counted."""
-    names = HEADERS[:4]
+    names = HEADERS
     tables = order_tables(spark, d).select(
         "table_id",
         "table_name",
         F.transform(
-            F.slice("columns", 1, 4),
+            "columns",
             lambda c: F.when(
                 c["header"] == "suppkey",
                 c.withField(
@@ -274,7 +274,7 @@ def gold_name_lists(spark, d):
 @query(
     "fingerprints",
     """SELECT doc_id, sha256(text) AS content_sha, substr(sha256(source), 1, 12) AS db_key,
-  sha256(concat_ws(chr(1), substr(text, 1, 80), source, concat_ws(chr(2), 'a' || (doc_id % 3), 'b' || (doc_id % 5)))) AS question_key
+  sha256(concat_ws(chr(1), text, source, concat_ws(chr(2), 'a' || (doc_id % 3), 'b' || (doc_id % 5)))) AS question_key
 FROM documents""",
 )
 def fingerprints(spark, d):
@@ -287,7 +287,7 @@ def fingerprints(spark, d):
         "doc_id",
         T.fingerprint("text").alias("content_sha"),
         T.short_fingerprint("source").alias("db_key"),
-        T.question_key(F.substring("text", 1, 80), "source", gold).alias("question_key"),
+        T.question_key("text", "source", gold).alias("question_key"),
     )
 
 
@@ -334,13 +334,13 @@ def cell_sequences(spark, d):
 
 @query(
     "header_rows",
-    f"""WITH {ORDER_CELLS_SQL}
+    f"""WITH {ALL_CELLS_SQL}
 SELECT table_id, col_idx, row_idx + 1 AS row_idx, concat(header, ' : ',
   CASE WHEN trim(cell) = '' THEN '[EMPTY]' ELSE trim(cell) END) AS cell_text FROM order_cells
 UNION ALL SELECT DISTINCT table_id, col_idx, 0 AS row_idx, header AS cell_text FROM order_cells""",
 )
 def header_rows(spark, d):
-    placed = C.with_header_row(order_cells(spark, d))
+    placed = C.with_header_row(order_cells(spark, d, None))
     text = F.when(F.col("row_idx") == 0, F.col("cell")).otherwise(T.header_cell_text("header", "cell"))
     return placed.select("table_id", "col_idx", "row_idx", text.alias("cell_text"))
 

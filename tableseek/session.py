@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +29,14 @@ def build_session(app: str = "tableseek", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a local one only where the session names none."""
+    """The folder all executors see. A session without one is refused: a local folder would split the data."""
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
