@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tableseek.llm.scratch import stored
 
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|(?<![0-9A-Za-z])(?=[0-9a-f]{0,31}[0-9])(?=[0-9a-f]{0,31}[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z]))",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9A-Za-z-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
@@ -29,8 +29,9 @@ FEMALE = "Mary Patricia Linda Elizabeth Barbara Susan Sarah Anna Maria Ursula Mo
 MALE_TITLES, FEMALE_TITLES, TITLES = "Mr|Herr|Monsieur|Señor|Sir", "Mrs|Ms|Miss|Frau|Madame|Señora", "Dr|Prof|Professor"
 WORD = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 _GIVEN = "|".join(MALE + FEMALE)
-KINDS["name"] = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{MALE_TITLES}|{FEMALE_TITLES}|{TITLES})\.? {WORD}(?: {WORD})?|(?:{_GIVEN}) {WORD})(?![\p{{L}}\p{{N}}])"
+KINDS["name"] = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{MALE_TITLES}|{FEMALE_TITLES}|{TITLES})\.? {WORD}(?: {WORD})?|(?:{_GIVEN}) {WORD})(?![\p{{L}}\p{{N}}])"
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+SIGNS = ("@", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox")
 LEFT, RIGHT = "\ufdd0", "\ufdd1"  # noncharacters: no text may hold them; they are removed from texts that do
 
 
@@ -48,9 +49,15 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(clean, f"({ANY})", f"{LEFT}$1{RIGHT}")
 
 
-def entities(text: Column) -> Column:
-    """Values of all entities in order."""
-    pieces = F.split(marked(text), LEFT)
+def pieces_of(text: Column) -> Column:
+    """The text cut before each entity; null where it holds none of the signs that every entity has."""
+    signs = text.rlike("[0-9]")
+    for sign in SIGNS:
+        signs = signs | text.contains(sign)
+    return F.when(signs | text.rlike(KINDS["name"]), F.split(marked(text), LEFT))
+
+
+def _values(pieces: Column) -> Column:
     return F.transform(F.slice(pieces, 2, F.size(pieces)), lambda piece: F.substring_index(piece, RIGHT, 1))
 
 
@@ -179,15 +186,16 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text", added:
     Null texts stay null, empty ones empty. Repeated rows get the same result. An existing column `added` is replaced.
     """
     columns = [c for c in docs.columns if c != added]
-    found = docs.where(F.col(text).rlike(ANY)).select(F.explode(entities(F.col(text))).alias("value")).distinct()
+    source = docs.select(*columns, pieces_of(F.col(text)).alias("__pieces"))
+    holding = source.where(F.size("__pieces") > 1)
+    found = holding.select(F.explode(_values(F.col("__pieces"))).alias("value")).distinct()
     values = stored(found.select(kind_of(F.col("value")).alias("kind"), "value").where("kind is not null"), "entities")
     moved = resolve_collisions(values, key)
-    source = docs.select(*columns)
     attempts = F.lit(None).cast("map<string,int>")
     if moved is not None:
         # the few texts that hold such a value learn its attempt; a text is known by its digest
         digest = F.sha2(F.col(text), 256)
-        holders = source.where(F.col(text).rlike(ANY)).select(digest.alias("__digest"), F.explode(F.array_distinct(entities(F.col(text)))).alias("value")).distinct()
+        holders = holding.select(digest.alias("__digest"), F.explode(F.array_distinct(_values(F.col("__pieces")))).alias("value")).distinct()
         maps = holders.join(moved, "value").groupBy("__digest").agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias("__attempts"))
         source = source.withColumn("__digest", digest).join(maps, "__digest", "left").drop("__digest")
         attempts = F.col("__attempts")
@@ -198,8 +206,8 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text", added:
         tries = F.coalesce(attempts[value], F.lit(0))
         return F.concat(F.when(kind.isNull(), value).otherwise(surrogate(value, kind, key, tries)), rest)
 
-    pieces = F.split(marked(F.col(text)), LEFT)
+    pieces, some = F.col("__pieces"), F.coalesce(F.size("__pieces") > 1, F.lit(False))
     rewritten = F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), rewrite), ""))
-    some = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
-    out = source.select(*columns, F.when(some, rewritten).otherwise(F.col(text)).alias("__new"), F.when(some, F.size(pieces) - 1).otherwise(0).cast("long").alias(added))
-    return out.select(*[F.col("__new").alias(c) if c == text else F.col(c) for c in columns], added)
+    new = F.when(some, rewritten).otherwise(F.col(text))
+    number = F.when(some, F.size(pieces) - 1).otherwise(0).cast("long")
+    return source.select(*[new.alias(c) if c == text else F.col(c) for c in columns], number.alias(added))
