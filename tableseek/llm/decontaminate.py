@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RATE = 0.05
+RATE = 0.08
 MIN_CHARS = 40
 BLOCK_CHARS = 4_000_000
 GRAM = 4

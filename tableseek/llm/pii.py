@@ -16,7 +16,7 @@ from tableseek.llm.scratch import stored
 
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|(?<![0-9A-Za-z])(?=[0-9a-f]{0,31}[0-9])(?=[0-9a-f]{0,31}[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z]))",
+    "secret": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|(?<![0-9A-Za-z])(?=[0-9a-f]{0,31}[0-9])(?=[0-9a-f]{0,31}[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[0-9A-F]{0,31}[0-9])(?=[0-9A-F]{0,31}[A-F])[0-9A-F]{32,64}(?![0-9A-Za-z]))",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9A-Za-z-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])",
@@ -85,7 +85,7 @@ def restyled(value: Column, secret: Column, hexadecimal: bool = False) -> Column
         return (
             F.when(c.rlike("[0-9]"), _draw(secret, i, 10).cast("string"))
             .when(c.rlike("[a-z]"), low)
-            .when(c.rlike("[A-Z]"), _from(_UPPER, _draw(secret, i, 26)))
+            .when(c.rlike("[A-Z]"), _from("ABCDEF" if hexadecimal else _UPPER, _draw(secret, i, 6 if hexadecimal else 26)))
             .when(c.rlike(r"[\p{IsCyrillic}&&\p{Ll}]"), _from(_CYRILLIC, _draw(secret, i, len(_CYRILLIC))))
             .when(c.rlike(r"[\p{IsCyrillic}&&\p{Lu}]"), _from(_CYRILLIC.upper(), _draw(secret, i, len(_CYRILLIC))))
             .when(c.rlike(r"[\p{IsGreek}&&\p{Ll}]"), _from(_GREEK, _draw(secret, i, len(_GREEK))))
@@ -155,7 +155,7 @@ def surrogate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
         .when(kind == "ip", _ip(own))
         .when(kind == "card", _card(value, own))
         .when(kind == "name", _name(value, key, attempt))
-        .when(kind == "secret", F.when(value.rlike("^[0-9a-f]+$"), restyled(value, own, True)).otherwise(F.concat(F.regexp_extract(value, "^(AKIA|gh._|sk-|xox.-|)", 1), restyled(F.regexp_replace(value, "^(AKIA|gh._|sk-|xox.-)", ""), own))))
+        .when(kind == "secret", F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), restyled(value, own, True)).otherwise(F.concat(F.regexp_extract(value, "^(AKIA|gh._|sk-|xox.-|)", 1), restyled(F.regexp_replace(value, "^(AKIA|gh._|sk-|xox.-)", ""), own))))
         .when((kind == "phone") & value.startswith("+"), F.concat(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0), restyled(F.regexp_replace(value, r"^\+[0-9]{1,3}(?=[ .(-])", ""), own)))
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), restyled(F.substr(value, F.lit(3)), own)))
         .otherwise(restyled(value, own))
