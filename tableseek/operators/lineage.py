@@ -112,7 +112,8 @@ def mentioned_tables(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     unkeyed = scrubbed.join(bare, "db_id").select("query_id", "table_name", "_s", "_full")
     keyed = met.filter(F.col("_low") != F.col("_full")).join(scrubbed, "query_id")
     candidates = keyed.select("query_id", "table_name", "_s", "_full").unionByName(unkeyed)
-    pattern = F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.col("_full"), F.lit(r"\E(?![a-z0-9_])"))
+    literal = F.regexp_replace("_full", r"(\W)", r"\\$1")  # a quoted block would end at a name's own \E
+    pattern = F.concat(F.lit("(?<![a-z0-9_])"), literal, F.lit("(?![a-z0-9_])"))
     found = candidates.filter(F.regexp_like("_s", pattern)).select("query_id", "table_name")
     return plain.unionByName(found).distinct()
 

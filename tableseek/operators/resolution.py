@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tableseek.functions import text as T
 
 
+def named_or_all(column: str | Column, names: Sequence[str] | None) -> Column:
+    """True for the listed names; without a list for every row."""
+    column = F.col(column) if isinstance(column, str) else column
+    return column.isin(*names) if names else F.lit(True)
+
+
 def keep_style(excluded: Sequence[str] = ("Multi-turn Dialogue",)) -> Column:
     """False only for the excluded styles; a NULL style is kept."""
     return ~F.coalesce(F.col("style").isin(*excluded), F.lit(False))

@@ -34,8 +34,9 @@ def _score_piece(weight: float):
         if tokens.empty:
             return pd.DataFrame(columns=["query_id", "table_id", "global", "row_match", "column_match", "mixture"])
         table = tokens["table_id"].iloc[0]
-        if cells.empty:
-            ids = np.unique(tokens["query_id"].to_numpy())
+        ids = np.unique(tokens["query_id"].to_numpy())
+        tokens = tokens[tokens["vec"].notna()]
+        if cells.empty or tokens.empty:
             zero = np.zeros(len(ids))
             return pd.DataFrame({"query_id": ids, "table_id": table, "global": zero, "row_match": zero, "column_match": zero, "mixture": zero})
         raw = np.stack(cells["vec"].to_numpy()).astype(np.float64)
@@ -54,7 +55,7 @@ def _score_piece(weight: float):
                 "row_mean": (q @ pooled.T).mean(axis=1),
             }
         )
-        out = per_token.groupby("query_id", as_index=False).sum()
+        out = per_token.groupby("query_id").sum().reindex(ids, fill_value=0.0).rename_axis("query_id").reset_index()
         out["mixture"] = weight * out["row_match"] + (1 - weight) * out["row_mean"]
         out["table_id"] = table
         return out[["query_id", "table_id", "global", "row_match", "column_match", "mixture"]]
@@ -70,25 +71,20 @@ def score_candidates(
     candidates(query_id, table_id), query_vecs(query_id, tok_idx, vec),
     cell_vecs(table_id, col_idx, row_idx, vec). Work is grouped by table, so a table's
     cells travel once per piece of queries and not once per pair; a table that most
-    queries see is split into pieces of bounded size. Tables without cells score 0.
+    queries see is split into pieces of bounded size. Tables without cells and queries without tokens score 0.
     """
     seen = candidates.groupBy("table_id").agg(F.count("*").alias("_n"))
     n_pieces = F.ceil(F.col("_n") / QUERIES_PER_PIECE)
     sized = seen.select("table_id", n_pieces.alias("_k"))
     piece = F.pmod(F.xxhash64("query_id"), F.col("_k"))
     asked = candidates.select("query_id", "table_id").join(sized, "table_id").select("query_id", "table_id", piece.alias("_piece"))
-    tokens = asked.join(query_vecs.select("query_id", "vec"), "query_id").select("table_id", "_piece", "query_id", "vec")
+    tokens = asked.join(query_vecs.select("query_id", "vec"), "query_id", "left").select("table_id", "_piece", "query_id", "vec")
     pieces = sized.select("table_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)).alias("_piece"))
     cells = cell_vecs.join(pieces, "table_id").select("table_id", "_piece", "col_idx", "row_idx", "vec")
     keys = ["table_id", "_piece"]
     return tokens.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(_score_piece(weight), SCORES)
 
 
-def paired_candidates(pairs: DataFrame) -> DataFrame:
-    """One query set per table: the candidate list of the paired mode."""
-    return pairs.select("query_id", "table_id").distinct()
-
-
 def pooled_vectors(cell_vecs: DataFrame) -> DataFrame:
     """Mean vectors per row, per column and per table from one pass over the cells."""
     vectors = cell_vecs.select("table_id", "row_idx", "col_idx", array_to_vector("vec").alias("_v"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tableseek.functions import text as T
 from tableseek.operators import profile as P
-from tableseek.operators.resolution import classify_questions
+from tableseek.operators.resolution import classify_questions, named_or_all
 from tableseek.plans.lowering import (
     ALL_CELLS_SQL,
     QUESTIONS_SQL,
@@ -16,6 +16,7 @@ from tableseek.plans.lowering import (
     questions,
 )
 from tableseek.plans.registry import load, query
+from tableseek.session import scratch_path
 
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_day", "o_clerk", "o_shippriority"]
 
@@ -251,6 +252,33 @@ def catalog_listing(spark, d):
     return listing.withColumn("n_total", total)
 
 
+@query(
+    "named_databases",
+    f"""WITH {QUESTIONS_SQL}
+SELECT 'listed' AS mode, db_id, count(*) AS n_tables FROM catalog WHERE db_id IN ('db1', 'db4', 'db9') GROUP BY db_id
+UNION ALL SELECT 'all', db_id, count(*) FROM catalog GROUP BY db_id""",
+)
+def named_databases(spark, d):
+    def count(mode, names):
+        kept = catalog(spark, d).filter(named_or_all("db_id", names))
+        return kept.groupBy("db_id").agg(F.count("*").alias("n_tables")).select(F.lit(mode).alias("mode"), "db_id", "n_tables")
+
+    return count("listed", ["db1", "db4", "db9"]).unionByName(count("all", None))
+
+
+@query(
+    "schema_cache",
+    f"""WITH {QUESTIONS_SQL} SELECT db_id, count(*) AS n_tables, string_agg(table_name, ',' ORDER BY table_name) AS tables FROM catalog GROUP BY db_id""",
+)
+def schema_cache(spark, d):
+    """The table names of each database, stored as JSON lines and read back."""
+    path = scratch_path(spark, "schema-cache")
+    listed = catalog(spark, d).groupBy("db_id").agg(F.array_sort(F.collect_list("table_name")).alias("tables"))
+    listed.write.json(path)
+    cached = spark.read.schema("db_id string, tables array<string>").json(path)
+    return cached.select("db_id", F.size("tables").cast("bigint").alias("n_tables"), F.array_join("tables", ",").alias("tables"))
+
+
 def readings(spark, d):
     """Events as device readings: the user is the host, an error event is a failed poll."""
     return load(spark, d, "events").select(

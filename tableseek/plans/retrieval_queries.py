@@ -294,7 +294,7 @@ def paired_scores(spark, d):
     table = T.table_id(
         F.concat(F.lit("db"), F.floor(q / 16).cast("string")), F.concat(F.lit("t"), F.floor(q / 2).cast("string"))
     )
-    pairs = S.paired_candidates(query_vecs(spark, d).select("query_id").distinct().withColumn("table_id", table))
+    pairs = query_vecs(spark, d).select("query_id").distinct().withColumn("table_id", table)
     scored = S.score_candidates(pairs, query_vecs(spark, d), cell_vecs(spark, d))
     return scored.select("query_id", "table_id", *[F.round(m, 6).alias(m) for m in MODES])
 

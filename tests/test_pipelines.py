@@ -119,10 +119,10 @@ def test_syntax_lineage(spark, sql, want):
 def test_mentions_equal_a_name_by_name_scan(spark):
     import re
 
-    names = ["plain", "two words", "#odd name", "name", "Upper", "a.b", "!!"]
+    names = ["plain", "two words", "#odd name", "name", "Upper", "a.b", "!!", "x\\E y"]
     texts = [
         "SELECT plain, name FROM x", "select * from [two  words], [two words]", "xplain UPPER plain_2", "a.b a.bc",
-        "q #odd name 'name'", "!! -- plain", "two wordsy", "",
+        "q #odd name 'name'", "!! -- plain", "two wordsy", "", "from [x\\e y]",
     ]
     catalog = spark.createDataFrame([("d", n) for n in names], "db_id string, table_name string")
     queries = spark.createDataFrame([(i, "d", t) for i, t in enumerate(texts)], "query_id int, db_id string, sql string")
@@ -158,7 +158,7 @@ def test_scores_equal_brute_force_for_a_hot_table(spark, monkeypatch):
     rng = np.random.default_rng(7)
     cells = [("hot", i % 3, i // 3, rng.normal(size=4).tolist()) for i in range(6)] + [("small", 0, 0, rng.normal(size=4).tolist())]
     tokens = [(q, t, rng.normal(size=4).tolist()) for q in range(9) for t in range(2)]
-    pairs = [(q, "hot") for q in range(9)] + [(0, "small"), (1, "empty")]
+    pairs = [(q, "hot") for q in range(9)] + [(0, "small"), (1, "empty"), (77, "hot"), (77, "small")]  # query 77 has no token
     got = {
         (r["query_id"], r["table_id"]): r
         for r in V.score_candidates(
@@ -168,9 +168,9 @@ def test_scores_equal_brute_force_for_a_hot_table(spark, monkeypatch):
         ).collect()
     }
     assert set(got) == set(pairs)
-    assert got[(1, "empty")]["global"] == 0.0
+    assert all(got[pair]["global"] == got[pair]["mixture"] == 0.0 for pair in [(1, "empty"), (77, "hot"), (77, "small")])
     unit = lambda v: np.asarray(v) / np.linalg.norm(v)
-    for q, table in pairs[:-1]:
+    for q, table in pairs[:-3]:
         mine = [c for c in cells if c[0] == table]
         best = by_col = by_row = row_mean = 0.0
         for _, _, vec in [t for t in tokens if t[0] == q]:
