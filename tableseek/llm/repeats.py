@@ -4,6 +4,8 @@ A window is `length` consecutive units (words or bytes) of one document. Each wi
 smallest hash among its grams of `gram` units. The name depends on the window alone, so equal windows meet whatever
 stands around them, and neighbouring windows mostly share one name, so they travel as one segment.
 
+0. Whole texts that stand more than once are found by digest first. One of them speaks for all; the others are copies
+   from end to end, which settles them.
 1. announce: each chunk of documents sends its distinct names to buckets, once per chunk.
 2. meet: a bucket tells each chunk which of its names occur twice or more in the corpus (one bit a name).
    A window can only repeat if its name does.
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableseek.llm.arrays import byte_values, gram_hashes, prefix_sums, range_hash, slices_by_bytes, sliding, text_views, word_hashes, words_of
+from tableseek.llm.scratch import stored
 
 SLICE_BYTES = 1_000_000
 CHUNK = "__chunk"
+LAST = 2**63 - 1
 
 
 @dataclass(frozen=True)
@@ -200,7 +204,7 @@ def binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
-def covered(slices: list[Slice], segments: Segments, flagged: list[np.ndarray], of: Windows) -> list[np.ndarray]:
+def covered(slices: list[Slice], flagged: list[np.ndarray], of: Windows) -> list[np.ndarray]:
     """For each slice, whether each unit lies in a flagged window. flagged: per segment occurrence, in one array a slice."""
     out = []
     for no, part in enumerate(slices):
@@ -235,16 +239,39 @@ def find_repeats(
     columns = list(dict.fromkeys([*keep, *([order] if order else []), text]))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks, buckets = max(1, math.ceil(total / of.chunk_bytes)), max(1, math.ceil(total / of.bucket_bytes))
-    dealt = docs.select(*columns, F.pmod(F.xxhash64(*columns), F.lit(chunks)).alias(CHUNK))
+    digests = [F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(1), F.col(text)).alias("__h2")]
+    dealt = docs.select(*columns, *digests, F.pmod(F.xxhash64(*columns), F.lit(chunks)).alias(CHUNK))
     text_at, order_at = columns.index(text), columns.index(order) if order else -1
 
-    def announce(table: pa.Table) -> pa.Table:
+    rank = F.coalesce(F.col(order).cast("long"), F.lit(LAST)) if order else F.lit(0).cast("long")
+    local = dealt.groupBy("__h1", "__h2", CHUNK).agg(F.min(rank).alias("rank"), F.count(F.lit(1)).alias("n"))
+    twice = local.groupBy("__h1", "__h2").agg(F.min("rank").alias("first"), F.min(CHUNK).alias("home"), F.sum("n").alias("n")).where("n > 1")
+    copies = stored(local.join(twice.drop("n"), ["__h1", "__h2"]).select(CHUNK, "__h1", "__h2", "first", "home"), "copies")
+
+    def settled(table: pa.Table, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that another one speaks for, and rows that are copies from end to end."""
+        quiet = gone = np.zeros(table.num_rows, bool)
+        if not known.num_rows or not table.num_rows:
+            return quiet, gone
+        mine = np.stack([np.asarray(table.column(c)) for c in ("__h1", "__h2")], 1).copy().view("i8,i8").ravel()
+        theirs = np.stack([np.asarray(known.column(c)) for c in ("__h1", "__h2")], 1).copy().view("i8,i8").ravel()
+        order_of = np.argsort(theirs)
+        at = order_of[np.minimum(np.searchsorted(theirs[order_of], mine), len(theirs) - 1)]
+        found = theirs[at] == mine
+        if order:
+            gone = found & (ranks_of(table) > np.asarray(known.column("first"))[at])
+            return gone, gone
+        return found & (np.asarray(known.column("home"))[at] != table.column(CHUNK)[0].as_py()), found
+
+    def announce(table: pa.Table, known: pa.Table) -> pa.Table:
+        chunk = table.column(CHUNK).slice(0, 1).to_pylist()
+        table = table.filter(pa.array(~settled(table, known)[0]))
         found, counts, bounds = names_in(cuts(table.column(text_at), of), buckets)
         some = np.flatnonzero(np.diff(bounds))
         return pa.table(
             {
                 "bucket": pa.array(some, pa.int64()),
-                CHUNK: pa.array([table.column(CHUNK)[0].as_py()] * len(some), pa.int64()),
+                CHUNK: pa.array(chunk * len(some), pa.int64()),
                 "names": binary([pack48(found[bounds[i] : bounds[i + 1]]) for i in some]),
                 "counts": binary([counts[bounds[i] : bounds[i + 1]].tobytes() for i in some]),
             }
@@ -276,8 +303,7 @@ def find_repeats(
         return np.sort(found[shared]), np.sort(found[hot])
 
     def ranks_of(table: pa.Table) -> np.ndarray:
-        values = table.column(order_at).combine_chunks().cast(pa.int64())
-        return np.asarray(values.fill_null(np.iinfo(np.int64).max))
+        return np.asarray(table.column(order_at).cast(pa.int64()).fill_null(LAST))
 
     def rows_of(part: Slice, units: np.ndarray) -> np.ndarray:
         return part.first_row + np.searchsorted(part.bounds, units, side="right") - 1
@@ -286,13 +312,18 @@ def find_repeats(
         if not order:
             return np.minimum(segments.times, 2)
         ranks = ranks_of(table)
-        least = np.full(len(segments.example), np.iinfo(np.int64).max)
+        least = np.full(len(segments.example), LAST)
         for no, part in enumerate(slices):
             mine = segments.slice_no == no
             np.minimum.at(least, segments.same[mine], ranks[rows_of(part, segments.first[mine])])
         return least
 
-    def send(table: pa.Table, replies: pa.Table) -> pa.Table:
+    def parted(both: pa.Table) -> list[pa.Table]:
+        return [both.filter(pa.array(np.asarray(both.column("kind")) == k)) for k in range(3)]
+
+    def send(table: pa.Table, both: pa.Table) -> pa.Table:
+        known, replies, _ = parted(both)
+        table = table.filter(pa.array(~settled(table, known)[0]))
         none = np.zeros(0, np.int64)
         slices, segments = [], None
         if table.num_rows and replies.num_rows:
@@ -310,7 +341,7 @@ def find_repeats(
         return pa.table(
             {
                 "bucket": pa.array(some, pa.int64()),
-                CHUNK: pa.array([table.column(CHUNK)[0].as_py()] * len(some) if len(some) else [], pa.int64()),
+                CHUNK: pa.array(table.column(CHUNK).slice(0, 1).to_pylist() * len(some), pa.int64()),
                 "text": binary([raw[ends[p.start] : ends[p.stop]].tobytes() for p in pieces]),
                 "sizes": binary([sizes[p].astype("<i4").tobytes() for p in pieces]),
                 "windows": binary([segments.count[segments.example[p]].astype("<i4").tobytes() for p in pieces]),
@@ -379,32 +410,41 @@ def find_repeats(
 
     result = T.StructType([docs.schema[c] for c in keep] + added.fields)
 
-    def finish(table: pa.Table, replies: pa.Table, answers: pa.Table) -> pa.Table:
-        slices = cuts(table.column(text_at), of)
-        none = [np.zeros(0, np.int64)] * len(slices)
-        if answers.num_rows:
-            segments = segments_in(slices, *known_names(slices, replies), of, buckets)
-            marked = covered(slices, segments, flagged_windows(table, slices, segments, answers), of)
-        else:
-            marked = covered(slices, None, none, of)
-        parts = [render(part, mark) for part, mark in zip(slices, marked)]
-        made = {f.name: pa.concat_arrays([p[f.name] for p in parts]) for f in added.fields}
-        return pa.table([*[table.column(columns.index(c)) for c in keep], *made.values()], names=[*keep, *made])
-
-    def finish_with(table: pa.Table, both: pa.Table) -> pa.Table:
+    def finish(table: pa.Table, both: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({f.name: pa.array([], pa.null()) for f in result.fields})
-        answers = both.filter(pa.compute.is_valid(both.column("values")))
-        return finish(table, both.filter(pa.compute.is_null(both.column("values"))), answers)
-
-    spoken = dealt.groupBy(CHUNK).applyInArrow(announce, f"bucket long, `{CHUNK}` long, names binary, counts binary")
+        known, replies, answers = parted(both)
+        quiet, gone = settled(table, known)
+        out = []
+        for part, lost in ((table.filter(pa.array(~quiet)), gone[~quiet]), (table.filter(pa.array(quiet)), gone[quiet])):
+            if not part.num_rows:
+                continue
+            slices = cuts(part.column(text_at), of)
+            if answers.num_rows and not out:
+                segments = segments_in(slices, *known_names(slices, replies), of, buckets)
+                marked = covered(slices, flagged_windows(part, slices, segments, answers), of)
+            else:
+                marked = covered(slices, [np.zeros(0, np.int64)] * len(slices), of)
+            for piece, mark in zip(slices, marked):
+                units = np.diff(piece.bounds)
+                whole = lost[piece.first_row : piece.first_row + len(units)] & (units >= of.length)
+                mark |= np.repeat(whole, units)
+            parts = [render(piece, mark) for piece, mark in zip(slices, marked)]
+            made = {f.name: pa.concat_arrays([p[f.name] for p in parts]) for f in added.fields}
+            out.append(pa.table([*[part.column(columns.index(c)) for c in keep], *made.values()], names=[*keep, *made]))
+        return pa.concat_tables(out)
+
+    empty = {"bucket": "long", "shared": "binary", "hot": "binary", "values": "binary", "runs": "binary", "__h1": "long", "__h2": "long", "first": "long", "home": "long"}
+
+    def kind(df: DataFrame, number: int) -> DataFrame:
+        return df.select(F.lit(number).alias("kind"), CHUNK, *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()])
+
+    by_chunk = dealt.groupBy(CHUNK)
+    spoken = by_chunk.cogroup(copies.groupBy(CHUNK)).applyInArrow(announce, f"bucket long, `{CHUNK}` long, names binary, counts binary")
     replies = spoken.groupBy("bucket").applyInArrow(meet, f"bucket long, `{CHUNK}` long, shared binary, hot binary")
-    sent = dealt.groupBy(CHUNK).cogroup(replies.groupBy(CHUNK)).applyInArrow(
+    told = kind(copies, 0).unionAll(kind(replies, 1))
+    sent = by_chunk.cogroup(told.groupBy(CHUNK)).applyInArrow(
         send, f"bucket long, `{CHUNK}` long, text binary, sizes binary, windows binary, names binary, marks binary"
     )
     answers = sent.groupBy("bucket").applyInArrow(answer, f"bucket long, `{CHUNK}` long, values binary, runs binary")
-    nothing = F.lit(None).cast("binary")
-    both = replies.select("bucket", CHUNK, "shared", "hot", nothing.alias("values"), nothing.alias("runs")).unionByName(
-        answers.select("bucket", CHUNK, nothing.alias("shared"), nothing.alias("hot"), "values", "runs")
-    )
-    return dealt.groupBy(CHUNK).cogroup(both.groupBy(CHUNK)).applyInArrow(finish_with, result)
+    return by_chunk.cogroup(told.unionAll(kind(answers, 2)).groupBy(CHUNK)).applyInArrow(finish, result)
