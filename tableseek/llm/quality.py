@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tableseek.llm.arrays import slices_by_bytes, text_views, word_hashes, words_of
 from tableseek.llm.scratch import stored
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 FEATURES = 256
 WIDTH = 4.0  # of the kernel, in standard deviations of the statistics
 FOLDS = 4
