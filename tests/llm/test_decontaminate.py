@@ -1,10 +1,12 @@
 """Pigeonhole matching against the plain edit-distance recurrence."""
 
 import random
+from functools import lru_cache
 
 from tableseek.llm import decontaminate as d
 
 
+@lru_cache(None)
 def distance_inside(item, text):
     """Least edit distance of item to any stretch of text."""
     row = [0] * (len(text) + 1)
