@@ -4,11 +4,14 @@ Entities are found by patterns and names by titles and lists of given names. Eac
 secret key, its kind and its value, so the same value has the same surrogate everywhere (coreference), also as part of
 a full name. Surrogates keep the format (digits stay digits, letters keep their case and script, separators stay),
 the check digit of card numbers, and the gender of given names. A check over the whole table finds surrogates that
-two values share or that equal a real value; all but one of these values are derived anew until none is left.
+two values share or that equal a real value; all but one of these values are derived anew until none is left. Values
+without a free surrogate of their format (short ones, or without letters and digits) get a longer one.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,14 +68,38 @@ def _draw(secret: Column, i: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(secret, i), F.lit(n)).cast("int")
 
 
-def _from(letters: str, at: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, letters)), at + 1)
-
-
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYRILLIC, _GREEK = "абвгдежзиклмнопрстуфхчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
 
+_WIDE = 64
+
+
+def _letters(script: str, category: str) -> str:
+    """The first letters of a script and category outside ASCII by the names of the characters, repeated up to _WIDE."""
+    found = (c for c in map(chr, range(128, 0x10450)) if unicodedata.category(c) == category and unicodedata.name(c, "").startswith(script))
+    letters = "".join(c for c, _ in zip(found, range(_WIDE)))
+    return (letters * _WIDE)[:_WIDE]
+
+
+# Other letters: a row of _WIDE per script and case.
+_ROWS = [_letters(x, c) for x in ("LATIN", "ARMENIAN", "GEORGIAN", "CHEROKEE", "COPTIC", "GLAGOLITIC", "DESERET") for c in ("Ll", "Lu")]
+_ROWS += [_letters(x, "Lo") for x in ("HEBREW", "ARABIC", "DEVANAGARI", "THAI", "HIRAGANA", "KATAKANA", "HANGUL SYLLABLE", "CJK UNIFIED")]
+_GRID = "".join(_ROWS)
+# Scripts with more letters than a row holds: any letter counts as the first one.
+_LARGE = {r"[\p{IsLatin}&&\p{Ll}]": _ROWS[0][0], r"[\p{IsLatin}&&\p{Lu}]": _ROWS[1][0], r"\p{IsHan}": _ROWS[-1][0], r"\p{IsHangul}": _ROWS[-2][0]}
+
+
+def _other(c: Column) -> Column:
+    """What another letter is drawn from: its row, or ASCII letters of its case."""
+    known = c
+    for pattern, letter in _LARGE.items():
+        known = F.when(c.rlike(pattern), letter).otherwise(known)
+    at = F.instr(F.lit(_GRID), known)
+    row = F.substr(F.lit(_GRID), F.floor((at - 1) / _WIDE).cast("int") * _WIDE + 1, F.lit(_WIDE))
+    return F.when(~c.rlike(r"\p{L}"), c).when(at > 0, row).when(c.rlike(r"\p{Lu}"), _UPPER).otherwise(_LOWER)
+
+
 def _characters(value: Column) -> Column:
     return F.filter(F.split(value, ""), lambda c: c != "")
 
@@ -81,17 +108,18 @@ def restyled(value: Column, secret: Column, hexadecimal: bool = False) -> Column
     """Each digit and letter becomes another of its class (case, script); other characters stay."""
 
     def one(c, i):
-        low = _from("abcdef" if hexadecimal else _LOWER, _draw(secret, i, 6 if hexadecimal else 26))
-        return (
-            F.when(c.rlike("[0-9]"), _draw(secret, i, 10).cast("string"))
-            .when(c.rlike("[a-z]"), low)
-            .when(c.rlike("[A-Z]"), _from("ABCDEF" if hexadecimal else _UPPER, _draw(secret, i, 6 if hexadecimal else 26)))
-            .when(c.rlike(r"[\p{IsCyrillic}&&\p{Ll}]"), _from(_CYRILLIC, _draw(secret, i, len(_CYRILLIC))))
-            .when(c.rlike(r"[\p{IsCyrillic}&&\p{Lu}]"), _from(_CYRILLIC.upper(), _draw(secret, i, len(_CYRILLIC))))
-            .when(c.rlike(r"[\p{IsGreek}&&\p{Ll}]"), _from(_GREEK, _draw(secret, i, len(_GREEK))))
-            .when(c.rlike(r"[\p{IsGreek}&&\p{Lu}]"), _from(_GREEK.upper(), _draw(secret, i, len(_GREEK))))
-            .otherwise(c)
+        letters = (
+            F.when(c.rlike("[0-9]"), "0123456789")
+            .when(c.rlike("[a-z]"), "abcdef" if hexadecimal else _LOWER)
+            .when(c.rlike("[A-Z]"), "ABCDEF" if hexadecimal else _UPPER)
+            .when(c.rlike(r"\p{ASCII}"), c)
+            .when(c.rlike(r"[\p{IsCyrillic}&&\p{Ll}]"), _CYRILLIC)
+            .when(c.rlike(r"[\p{IsCyrillic}&&\p{Lu}]"), _CYRILLIC.upper())
+            .when(c.rlike(r"[\p{IsGreek}&&\p{Ll}]"), _GREEK)
+            .when(c.rlike(r"[\p{IsGreek}&&\p{Lu}]"), _GREEK.upper())
+            .otherwise(_other(c))
         )
+        return F.transform(F.array(letters), lambda x: F.substr(x, F.pmod(F.xxhash64(secret, i), F.length(x)).cast("int") + 1, F.lit(1)))[0]
 
     return F.array_join(F.transform(_characters(value), one), "")
 
@@ -147,12 +175,19 @@ def _secret(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws("\x00", F.lit(key), kind, value, attempt.cast("string")), 256)
 
 
+TRIES = 3  # surrogates in a value's own format; later ones have twelve keyed letters or digits more
+
+
 def surrogate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
     """The keyed replacement of a value; attempt counts earlier ones that collided."""
-    own = _secret(key, kind, value, attempt)
-    return (
-        F.when(kind == "email", _email(value, own))
-        .when(kind == "ip", _ip(own))
+    own, late = _secret(key, kind, value, attempt), attempt >= TRIES
+    address = F.when(late, F.concat(F.substring_index(value, "@", 1), F.lit("x" * 12 + "@"), F.substring_index(value, "@", -1))).otherwise(value)
+    groups = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.substr(own, 4 * i + 1, F.lit(4)))
+    letter = F.when(value.rlike(r"\p{IsCyrillic}"), "ж").when(value.rlike(r"\p{IsGreek}"), "α").when(value.rlike(r"\p{IsArmenian}"), "ա").when(value.rlike(r"\p{IsGeorgian}"), "ა").otherwise("x")
+    tail = restyled(F.when(kind == "name", F.repeat(letter, F.lit(12))).otherwise("-" + "0" * 12), F.concat(own, F.lit("-")))
+    made = (
+        F.when(kind == "email", _email(address, own))
+        .when(kind == "ip", F.when(late, F.concat(F.lit("fd00:"), F.array_join(groups, ":"))).otherwise(_ip(own)))
         .when(kind == "card", _card(value, own))
         .when(kind == "name", _name(value, key, attempt))
         .when(kind == "secret", F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), restyled(value, own, True)).otherwise(F.concat(F.regexp_extract(value, "^(AKIA|gh._|sk-|xox.-|)", 1), restyled(F.regexp_replace(value, "^(AKIA|gh._|sk-|xox.-)", ""), own))))
@@ -160,12 +195,14 @@ def surrogate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), restyled(F.substr(value, F.lit(3)), own)))
         .otherwise(restyled(value, own))
     )
+    return F.concat(made, F.when(late & ~kind.isin("email", "ip"), tail).otherwise(""))
 
 
 def resolve_collisions(values: DataFrame, key: str) -> DataFrame:
     """value, attempt: of values whose first surrogates collide. values: distinct (kind, value).
 
-    Of the values that share a surrogate, the smallest keeps it unless it is a real value itself.
+    Of the values that share a surrogate, the smallest keeps it unless it is a real value itself. It ends, since from
+    the attempt TRIES on surrogates have so long a keyed part that they do not meet.
     """
     moved, attempt = None, values.withColumn("attempt", F.lit(0))
     while True:
