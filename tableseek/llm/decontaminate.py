@@ -3,7 +3,8 @@
 A test item may occur with up to `budget` edits (insertions, deletions, replacements of characters). Cut into one piece
 more than that, at least one piece occurs unchanged. All pieces of a block of items form one automaton that finds
 them in a text in one pass; each hit names the stretch in which its item would lie. A stretch that shares enough short
-grams with the item is verified by Myers' bit-parallel edit distance over its whole length.
+grams with the item is verified by Myers' bit-parallel edit distance over its whole length. A short item may not be
+edited: it must occur as a run of whole words.
 
 Items are taken in blocks of at most `block_chars` characters. A block is the only thing sent to all tasks, so its
 size is bounded whatever the benchmark's is; every block meets every document.
@@ -74,9 +75,10 @@ def myers(item: str, text: str, budget: int) -> tuple[int, int] | None:
 
 @dataclass
 class Block:
-    ids: list[int]
+    ids: list[int | None]
     items: list[str]
     budgets: list[int]
+    whole: list[bool]  # matches as whole words only
 
     def automaton(self):
         import ahocorasick
@@ -114,6 +116,10 @@ def matches(text: str, block: Block, machine, grams: list[Counter]) -> dict[int,
             if (n, start) in seen:
                 continue
             seen.add((n, start))
+            if block.whole[n]:
+                if (start == 0 or text[start - 1] == " ") and (end + 1 == len(text) or text[end + 1] == " "):
+                    found[n] = 0
+                continue
             stretch = text[max(0, start - budget) : max(0, start) + size + budget]
             if len(stretch) < size - budget or not enough_grams(grams[n], stretch, size, budget):
                 continue
@@ -124,22 +130,23 @@ def matches(text: str, block: Block, machine, grams: list[Counter]) -> dict[int,
 
 
 def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, rate: float, min_chars: int, block_chars: int):
-    """Blocks of items, read one after the other. Items shorter than min_chars prove nothing and are left out."""
-    ids, items, budgets, size = [], [], [], 0
-    rows = benchmark.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, text)
+    """Blocks of items, read one after the other. Items shorter than min_chars match as whole words without edits."""
+    ids, items, budgets, whole, size = [], [], [], [], 0
+    rows = benchmark.where(F.col(text).isNotNull()).select(item_id, text)
     for row in rows.toLocalIterator():
         item = normal(row[1])
-        if len(item) < min_chars:
+        if not item:
             continue
         if size and size + len(item) > block_chars:
-            yield Block(ids, items, budgets)
-            ids, items, budgets, size = [], [], [], 0
+            yield Block(ids, items, budgets, whole)
+            ids, items, budgets, whole, size = [], [], [], [], 0
         ids.append(row[0])
         items.append(item)
-        budgets.append(int(len(item) * rate))
+        whole.append(len(item) < min_chars)
+        budgets.append(0 if whole[-1] else int(len(item) * rate))
         size += len(item)
     if size:
-        yield Block(ids, items, budgets)
+        yield Block(ids, items, budgets, whole)
 
 
 def _match(docs: DataFrame, blocks: list[Block], keep: list[str], text: str) -> DataFrame:
@@ -157,7 +164,7 @@ def _match(docs: DataFrame, blocks: list[Block], keep: list[str], text: str) ->
             for i, value in enumerate(batch.column(columns.index(text))):
                 plain = normal(value.as_py())
                 for block, machine, grams in loaded:
-                    rows += sorted((block.ids[n], d) for n, d in matches(plain, block, machine, grams).items())
+                    rows += sorted(((block.ids[n], d) for n, d in matches(plain, block, machine, grams).items()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
                 offsets[i + 1] = len(rows)
             flat = pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["item_id", "distance"])
             yield pa.RecordBatch.from_arrays([*[batch.column(columns.index(c)) for c in keep], pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*keep, "hits"])
@@ -168,9 +175,9 @@ def _match(docs: DataFrame, blocks: list[Block], keep: list[str], text: str) ->
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Every (document, test item) pair: the columns `keep` with item_id and distance (edits) added.
 
-    The error budget of an item is `rate` of its normalised length. Null and empty texts and items match nothing;
-    items under min_chars characters are left out; repeated rows and items each count. Each block is one pass over the
-    documents.
+    The error budget of an item is `rate` of its normalised length; items under min_chars characters have none and match
+    as whole words. Null and empty texts and items match nothing; items with a null id count; repeated rows and items
+    each count. Each block is one pass over the documents.
     """
     keep = [c for c in keep if c not in ("item_id", "distance", "hits")]
     out = None
