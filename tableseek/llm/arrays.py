@@ -88,12 +88,12 @@ def byte_values(raw: np.ndarray) -> np.ndarray:
     return _BYTE_VALUE[raw]
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the first word of each row (one entry more than rows)."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_IS_SEPARATOR[raw]
+    inside = ~separator[raw]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.empty(n, bool)
@@ -121,8 +121,23 @@ def sliding(values: np.ndarray, width: int, fold) -> np.ndarray:
     return out
 
 
-def code_points(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Code points in each byte range: bytes that do not continue a character."""
-    lead = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
-    return lead[ends] - lead[starts]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def one_of(values: bytes) -> np.ndarray:
+    """A table of 256 that is true at these bytes."""
+    table = np.zeros(256, bool)
+    table[list(values)] = True
+    return table
+
+
+def dictionary_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """Number of each word in the list of distinct words, and that list; bytes are compared, not hashes."""
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    picks = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], ends - starts)
+    data = raw[picks]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = words.dictionary_encode()
+    return np.asarray(coded.indices).astype(np.int64), coded.dictionary

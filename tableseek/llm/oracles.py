@@ -112,3 +112,26 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learnt)::BIGINT AS
        formatted_chars::BIGINT AS formatted_chars
 FROM a
 """
+
+COLLOCATIONS = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+grams AS (SELECT lang, w[s:s + size - 1] AS w, size FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM p, range(1, 6) AS t(size))),
+total AS (SELECT lang, count(*) AS n FROM grams WHERE size = 1 GROUP BY lang),
+f AS (SELECT lang, w, size, array_to_string(w, ' ') AS phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * cuts.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = lp JOIN f r ON r.lang = cuts.lang AND r.phrase = rp JOIN total ON total.lang = cuts.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(w[s:s + len - 1], ' ') AS phrase, a
+  FROM (SELECT lang, w, a, len, unnest(range(1, size - len + 2)) AS s FROM f, range(2, 5) AS t(len) WHERE len < size)),
+ranked AS (
+  SELECT worst.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM worst ANTI JOIN (SELECT i.lang, i.phrase, max(i.a) AS held FROM inside i GROUP BY ALL) x ON x.lang = worst.lang AND x.phrase = worst.phrase AND 100 * held >= 100 * worst.a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableseek.llm import bpe, chat, decontaminate, licences, mixing, near_dedup, oracles, pii, quality, quality_rules, substring_dedup, suffix_array
+from tableseek.llm import bpe, chat, collocations, decontaminate, licences, mixing, near_dedup, oracles, pii, quality, quality_rules, substring_dedup, suffix_array
 from tableseek.llm.registry import ORACLES, QUERIES, load, query
 from tableseek.llm.scratch import stored
 
@@ -84,3 +84,8 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_token_budget_mix")
 def op11_token_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mixture(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_phrase_collocations", oracles.COLLOCATIONS)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"))
