@@ -135,3 +135,23 @@ ranked AS (
   FROM worst ANTI JOIN (SELECT i.lang, i.phrase, max(i.a) AS held FROM inside i GROUP BY ALL) x ON x.lang = worst.lang AND x.phrase = worst.phrase AND 100 * held >= 100 * worst.a)
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
 """
+
+_TERMS = r"""unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"""
+
+LEXICAL_SEARCH = f"""
+WITH t AS (SELECT doc_id, {_TERMS} AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS len FROM lengths),
+m AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // len) AS m FROM lengths, whole),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {_TERMS} AS term FROM benchmark)),
+w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf SEMI JOIN q USING (term), whole GROUP BY term, docs),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL HAVING score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 50
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableseek.llm import bpe, chat, collocations, decontaminate, licences, mixing, near_dedup, oracles, pii, quality, quality_rules, substring_dedup, suffix_array
+from tableseek.llm import bpe, chat, collocations, decontaminate, lexical, licences, mixing, near_dedup, oracles, pii, quality, quality_rules, substring_dedup, suffix_array
 from tableseek.llm.registry import ORACLES, QUERIES, load, query
 from tableseek.llm.scratch import stored
 
@@ -89,3 +89,8 @@ def op11_token_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_phrase_collocations", oracles.COLLOCATIONS)
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
+@query("op12_lexical_search", oracles.LEXICAL_SEARCH)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
