@@ -28,6 +28,7 @@ from tableseek.operators.ranking import global_ids, prefix_sum
 BLOCK_TERMS = 100_000
 TREE = 1024
 LEAF = 32
+UNEVEN = 16  # the smaller child has at least about this share of a node
 CELLS = 4_000_000
 SLICE_BYTES = 4_000_000
 PIECES = 16
@@ -70,8 +71,10 @@ class Tree:
                 a = rows[far.argmax()]
                 from_a = distances(rows, points[a], squares[a])
                 b = rows[from_a.argmax()]
-                order[low:high] = rows[np.argsort(from_a - distances(rows, points[b], squares[b]), kind="stable")]
-                middle = (low + high) // 2
+                nearer = from_a - distances(rows, points[b], squares[b])
+                order[low:high] = rows[np.argsort(nearer, kind="stable")]
+                least = (high - low) // UNEVEN + 1
+                middle = low + min(max(int((nearer < 0).sum()), least), high - low - least)
                 self.children[node] = grow(low, middle), grow(middle, high)
             return node
 
