@@ -5,7 +5,9 @@
    sketch's positions, or two with chance 1 / similarity - 1, and the class moves on to the child named by its value
    there. Classes at the threshold so keep one common node a level on average, unlike ones soon part. Nodes of DEPTH
    levels with at most SMALL classes are compared exhaustively by sketch, which leaves a spanning forest of likely
-   links. In larger nodes every class is compared with the smallest one, and all branch on for DEEPER levels.
+   links. In larger nodes every class is compared with the smallest one, and unless all agree with it they branch on for
+   DEEPER levels; what is large even then is compared exhaustively in blocks. The links of the first LEADING trees are
+   contracted to labels, and the other trees only look for links between labels.
 3. Likely links join classes to clusters, somewhat too large. Each cluster's texts are brought together once and links
    are confirmed on the full sets, in blocks of about BLOCK classes or BLOCK_SHINGLES and between all pairs of blocks.
 4. Confirmed links give the components.
@@ -28,7 +30,8 @@ from tableseek.llm.scratch import stored
 DRAWS = 64
 TREES = 14
 DEPTH = 4
-DEEPER = 2
+DEEPER = 6
+LEADING = 2  # trees whose links are contracted before the others look for more
 SMALL = 256
 BLOCK = 3000
 BLOCK_SHINGLES = 2_000_000
@@ -109,11 +112,14 @@ class Forest:
             self.parent = up
 
 
-def likely_forest(sketch: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the likely links of a small node."""
+def likely_forest(sketch: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the likely links of a small node between different labels; labels ascend."""
     forest, out = Forest(len(sketch)), []
+    for i in np.flatnonzero(labels[1:] == labels[:-1]).tolist():
+        forest.join(i, i + 1)
     for i in range(len(sketch) - 1):
-        for j in (i + 1 + np.flatnonzero((sketch[i + 1 :] == sketch[i]).mean(1) >= LIKELY)).tolist():
+        other = i + 1 + np.flatnonzero(labels[i + 1 :] != labels[i])
+        for j in other[(sketch[other] == sketch[i]).mean(1) >= LIKELY].tolist():
             if forest.join(i, j):
                 out.append((i, j))
     return out
@@ -191,27 +197,34 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, DRAWS)
 
 
-def _descend(members: DataFrame, similarity: float, levels: int) -> DataFrame:
-    """(node, key) after so many more levels, from (node, key, sketch); a null node stands for the roots of all trees."""
+def _descend(members: DataFrame, similarity: float, levels: int, trees: range) -> DataFrame:
+    """(node, key, label) after so many more levels, from (node, key, sketch, label); a null node stands for the roots of
+    these trees."""
 
     def walk(batches):
         for batch in batches:
             n = batch.num_rows
             sketch = _matrix(batch.column(2))
             if batch.column(0).null_count:
-                member = np.tile(np.arange(n), TREES)
-                node = mix(np.repeat(np.arange(TREES), n).astype(np.uint64))
+                member = np.tile(np.arange(n), len(trees))
+                node = mix(np.repeat(np.arange(trees.start, trees.stop), n).astype(np.uint64))
             else:
                 node, member = np.asarray(batch.column(0)).astype(np.uint64), np.arange(n)
             node, member = _walk(node, member, sketch, similarity, levels)
             for at in range(0, len(node), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 100_000].astype(np.int64)), batch.column(1).take(pa.array(member[at : at + 100_000]))], names=["node", "key"])
+                rows = pa.array(member[at : at + 100_000])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[at : at + 100_000].astype(np.int64)), batch.column(1).take(rows), batch.column(3).take(rows)], names=["node", "key", "label"]
+                )
 
-    return members.select("node", "key", "sketch").mapInArrow(walk, "node long, key long")
+    return members.select("node", "key", "sketch", "label").mapInArrow(walk, "node long, key long, label long")
 
 
 def _likely_in_small(members: DataFrame) -> DataFrame:
-    """Spanning forests (a, b) of nodes, from (node, key, sketch). Nodes hold SMALL rows at most."""
+    """Links (a, b) between labels that join what is likely linked in a node, from (node, label, key, sketch).
+
+    Members of one label are joined already. Nodes hold 2 * SMALL rows at most.
+    """
 
     def compare(batches):
         rest = None
@@ -230,44 +243,79 @@ def _likely_in_small(members: DataFrame) -> DataFrame:
         n = table.num_rows
         if not n:
             return
-        keys, sketch = np.asarray(table.column(1)), _matrix(table.column(2))
+        labels, sketch = np.asarray(table.column(1)), _matrix(table.column(2))
         edges = [*[c for c in cuts.tolist() if c < n], n]
         a, b = [], []
         for low, high in zip(edges, edges[1:]):
             if high - low == 2:
-                if (sketch[low] == sketch[low + 1]).mean() >= LIKELY:
+                if labels[low] != labels[low + 1] and (sketch[low] == sketch[low + 1]).mean() >= LIKELY:
                     a.append(low)
                     b.append(low + 1)
             elif high - low > 2:
-                for i, j in likely_forest(sketch[low:high]):
+                for i, j in likely_forest(sketch[low:high], labels[low:high]):
                     a.append(low + i)
                     b.append(low + j)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(keys[b])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(labels[a]), pa.array(labels[b])], names=["a", "b"])
 
-    dealt = members.select("node", "key", "sketch").repartition("node").sortWithinPartitions("node", "key")
+    dealt = members.select("node", "label", "sketch", "key").repartition("node").sortWithinPartitions("node", "label", "key")
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def likely_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """Distinct likely links (a, b) between classes (key, sketch), enough to join each cluster."""
-    links, at = None, classes.select(F.lit(None).cast("long").alias("node"), "key", "sketch")
+def likely_links(classes: DataFrame, similarity: float, trees: range) -> DataFrame:
+    """Distinct likely links (a, b) between labels of classes (key, sketch, label), enough to join what these trees bring
+    together. Nodes of one label are left alone, large nodes branch on until they are small, of one label, or agree with
+    their first member; what is large after DEEPER levels is compared exhaustively, in blocks."""
+    links, at = None, classes.select(F.lit(None).cast("long").alias("node"), "key", "sketch", "label")
+    sketched = stored(classes.select("key", "sketch"), "sketches")
     for step in range(1 + DEEPER):
-        paths = _descend(at, similarity, 1 if step else DEPTH)
-        sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
-        shared = stored(paths.join(sizes, "node"), "nodes")
-        sketched = classes.select("key", "sketch")
-        small = _likely_in_small(shared.where(F.col("n") <= SMALL).select("node", "key").join(sketched, "key"))
-        star = shared.where((F.col("n") > SMALL) & (F.col("key") != F.col("least"))).select("key", "least").distinct()
-        star = star.join(sketched, "key").join(sketched.select(F.col("key").alias("least"), F.col("sketch").alias("other")), "least")
-        large = star.where(_agree("sketch", "other")).select(F.col("least").alias("a"), F.col("key").alias("b"))
-        found = small.unionByName(large)
+        paths = stored(_descend(at, similarity, 1 if step else DEPTH, trees), "paths")
+        sizes = paths.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "label")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high")
+        ).where("low < high").select("node", "n", "first")
+        many = stored(sizes.where(F.col("n") > SMALL), "large")
+        few = paths.join(many, "node", "left_anti").join(sizes.where(F.col("n") <= SMALL).select("node"), "node")
+        found = _likely_in_small(few.join(sketched, "key"))
         links = found if links is None else links.unionByName(found)
-        if shared.where(F.col("n") > SMALL).isEmpty():
+        if many.isEmpty():
+            break
+        # each member of a large node meets the node's first one
+        held = paths.join(many.select("node", "first"), "node").join(sketched, "key")
+        first = sketched.select(F.col("key").alias("least"), F.col("sketch").alias("other"))
+        hubs = many.select("node", F.col("first.key").alias("least")).join(first, "least").select("node", "other")
+        held = stored(held.join(hubs, "node").withColumn("near", _agree("sketch", "other")).drop("other"), "hubs")
+        links = links.unionByName(held.where("near AND label != first.label").select(F.col("first.label").alias("a"), F.col("label").alias("b")))
+        apart = held.groupBy("node").agg(F.bool_and("near").alias("whole")).where("NOT whole").select("node")
+        at = stored(held.join(apart, "node", "left_semi").select("node", "key", "sketch", "label"), "members")
+        if at.isEmpty():
             break
-        at = shared.where(F.col("n") > SMALL).select("node", "key").join(sketched, "key")
+        if step == DEEPER:
+            links = links.unionByName(_likely_in_blocks(at))
     return links.distinct()
 
 
+def _likely_in_blocks(members: DataFrame) -> DataFrame:
+    """As _likely_in_small, for nodes of any size: between all pairs of their blocks."""
+    blocks = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / (SMALL // 2)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("key"), "blocks").cast("int")
+    pair = lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))
+    pairs = members.join(blocks, "node").withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
+    return _likely_in_small(pairs.select(F.xxhash64("node", "at").alias("node"), "key", "sketch", "label"))
+
+
+def likely_clusters(classes: DataFrame, similarity: float) -> DataFrame:
+    """(key, root) of the classes (key, sketch) that have likely links.
+
+    The first trees' links are contracted to labels; the other trees only add links between these, so the links to join
+    are a few for each class, however many copies a group has.
+    """
+    at = classes.select("key", "sketch").withColumn("label", F.col("key"))
+    for trees in (range(LEADING), range(LEADING, TREES)):
+        found = components(stored(likely_links(at, similarity, trees), "links")).select(F.col("key").alias("label"), "root")
+        at = stored(at.join(found, "label", "left").select("key", "sketch", F.coalesce("root", "label").alias("label")), "labels")
+    sizes = at.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label")
+    return at.join(sizes, "label", "left_semi").select("key", F.col("label").alias("root"))
+
+
 def _agree(a: str, b: str):
     """At least LIKELY of the bytes of two sketches are equal."""
     left, right = F.hex(a), F.hex(b)
@@ -317,7 +365,7 @@ def _linked(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) ->
     found = rows.where("key is not null").groupBy("key")
     found = found.agg(F.min("row").alias("least"), F.max(F.struct("n_shingles", "sketch")).alias("set"), F.min(place).alias("place"))
     classes = stored(found.select("key", "least", "set.*", "place"), "classes")
-    clusters = components(likely_links(classes, percent / 100))
+    clusters = likely_clusters(classes, percent / 100)
     sized = clusters.join(classes.select("key", "n_shingles"), "key")
     sizes = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     clusters = stored(clusters.join(sizes, "root"), "clusters")

@@ -5,6 +5,7 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tableseek.llm import near_dedup
 
@@ -44,11 +45,40 @@ def test_small_blocks_and_nodes_lose_no_link(spark, monkeypatch):
     assert run(spark, rows, 2) == {d: (*x, x[1] == d) for (d, _), x in zip(rows, brute.near(rows, 2))}
 
 
-def test_given_table(spark):
+def test_large_nodes_end_in_exact_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "DEEPER", 0)
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    rows = corpus(5)
+    assert run(spark, rows, 2) == {d: (*x, x[1] == d) for (d, _), x in zip(rows, brute.near(rows, 2))}
+
+
+def test_links_stay_few_in_a_large_group(spark):
+    """A group of many near copies gives a few links for each class, whatever the number of trees."""
+    draw = random.Random(3)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for _ in range(8):
+            words[draw.randrange(400)] = f"x{draw.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = near_dedup._sets(docs, "doc_id", "text", 2).select("key", "sketch", F.col("key").alias("label"))
+    classes = near_dedup.stored(sets, "classes")
+    assert near_dedup.likely_links(classes, 0.8, range(near_dedup.LEADING)).count() < 3 * 500
+    labelled = near_dedup.components(near_dedup.likely_links(classes, 0.8, range(near_dedup.LEADING)))
+    labelled = classes.drop("label").join(labelled.select("key", F.col("root").alias("label")), "key")
+    assert near_dedup.likely_links(labelled, 0.8, range(near_dedup.LEADING, near_dedup.TREES)).count() < 50
+    found = near_dedup.near_duplicates(docs, size=2).select("component_id").distinct().count()
+    assert found == len({c for _, c in brute.near(rows, 2)})
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_given_table(spark, size):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
-    assert got == {d: x for (d, _), x in zip(rows, brute.near(rows, 5))}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, size=size).collect()}
+    assert got == {d: x for (d, _), x in zip(rows, brute.near(rows, size))}
 
 
 def test_one_of_each_stays(spark):
