@@ -19,7 +19,7 @@ def text_views(column) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    if not pa.types.is_large_string(column.type) or column.null_count or column.offset:
+    if not (pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)) or column.null_count or column.offset:
         column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2]
@@ -132,12 +132,13 @@ def one_of(values: bytes) -> np.ndarray:
     return table
 
 
-def dictionary_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
-    """Number of each word in the list of distinct words, and that list; bytes are compared, not hashes."""
-    offsets = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(ends - starts, out=offsets[1:])
-    picks = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], ends - starts)
-    data = raw[picks]
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+def dictionary_of(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """Number of each word in the list of distinct words, and that list; bytes are compared, not hashes.
+
+    data: the bytes of all words, one after the other.
+    """
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
     coded = words.dictionary_encode()
     return np.asarray(coded.indices).astype(np.int64), coded.dictionary

@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tableseek.llm.arrays import LOWER, dictionary_of, mix, one_of, slices_by_bytes, text_views, words_of
+from tableseek.llm.arrays import LOWER, dictionary_of, mix, one_of, slices_by_bytes, text_views, word_hashes, words_of
 from tableseek.llm.scratch import stored
 
 LEAST = 100
 LENGTH = 5
 TOP = 2000
-FIRST = 2000  # roots of the first round, per language
+FIRST = 8000  # roots of the first round, per language
 GROWTH = 4
 BITS = 1 << 25
 BLOCK = 1 << 16  # bits of a map that one task puts together
@@ -43,6 +43,7 @@ PIECES = 64  # per language, before its best phrases are ranked together
 NO_LANGUAGE = "und"
 
 _CUT = one_of(b".,;:!?\n\x0b\x0c\r")
+_BLANK = one_of(b" ")
 _APART = _CUT | one_of(b" \t")
 
 
@@ -53,15 +54,15 @@ class Slice:
         raw = LOWER[raw]
         starts, ends, first = words_of(raw, offsets, _APART)
         rows = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-        self.piece = np.cumsum(_CUT[raw])[starts] + rows if len(starts) else np.zeros(0, np.int64)
-        word, self.words = dictionary_of(raw, starts, ends)
-        pairs = language[rows] * (len(self.words) or 1) + word
-        distinct, self.id = np.unique(pairs, return_inverse=True)
+        self.piece = np.searchsorted(np.flatnonzero(_CUT[raw]), starts) + rows
+        word, self.words = dictionary_of(raw[~_APART[raw]], ends - starts)
+        distinct, self.id = _numbered(language[rows] * (len(self.words) or 1) + word)
         self.language, self.word = np.divmod(distinct, len(self.words) or 1)
 
     def hashes(self, languages: list[bytes]) -> np.ndarray:
-        words = self.words.to_pylist()
-        return np.fromiter((word_hash(languages[i], words[w]) for i, w in zip(self.language.tolist(), self.word.tolist())), np.uint64, len(self.word))
+        raw, offsets = text_views(self.words)
+        words = word_hashes(raw, offsets[:-1], offsets[1:])
+        return in_language(language_hashes(languages)[self.language], words[self.word])
 
     def phrases(self, at: np.ndarray, length: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """Language, text and count of the distinct phrases of `length` words that start at these words."""
@@ -75,8 +76,23 @@ class Slice:
         return self.language[self.id[at]], text, count
 
 
-def word_hash(language: bytes, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(language + b"\x00" + word)
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and the place of each value among them."""
+    if not len(values) or int(values.max()) > 4 * SLICE_BYTES:
+        return np.unique(values, return_inverse=True)
+    there = np.zeros(int(values.max()) + 1, np.int64)
+    there[values] = 1
+    distinct = np.flatnonzero(there)
+    there[distinct] = np.arange(len(distinct))
+    return distinct, there[values]
+
+
+def language_hashes(languages: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x) for x in languages], np.uint64)
+
+
+def in_language(language: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(word + language)
 
 
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -145,13 +161,13 @@ def _bit_map(phrases: DataFrame):
 
     def place(batches):
         for batch in batches:
-            found = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = [word_hash(lang.encode(), w) for w in phrase.encode().split(b" ")]
-                found.append([words[0], words[-1]])
-            at = np.array(found, np.uint64).reshape(-1, 2)
-            paired = pc.match_substring(batch.column(1), " ").to_numpy(zero_copy_only=False).astype(bool)
-            at = np.where(paired, pair_hash(at[:, 0], at[:, 1]), at[:, 0]) & np.uint64(BITS - 1)
+            coded = batch.column(0).dictionary_encode()
+            language = language_hashes([x.encode() for x in coded.dictionary.to_pylist()])[np.asarray(coded.indices)]
+            raw, offsets = text_views(batch.column(1))
+            starts, ends, first = words_of(raw, offsets, _BLANK)
+            words = word_hashes(raw, starts, ends)
+            left, right = in_language(language, words[first[:-1]]), in_language(language, words[first[1:] - 1])
+            at = np.where(np.diff(first) > 1, pair_hash(left, right), left) & np.uint64(BITS - 1)
             at = np.unique(at).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at // BLOCK), pa.array(at % BLOCK)], names=["block", "bit"])
 

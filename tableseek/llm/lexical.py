@@ -42,7 +42,7 @@ def terms_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array
     """Number of each term among the distinct ones, these, and the first term of each row (one entry more than rows)."""
     raw = LOWER[raw]
     starts, ends, first = words_of(raw, offsets, _APART)
-    return *dictionary_of(raw, starts, ends), first
+    return *dictionary_of(raw[~_APART[raw]], ends - starts), first
 
 
 class Tree:
