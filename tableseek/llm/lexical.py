@@ -29,7 +29,7 @@ BLOCK_TERMS = 100_000
 TREE = 1024
 LEAF = 32
 UNEVEN = 16  # the smaller child has at least about this share of a node
-CELLS = 4_000_000
+CELLS = 2_000_000
 SLICE_BYTES = 4_000_000
 PIECES = 16
 SLACK = 1e-9  # relative; far above what rounding in doubles can add up to
@@ -51,35 +51,32 @@ class Tree:
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         points = x.astype(float)
         squares = np.einsum("ij,ij->i", points, points)
-        self.children: list[tuple[int, int] | None] = []
-        self.spans: list[tuple[int, int]] = []
-        centres, radii, order = [], [], np.arange(len(x))
-
-        def distances(rows, centre, square):
-            return squares[rows] + square - 2 * (points[rows] @ centre)
-
-        def grow(low: int, high: int) -> int:
-            node, rows = len(self.spans), order[low:high]
-            centre = points[rows].mean(0)
+        self.children: list[tuple[int, int] | None] = [None]
+        self.spans = [(0, len(x))]
+        centres, radii, order, node = [], [], np.arange(len(x)), 0
+        while node < len(self.spans):
+            low, high = self.spans[node]
+            rows = order[low:high]
+            held = points[rows]
+            centre = held.mean(0)
             square = float(centre @ centre)
-            far = distances(rows, centre, square)
-            self.spans.append((low, high))
-            self.children.append(None)
+            far = squares[rows] + square - 2 * (held @ centre)
             centres.append(centre)
             radii.append(math.sqrt(max(far.max(), 0) + SLACK * (squares[rows].max() + square)))
             if high - low > LEAF:
                 a = rows[far.argmax()]
-                from_a = distances(rows, points[a], squares[a])
-                b = rows[from_a.argmax()]
-                nearer = from_a - distances(rows, points[b], squares[b])
+                to_a = squares[rows] + squares[a] - 2 * (held @ points[a])
+                b = rows[to_a.argmax()]
+                nearer = to_a - (squares[rows] + squares[b] - 2 * (held @ points[b]))
                 order[low:high] = rows[np.argsort(nearer, kind="stable")]
                 least = (high - low) // UNEVEN + 1
                 middle = low + min(max(int((nearer < 0).sum()), least), high - low - least)
-                self.children[node] = grow(low, middle), grow(middle, high)
-            return node
-
-        grow(0, len(x))
+                self.children[node] = len(self.spans), len(self.spans) + 1
+                self.spans += [(low, middle), (middle, high)]
+                self.children += [None, None]
+            node += 1
         self.centres, self.radii = np.array(centres), np.array(radii)
+        del points, held
         self.x, self.ids = x[order], ids[order]
 
     def bounds(self, dims: np.ndarray) -> np.ndarray:
@@ -230,6 +227,7 @@ def _search(vectors: DataFrame, block, weights, documents: int, length: int, k:
                 if len(own):
                     tree.search(own, found)
             place[active] = -1
+            del tree  # before the next one is built
         for number, found in zip(items.numbers, best):
             if len(found.ids):
                 n = len(found.ids)
