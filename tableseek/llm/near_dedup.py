@@ -6,8 +6,8 @@
    there. Classes at the threshold so keep one common node a level on average, unlike ones soon part. Nodes of DEPTH
    levels with at most SMALL classes are compared exhaustively by sketch, which leaves a spanning forest of likely
    links. In larger nodes every class is compared with the smallest one, and unless all agree with it they branch on for
-   DEEPER levels; what is large even then is compared exhaustively in blocks. The links of the first LEADING trees are
-   contracted to labels, and the other trees only look for links between labels.
+   DEEPER levels; what is large even then is compared exhaustively in blocks. The links of the first tree's first level
+   are contracted to labels before that, and nodes of one label need no more work.
 3. Likely links join classes to clusters, somewhat too large. Each cluster's texts are brought together once and links
    are confirmed on the full sets, in blocks of about BLOCK classes or BLOCK_SHINGLES and between all pairs of blocks.
 4. Confirmed links give the components.
@@ -31,7 +31,6 @@ DRAWS = 64
 TREES = 14
 DEPTH = 4
 DEEPER = 6
-LEADING = 2  # trees whose links are contracted before the others look for more
 SMALL = 256
 BLOCK = 3000
 BLOCK_SHINGLES = 2_000_000
@@ -197,17 +196,17 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, DRAWS)
 
 
-def _descend(members: DataFrame, similarity: float, levels: int, trees: range) -> DataFrame:
+def _descend(members: DataFrame, similarity: float, levels: int, trees: int) -> DataFrame:
     """(node, key, label) after so many more levels, from (node, key, sketch, label); a null node stands for the roots of
-    these trees."""
+    so many trees."""
 
     def walk(batches):
         for batch in batches:
             n = batch.num_rows
             sketch = _matrix(batch.column(2))
             if batch.column(0).null_count:
-                member = np.tile(np.arange(n), len(trees))
-                node = mix(np.repeat(np.arange(trees.start, trees.stop), n).astype(np.uint64))
+                member = np.tile(np.arange(n), trees)
+                node = mix(np.repeat(np.arange(trees), n).astype(np.uint64))
             else:
                 node, member = np.asarray(batch.column(0)).astype(np.uint64), np.arange(n)
             node, member = _walk(node, member, sketch, similarity, levels)
@@ -261,13 +260,15 @@ def _likely_in_small(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def likely_links(classes: DataFrame, similarity: float, trees: range) -> DataFrame:
+def likely_links(classes: DataFrame, similarity: float, trees: int, deeper: int | None = None) -> DataFrame:
     """Distinct likely links (a, b) between labels of classes (key, sketch, label), enough to join what these trees bring
     together. Nodes of one label are left alone, large nodes branch on until they are small, of one label, or agree with
-    their first member; what is large after DEEPER levels is compared exhaustively, in blocks."""
+    their first member; what is large after DEEPER levels is compared exhaustively, in blocks. With deeper, nodes branch
+    on for so many levels only, and what is large then is left to other trees."""
+    levels = DEEPER if deeper is None else deeper
     links, at = None, classes.select(F.lit(None).cast("long").alias("node"), "key", "sketch", "label")
     sketched = stored(classes.select("key", "sketch"), "sketches")
-    for step in range(1 + DEEPER):
+    for step in range(1 + levels):
         paths = stored(_descend(at, similarity, 1 if step else DEPTH, trees), "paths")
         sizes = paths.groupBy("node").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "label")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high")
@@ -284,11 +285,13 @@ def likely_links(classes: DataFrame, similarity: float, trees: range) -> DataFra
         hubs = many.select("node", F.col("first.key").alias("least")).join(first, "least").select("node", "other")
         held = stored(held.join(hubs, "node").withColumn("near", _agree("sketch", "other")).drop("other"), "hubs")
         links = links.unionByName(held.where("near AND label != first.label").select(F.col("first.label").alias("a"), F.col("label").alias("b")))
+        if step == deeper:
+            break
         apart = held.groupBy("node").agg(F.bool_and("near").alias("whole")).where("NOT whole").select("node")
         at = stored(held.join(apart, "node", "left_semi").select("node", "key", "sketch", "label"), "members")
         if at.isEmpty():
             break
-        if step == DEEPER:
+        if step == levels:
             links = links.unionByName(_likely_in_blocks(at))
     return links.distinct()
 
@@ -305,12 +308,12 @@ def _likely_in_blocks(members: DataFrame) -> DataFrame:
 def likely_clusters(classes: DataFrame, similarity: float) -> DataFrame:
     """(key, root) of the classes (key, sketch) that have likely links.
 
-    The first trees' links are contracted to labels; the other trees only add links between these, so the links to join
-    are a few for each class, however many copies a group has.
+    What the first tree joins at its first level is contracted to labels, and then all trees only look for links between
+    labels, so the links to join are a few for each class, however many copies a group has.
     """
     at = classes.select("key", "sketch").withColumn("label", F.col("key"))
-    for trees in (range(LEADING), range(LEADING, TREES)):
-        found = components(stored(likely_links(at, similarity, trees), "links")).select(F.col("key").alias("label"), "root")
+    for trees, deeper in ((1, 0), (TREES, None)):
+        found = components(stored(likely_links(at, similarity, trees, deeper), "links")).select(F.col("key").alias("label"), "root")
         at = stored(at.join(found, "label", "left").select("key", "sketch", F.coalesce("root", "label").alias("label")), "labels")
     sizes = at.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label")
     return at.join(sizes, "label", "left_semi").select("key", F.col("label").alias("root"))
