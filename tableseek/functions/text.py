@@ -15,11 +15,10 @@ from tableseek.model import (
 )
 
 # Float grammar of the cell parser: optional sign, digits with single underscores
-# between them, optional fraction and exponent, or the inf / nan words.
-_DIGITS = r"[0-9](?:_?[0-9])*"
-FLOAT_GRAMMAR = (
-    rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-)
+# between them, optional fraction and exponent, or the inf / nan words. Underscores are
+# tested apart, so no group repeats: a repeated group costs the matcher stack per digit.
+FLOAT_GRAMMAR = r"^[+-]?(?:[0-9][0-9_]*+(?:\.[0-9_]*+)?|\.[0-9][0-9_]*+)(?:[eE][+-]?[0-9][0-9_]*+)?$"
+STRAY_UNDERSCORE = r"_(?![0-9])|(?<![0-9])_"
 INF_GRAMMAR = r"^[+-]?(?:inf|infinity)$"
 NAN_GRAMMAR = r"^[+-]?nan$"
 KEY_HEADER = r"(^|_)(id|uuid|guid|key)($|_)"
@@ -49,7 +48,9 @@ def _to_float(text: Column) -> Column:
     lowered = F.lower(text)
     negative = lowered.startswith("-")
     return (
-        F.when(text.rlike(FLOAT_GRAMMAR), F.regexp_replace(text, "_", "").try_cast("double"))
+        F.when(
+            text.rlike(FLOAT_GRAMMAR) & ~text.rlike(STRAY_UNDERSCORE), F.regexp_replace(text, "_", "").try_cast("double")
+        )
         .when(lowered.rlike(NAN_GRAMMAR), F.lit(float("nan")))
         .when(lowered.rlike(INF_GRAMMAR) & negative, F.lit(float("-inf")))
         .when(lowered.rlike(INF_GRAMMAR), F.lit(float("inf")))

@@ -25,7 +25,8 @@ TOKENS = re.compile(
     r"`(?:``|[^`])*`|\[[^\]]*\]|[A-Za-z_][A-Za-z0-9_$]*|[(),.;]",
     re.DOTALL,
 )
-NOISE_PATTERN = r"(?s)--[^\n]*|/\*.*?\*/|'(?:''|[^'])*'"
+# A doubled quote ends one literal and begins the next, which is the same noise.
+NOISE_PATTERN = r"(?s)--[^\n]*|/\*.*?\*/|'[^']*'"
 CLAUSE_WORDS = [
     "where", "group", "order", "having", "limit", "union", "intersect",
     "except", "window", "returning", "qualify", "on",

@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from tableseek.functions.hashing import hash_key
 from tableseek.session import cut_lineage
 
-# Spark plans a map-side WindowGroupLimit for rank filters up to this k.
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
-
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
@@ -32,17 +29,19 @@ def row_in_small_group(group: Sequence[str], order: Sequence[str | Column]) -> C
 
 
 def top_k(
-    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], k: int, rank: str = "rank"
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], k: int, rank: str = "rank", pieces: int = 32
 ) -> DataFrame:
     """First k rows of every group, with their 1-based rank.
 
-    Spark keeps only k rows per group and map task before the shuffle; the session's
-    threshold for that is raised to k where it is lower.
+    Ranked in two levels: a group's rows are first cut to k within each of its pieces, dealt by the hash of the row, so a
+    group meets in one task only with k rows of each piece. Before the first shuffle Spark keeps k rows per piece
+    and task, where its window group limit allows that k.
     """
-    spark = df.sparkSession
-    if int(spark.conf.get(GROUP_LIMIT, "1000")) < k:
-        spark.conf.set(GROUP_LIMIT, str(k))
-    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*_cols(order))))
+    keyed = [c for c, kind in df.dtypes if kind.split("<")[0] not in ("map", "variant")]
+    piece = F.pmod(F.xxhash64(*keyed), F.lit(pieces))
+    first = Window.partitionBy(*group, "_piece").orderBy(*_cols(order))
+    some = df.withColumn("_piece", piece).withColumn(rank, F.row_number().over(first)).filter(F.col(rank) <= k)
+    ranked = some.drop("_piece", rank).withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*_cols(order))))
     return ranked.filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("bigint"))
 
 

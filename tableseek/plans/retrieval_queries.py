@@ -9,13 +9,14 @@ from tableseek.functions import vectors as V
 from tableseek.functions.hashing import hash_key
 from tableseek.operators import batches as B
 from tableseek.operators import candidates as K
+from tableseek.operators import lexical_index as I
 from tableseek.operators import metrics as M
 from tableseek.operators import retrieval as X
 from tableseek.operators import scoring as S
 from tableseek.operators.ranking import top_k
 from tableseek.operators.vectorise import hashed_token_vectors
 from tableseek.plans.registry import load, query
-from tableseek.session import materialize, spread
+from tableseek.session import materialize, scratch_path, shared_dir, spread
 
 TOK = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
@@ -52,18 +53,48 @@ cum AS (SELECT *, sum(positive::INT) OVER (PARTITION BY query_id ORDER BY rank R
 pq AS (SELECT query_id, avg(prec) AS ap, 1.0 / min(rank) AS rr, count(*) AS n_positive FROM cum WHERE positive GROUP BY query_id)"""
 
 
+def stored_index(spark, d):
+    """The index over the documents of ``d`` in the shared folder, built where it is absent.
+
+    Its name follows from the files' paths, sizes and times, so changed tables get an index of their own.
+    """
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    files = load(spark, d, "documents").select(file.alias("h")).distinct().agg(F.hex(F.bit_xor("h"))).first()[0]
+    return I.open_or_build(docs(spark, d), f"{shared_dir(spark)}/lexical-{files}", "doc_id", "text")
+
+
 def _hits(spark, d, k=100):
-    return X.bm25_search(docs(spark, d), passages(spark, d), k, key="doc_id", text="text")
+    return stored_index(spark, d).search(passages(spark, d), k, "doc_id")
 
 
 def judged_hits(spark, d, k=100):
-    truth = X.passage_qrels(
-        docs(spark, d), load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), key="doc_id", text="text"
-    )
-    marked = _hits(spark, d, k).join(truth.withColumn("_p", F.lit(True)), ["query_id", "doc_id"], "left")
+    index = stored_index(spark, d)
+    truth = I.passages_by_index(index, docs(spark, d), passages(spark, d), "doc_id", "text")
+    hits = index.search(passages(spark, d), k, "doc_id")
+    marked = hits.join(truth.withColumn("_p", F.lit(True)), ["query_id", "doc_id"], "left")
     return marked.select("query_id", "doc_id", "score", "rank", F.coalesce("_p", F.lit(False)).alias("positive"))
 
 
+@query(
+    "lexical_index",
+    f"""WITH tk AS (SELECT doc_id, unnest({tok_sql('text')}) AS term FROM documents),
+p AS (SELECT term, doc_id, count(*) AS tf FROM tk GROUP BY ALL)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, CAST(max(tf) AS INT) AS max_tf FROM p GROUP BY term""",
+)
+def lexical_index(spark, d):
+    """Term dictionary of the stored index; built by the first query that needs it."""
+    return stored_index(spark, d).terms().drop("bucket")
+
+
+@query("lexical_index_append", f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM hits WHERE rank <= 20")
+def lexical_index_append(spark, d):
+    """Search over an index whose second half was appended, the two segments then merged."""
+    whole = docs(spark, d)
+    half = F.col("doc_id") % 2 == 0
+    index = I.build_index(whole.where(half), scratch_path(spark, "lexical"), "doc_id", "text")
+    return index.append(whole.where(~half), "doc_id", "text").merge().search(passages(spark, d), 20, "doc_id")
+
+
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM hits")
 def bm25_topk(spark, d):
     return _hits(spark, d)
@@ -108,8 +139,7 @@ def chunk_metrics(spark, d):
     f"WITH {BM25_SQL} SELECT query_id, doc_id FROM rel",
 )
 def passage_qrels(spark, d):
-    truth = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return X.passage_qrels(docs(spark, d), truth, key="doc_id", text="text")
+    return I.passages_by_index(stored_index(spark, d), docs(spark, d), passages(spark, d), "doc_id", "text")
 
 
 @query(

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    # rank filters up to this k are applied before the shuffle, too
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 

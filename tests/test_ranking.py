@@ -55,7 +55,7 @@ def test_large_k_takes_rows_with_maps(skewed):
 
 def test_top_k_limits_before_the_shuffle(skewed):
     plan = ranking.top_k(skewed, ["g"], ["v", "id"], 3)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") >= 3  # one of them ahead of the first exchange
 
 
 def test_global_ids_are_dense_and_ordered(spark, skewed):

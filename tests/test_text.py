@@ -32,6 +32,16 @@ def test_numeric_grammar(spark, raw, want):
     assert one(spark, T.parse_numeric("x"), x=raw) == want
 
 
+@pytest.mark.parametrize(
+    "raw, want",
+    [("1" * 1_000_000, float("inf")), ("1_" * 500_000, None), ("1_" * 500_000 + "1x", None), ("_1", None), ("1_.5", None), ("1._5", None), ("1.5_", None), ("1e5_0", 1e50), ("1e_5", None)],
+)
+def test_long_and_underscored_numbers(spark, raw, want):
+    """No value makes the matcher recurse, however long it is."""
+    frame = spark.createDataFrame([(raw,)], "x string")
+    assert frame.select(T.parse_numeric("x").alias("r")).first()["r"] == want
+
+
 def test_nan_parses(spark):
     assert one(spark, F.isnan(T.parse_numeric("x")), x="NaN") is True
 
