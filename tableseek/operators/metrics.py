@@ -7,36 +7,75 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Score differences below this width share a ranking piece.
-PIECE_WIDTH = 1.0 / 32
-
-
-def per_query_metrics(scores: DataFrame, key: str, by: Sequence[str] = ("query_id",), width: float = PIECE_WIDTH) -> DataFrame:
+from tableseek.session import materialize
+
+# Candidates that may be ordered together in one task.
+CELL_ROWS = 50_000
+# Cells into which a larger one is cut.
+DIGITS = 4096
+
+
+def _digit(key_type: str) -> Column:
+    """Place of a row among DIGITS + 1 equal steps from the best to the worst of its cell: of scores, or of keys where
+    all scores are equal. Monotone in the order of ranks, and the worst row has a step of its own."""
+    low, high, score = F.col("_lo"), F.col("_hi"), F.col("_s")
+    by_score = F.when(score == low, F.lit(DIGITS)).otherwise(F.floor((high - score) / (high - low) * DIGITS))
+    if key_type == "string":
+        shared = F.aggregate(
+            F.sequence(F.lit(0), F.least(F.length("_klo"), F.length("_khi"))), F.lit(0),
+            lambda n, i: F.when((i == n + 1) & (F.substr("_klo", F.lit(1), i) == F.substr("_khi", F.lit(1), i)), i).otherwise(n),
+        )
+        part = lambda k: F.conv(F.rpad(F.hex(F.substr(F.encode(F.substr(k, shared + 1), "UTF-8"), F.lit(1), F.lit(6))), 12, "0"), 16, 10).cast("double")
+    else:
+        part = lambda k: k.cast("double")
+    first, last, own = part(F.col("_klo")), part(F.col("_khi")), part(F.col("_k"))
+    by_key = F.when(F.col("_k") == F.col("_khi"), F.lit(DIGITS)).otherwise(F.floor((own - first) / F.greatest(last - first, F.lit(1e-300)) * DIGITS))
+    return F.when(low < high, by_score).otherwise(by_key).cast("int")
+
+
+def per_query_metrics(scores: DataFrame, key: str, by: Sequence[str] = ("query_id",), bound: int = CELL_ROWS) -> DataFrame:
     """Average precision and reciprocal rank per query over scores(by, key, score, positive).
 
-    Candidates rank by score descending, then key. A query may own most of the rows, so
-    it is ranked in pieces of equal score width: the window runs inside (query, piece),
-    and the counts of the better pieces are added. Queries without a positive drop out.
+    Candidates rank by score descending, then key. Ranks are counted: a query is a cell, and a cell of more than
+    ``bound`` rows is cut by score (among equal scores by key) into steps whose sizes are added up; only cells that hold
+    positives are looked into again, and rows are ordered only inside cells within the bound. Rows that agree in score
+    and key are the same candidate. Queries without a positive drop out; a missing score ranks last.
     """
     by = list(by)
-    piece = [*by, "_piece"]
-    order = Window.partitionBy(*piece).orderBy(F.desc("score"), key)
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    local = scores.select(*by, key, "score", "positive").withColumn("_piece", -F.floor(F.col("score") / width))
-    local = local.withColumn("_i", F.row_number().over(order)).withColumn(
-        "_r", F.sum(F.col("positive").cast("bigint")).over(so_far)
-    )
-    sizes = local.groupBy(*piece).agg(F.max("_i").alias("_ni"), F.max("_r").alias("_nr"))
-    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *piece,
-        F.coalesce(F.sum("_ni").over(before), F.lit(0)).alias("_i0"),
-        F.coalesce(F.sum("_nr").over(before), F.lit(0)).alias("_r0"),
-    )
-    hits = local.filter("positive").join(starts, piece)
-    rank, found = F.col("_i0") + F.col("_i"), F.col("_r0") + F.col("_r")
-    return hits.groupBy(*by).agg(
-        F.avg(found / rank).alias("ap"), (1.0 / F.min(rank)).alias("rr"), F.count("*").alias("n_positive")
+    at = [*by, "_cell"]
+    none = F.lit(0).cast("bigint")
+    worst = F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))
+    rows = scores.select(*by, F.col(key).alias("_k"), worst.alias("_s"), "positive", F.lit("").alias("_cell"), none.alias("_n0"), none.alias("_r0"))
+    rows, ranked = materialize(rows, "candidates"), None
+    digit = _digit(dict(rows.dtypes)["_k"])
+    while True:
+        sizes = rows.groupBy(*at).agg(
+            F.count("*").alias("_n"), F.count_if("positive").alias("_r"), F.min("_s").alias("_lo"), F.max("_s").alias("_hi"),
+            F.min("_k").alias("_klo"), F.max("_k").alias("_khi"),
+        ).filter("_r > 0")
+        sizes = materialize(sizes, "cells")
+        whole = (F.col("_n") <= bound) | ((F.col("_lo") == F.col("_hi")) & (F.col("_klo") == F.col("_khi")))
+        order = Window.partitionBy(*at).orderBy(F.desc("_s"), "_k")
+        so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+        inside = rows.join(sizes.filter(whole).select(*at), at, "left_semi")
+        inside = inside.withColumn("_i", F.row_number().over(order)).withColumn("_p", F.sum(F.col("positive").cast("bigint")).over(so_far))
+        found = inside.filter("positive").select(*by, (F.col("_n0") + F.col("_i")).alias("_rank"), (F.col("_r0") + F.col("_p")).alias("_found"))
+        ranked = found if ranked is None else ranked.unionByName(found)
+        large = sizes.filter(~whole).drop("_n", "_r")
+        if large.isEmpty():
+            break
+        split = rows.join(large, at).withColumn("_d", digit)
+        steps = split.groupBy(*at, "_d").agg(F.count("*").alias("_n"), F.count_if("positive").alias("_r"))
+        before = Window.partitionBy(*at).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)  # of DIGITS + 1 steps
+        ahead = lambda c: F.coalesce(F.sum(c).over(before), none)
+        steps = steps.select(*at, "_d", "_r", ahead("_n").alias("_dn"), ahead("_r").alias("_dr")).filter("_r > 0").drop("_r")
+        narrowed = split.join(steps, [*at, "_d"]).select(
+            *by, "_k", "_s", "positive", F.concat_ws(".", "_cell", F.col("_d").cast("string")).alias("_cell"),
+            (F.col("_n0") + F.col("_dn")).alias("_n0"), (F.col("_r0") + F.col("_dr")).alias("_r0"),
+        )
+        rows = materialize(narrowed, "candidates")
+    return ranked.groupBy(*by).agg(
+        F.avg(F.col("_found") / F.col("_rank")).alias("ap"), (1.0 / F.min("_rank")).alias("rr"), F.count("*").alias("n_positive")
     )
 
 

@@ -12,10 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableseek.functions.hashing import hash_key
+from tableseek.session import materialize
 
 SCORES = "query_id bigint, table_id string, global double, row_match double, column_match double, mixture double"
-# Queries that one task scores against one table at a time.
+PARTIAL = (
+    "query_id bigint, table_id string, tok_idx int, best double, row_sum double, mean_sum double, n_rows bigint, "
+    "columns array<struct<col_idx: int, best: double>>"
+)
+# Queries that one task scores against one piece of a table at a time, and cells of a piece.
 QUERIES_PER_PIECE = 128
+CELLS_PER_PIECE = 4096
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
@@ -23,10 +29,26 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _best_per(groups: np.ndarray, sims: np.ndarray) -> np.ndarray:
-    """Mean over the groups of the best similarity inside each group, per query token."""
-    kinds = np.unique(groups)
-    return np.mean([sims[:, groups == g].max(axis=1) for g in kinds], axis=0)
+class _Piece:
+    """Whole rows of one table against tokens: what maxima and means need, and what pieces can add up."""
+
+    def __init__(self, tokens: pd.DataFrame, cells: pd.DataFrame):
+        raw = np.stack(cells["vec"].to_numpy()).astype(np.float64)
+        row = cells["row_idx"].to_numpy()
+        x = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-12)
+        q = _unit(tokens["vec"])
+        self.sims = q @ x.T
+        pooled = np.stack([raw[row == r].mean(axis=0) for r in np.unique(row)])
+        pooled /= np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-12)
+        self.columns, self.column_best = self._best_per(cells["col_idx"].to_numpy())
+        rows, row_best = self._best_per(row)
+        self.n_rows, self.row_sum, self.mean_sum = len(rows), row_best.sum(axis=1), (q @ pooled.T).sum(axis=1)
+        self.best = self.sims.max(axis=1)
+
+    def _best_per(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups, and the best similarity inside each, per query token."""
+        kinds = np.unique(groups)
+        return kinds, np.stack([self.sims[:, groups == g].max(axis=1) for g in kinds], axis=1)
 
 
 def _score_piece(weight: float):
@@ -39,20 +61,14 @@ def _score_piece(weight: float):
         if cells.empty or tokens.empty:
             zero = np.zeros(len(ids))
             return pd.DataFrame({"query_id": ids, "table_id": table, "global": zero, "row_match": zero, "column_match": zero, "mixture": zero})
-        raw = np.stack(cells["vec"].to_numpy()).astype(np.float64)
-        col, row = cells["col_idx"].to_numpy(), cells["row_idx"].to_numpy()
-        x = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-12)
-        q = _unit(tokens["vec"])
-        sims = q @ x.T
-        pooled = np.stack([raw[row == r].mean(axis=0) for r in np.unique(row)])
-        pooled /= np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-12)
+        piece = _Piece(tokens, cells)
         per_token = pd.DataFrame(
             {
                 "query_id": tokens["query_id"].to_numpy(),
-                "global": sims.max(axis=1),
-                "row_match": _best_per(col, sims),
-                "column_match": _best_per(row, sims),
-                "row_mean": (q @ pooled.T).mean(axis=1),
+                "global": piece.best,
+                "row_match": piece.column_best.mean(axis=1),
+                "column_match": piece.row_sum / piece.n_rows,
+                "row_mean": piece.mean_sum / piece.n_rows,
             }
         )
         out = per_token.groupby("query_id").sum().reindex(ids, fill_value=0.0).rename_axis("query_id").reset_index()
@@ -63,26 +79,69 @@ def _score_piece(weight: float):
     return score
 
 
+def _partial_piece(tokens: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+    names = ["query_id", "table_id", "tok_idx", "best", "row_sum", "mean_sum", "n_rows", "columns"]
+    tokens = tokens[tokens["vec"].notna()]
+    if cells.empty or tokens.empty:
+        return pd.DataFrame(columns=names)
+    piece = _Piece(tokens, cells)
+    columns = [[{"col_idx": int(c), "best": float(b)} for c, b in zip(piece.columns, best)] for best in piece.column_best]
+    return pd.DataFrame(
+        {
+            "query_id": tokens["query_id"].to_numpy(), "table_id": tokens["table_id"].to_numpy(), "tok_idx": tokens["tok_idx"].to_numpy(),
+            "best": piece.best, "row_sum": piece.row_sum, "mean_sum": piece.mean_sum, "n_rows": piece.n_rows, "columns": columns,
+        }
+    )[names]
+
+
+def _merged(partial: DataFrame, weight: float) -> DataFrame:
+    """Scores from the parts of each (query, table): maxima of maxima, sums of sums."""
+    at = ["query_id", "table_id", "tok_idx"]
+    whole = partial.groupBy(*at).agg(
+        F.max("best").alias("best"), F.sum("row_sum").alias("row_sum"), F.sum("mean_sum").alias("mean_sum"), F.sum("n_rows").alias("n_rows")
+    )
+    columns = partial.select(*at, F.inline("columns").alias("col_idx", "column_best")).groupBy(*at, "col_idx").agg(F.max("column_best").alias("b"))
+    per_token = whole.join(columns.groupBy(*at).agg(F.avg("b").alias("row_match")), at)
+    mean = F.sum(F.col("mean_sum") / F.col("n_rows"))
+    return per_token.groupBy("query_id", "table_id").agg(
+        F.sum("best").alias("global"), F.sum("row_match").alias("row_match"), F.sum(F.col("row_sum") / F.col("n_rows")).alias("column_match"),
+        (weight * F.sum("row_match") + (1 - weight) * mean).alias("mixture"),
+    )
+
+
 def score_candidates(
     candidates: DataFrame, query_vecs: DataFrame, cell_vecs: DataFrame, weight: float = 0.5
 ) -> DataFrame:
     """All scoring modes for each candidate pair in one pass.
 
-    candidates(query_id, table_id), query_vecs(query_id, tok_idx, vec),
-    cell_vecs(table_id, col_idx, row_idx, vec). Work is grouped by table, so a table's
-    cells travel once per piece of queries and not once per pair; a table that most
-    queries see is split into pieces of bounded size. Tables without cells and queries without tokens score 0.
+    candidates(query_id, table_id), query_vecs(query_id, tok_idx, vec), cell_vecs(table_id, col_idx, row_idx, vec).
+    Work is grouped by table, so a table's cells travel once per piece of queries and not once per pair. A table of more
+    than CELLS_PER_PIECE cells is dealt by rows into pieces, whose maxima and sums are merged by a second aggregation, so
+    no task holds a whole table; a single row, which the number of columns bounds, stays together. Tables without cells
+    and queries without tokens score 0.
     """
-    seen = candidates.groupBy("table_id").agg(F.count("*").alias("_n"))
-    n_pieces = F.ceil(F.col("_n") / QUERIES_PER_PIECE)
-    sized = seen.select("table_id", n_pieces.alias("_k"))
-    piece = F.pmod(F.xxhash64("query_id"), F.col("_k"))
-    asked = candidates.select("query_id", "table_id").join(sized, "table_id").select("query_id", "table_id", piece.alias("_piece"))
-    tokens = asked.join(query_vecs.select("query_id", "vec"), "query_id", "left").select("table_id", "_piece", "query_id", "vec")
-    pieces = sized.select("table_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)).alias("_piece"))
-    cells = cell_vecs.join(pieces, "table_id").select("table_id", "_piece", "col_idx", "row_idx", "vec")
-    keys = ["table_id", "_piece"]
-    return tokens.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(_score_piece(weight), SCORES)
+    cells_of = cell_vecs.groupBy("table_id").agg(F.ceil(F.count("*") / CELLS_PER_PIECE).alias("_parts"))
+    seen = candidates.groupBy("table_id").agg(F.ceil(F.count("*") / QUERIES_PER_PIECE).alias("_k"))
+    sized = materialize(seen.join(cells_of, "table_id", "left").select("table_id", "_k", F.coalesce("_parts", F.lit(1)).alias("_parts")), "pieces")
+    numbers = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    keys = ["table_id", "_part", "_piece"]
+
+    def groups(sizes: DataFrame):
+        piece = F.pmod(F.xxhash64("query_id"), F.col("_k"))
+        asked = candidates.select("query_id", "table_id").join(sizes, "table_id").select("query_id", "table_id", piece.alias("_piece"), F.explode(numbers("_parts")).alias("_part"))
+        tokens = asked.join(query_vecs.select("query_id", "tok_idx", "vec"), "query_id", "left").select(*keys, "query_id", "tok_idx", "vec")
+        part = F.pmod(F.xxhash64("row_idx"), F.col("_parts"))
+        cells = cell_vecs.join(sizes, "table_id").select("table_id", part.alias("_part"), F.explode(numbers("_k")).alias("_piece"), "col_idx", "row_idx", "vec")
+        return tokens.groupBy(*keys).cogroup(cells.groupBy(*keys))
+
+    small = groups(sized.filter("_parts = 1")).applyInPandas(_score_piece(weight), SCORES)
+    large = sized.filter("_parts > 1")
+    if large.isEmpty():
+        return small
+    pairs = candidates.select("query_id", "table_id").join(large.select("table_id"), "table_id")
+    merged = _merged(groups(large).applyInPandas(_partial_piece, PARTIAL), weight)
+    modes = [F.coalesce(m, F.lit(0.0)).alias(m) for m in ("global", "row_match", "column_match", "mixture")]
+    return small.unionByName(pairs.join(merged, ["query_id", "table_id"], "left").select("query_id", "table_id", *modes))
 
 
 def pooled_vectors(cell_vecs: DataFrame) -> DataFrame:
@@ -99,7 +158,7 @@ def pooled_vectors(cell_vecs: DataFrame) -> DataFrame:
 
 def seeded_centroids(vectors: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """k seeded vectors as centroids(centroid, vec)."""
-    drawn = vectors.withColumn("_h", hash_key(key, seed=seed)).orderBy("_h", key).limit(k)
+    drawn = vectors.select(key, "vec", hash_key(key, seed=seed).alias("_h")).orderBy("_h", key).limit(k)
     return drawn.select(F.col(key).alias("centroid"), "vec")
 
 
@@ -113,8 +172,8 @@ def kmeans_centroids(vectors: DataFrame, k: int, seed: int = 42, iterations: int
     return vectors.sparkSession.createDataFrame(rows, "centroid bigint, vec array<double>")
 
 
-def nearest_centroids(vectors: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
-    """The n most similar centroids of every vector, one row each, as column ``centroid``.
+def nearest_centroids(vectors: DataFrame, centroids: DataFrame, n: int, similarity: str | None = None) -> DataFrame:
+    """The n most similar centroids of every vector, one row each, as column ``centroid``; how similar, if a column is named.
 
     The codebook has a fixed number of rows, set by a parameter; it reaches the tasks as
     a broadcast variable.
@@ -126,6 +185,8 @@ def nearest_centroids(vectors: DataFrame, centroids: DataFrame, n: int) -> DataF
     shared = spark.sparkContext.broadcast((np.array([e["centroid"] for e in entries]), book))
     columns = vectors.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema) + ", centroid bigint"
+    if similarity:
+        schema += f", `{similarity}` double"
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, c = shared.value
@@ -136,6 +197,8 @@ def nearest_centroids(vectors: DataFrame, centroids: DataFrame, n: int) -> DataF
             best = np.argsort(-sims, axis=1, kind="stable")[:, :n]
             out = batch[columns].loc[batch.index.repeat(best.shape[1])].reset_index(drop=True)
             out["centroid"] = ids[best.ravel()]
+            if similarity:
+                out[similarity] = np.take_along_axis(sims, best, axis=1).ravel()
             yield out
 
     return vectors.mapInPandas(assign, schema)

@@ -9,6 +9,7 @@ from tableseek.functions import vectors as V
 from tableseek.functions.hashing import hash_key
 from tableseek.operators import batches as B
 from tableseek.operators import candidates as K
+from tableseek.operators import dense_index as D
 from tableseek.operators import lexical_index as I
 from tableseek.operators import metrics as M
 from tableseek.operators import retrieval as X
@@ -329,20 +330,48 @@ def paired_scores(spark, d):
     return scored.select("query_id", "table_id", *[F.round(m, 6).alias(m) for m in MODES])
 
 
-@query(
-    "dense_candidates",
-    f"""WITH {VEC_SQL},
-ct AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY md5(concat_ws('|', '42', vec_id)), vec_id LIMIT 16),
-near AS (SELECT DISTINCT table_id, k FROM (SELECT cv.table_id, ct.k, row_number() OVER (PARTITION BY cv.vec_id ORDER BY
-  round(list_dot_product(cv.v, ct.v) / sqrt(list_dot_product(cv.v, cv.v) * list_dot_product(ct.v, ct.v)), 9) DESC, ct.k) AS n FROM cv, ct) WHERE n = 1),
-probe AS (SELECT DISTINCT query_id, k FROM (SELECT qv.query_id, ct.k, row_number() OVER (PARTITION BY qv.query_id, qv.tok ORDER BY
-  round(list_dot_product(qv.v, ct.v) / sqrt(list_dot_product(qv.v, qv.v) * list_dot_product(ct.v, ct.v)), 9) DESC, ct.k) AS n FROM qv, ct) WHERE n = 1)
-SELECT DISTINCT query_id, table_id FROM probe JOIN near USING (k)""",
-)
+def noisy_queries(spark, d):
+    """Eight consecutive vectors with noise are the tokens of one query: each plus a quarter of itself read backwards."""
+    i = F.col("vec_id")
+    noisy = F.zip_with("embedding", F.reverse("embedding"), lambda x, y: x.cast("double") + y.cast("double") * 0.25)
+    return load(spark, d, "embeddings").select(F.floor(i / 8).alias("query_id"), (i % 8).cast("int").alias("tok_idx"), noisy.alias("vec"))
+
+
+PROBES, CUT = 4, 6
+DENSE_SQL = f"""
+e AS (SELECT vec_id, 'db' || (vec_id // 128) || '#sep#t' || (vec_id // 16) AS table_id, vec_id // 8 AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+q AS (SELECT query_id, vec_id % 8 AS tok, list_transform(list_zip(v, list_reverse(v)), lambda x: x[1] + x[2] * 0.25) AS v FROM e),
+ct AS (SELECT vec_id AS k, v FROM e ORDER BY md5(concat_ws('|', '42', vec_id)), vec_id LIMIT (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) FROM embeddings)),
+near AS (SELECT DISTINCT table_id, k FROM (SELECT e.table_id, ct.k, row_number() OVER (PARTITION BY e.vec_id ORDER BY
+  round(list_dot_product(e.v, ct.v) / sqrt(list_dot_product(e.v, e.v) * list_dot_product(ct.v, ct.v)), 9) DESC, ct.k) AS n FROM e, ct) WHERE n = 1),
+probe AS (SELECT query_id, tok, k, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tok ORDER BY s DESC, k) AS n FROM (
+  SELECT q.query_id, q.tok, ct.k, round(list_dot_product(q.v, ct.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(ct.v, ct.v)), 9) AS s FROM q, ct)) WHERE n <= {PROBES}),
+sums AS (SELECT query_id, table_id, round(sum(s), 6) AS score FROM (SELECT query_id, table_id, tok, max(s) AS s FROM probe JOIN near USING (k) GROUP BY ALL) GROUP BY ALL),
+chosen AS (SELECT query_id, table_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_id) AS rank FROM sums
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_id) <= {CUT}),
+exact AS (SELECT query_id, table_id, round(sum(m), 6) AS score FROM (SELECT c.query_id, c.table_id, q.tok,
+  max(list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v)))) AS m
+  FROM chosen c JOIN q USING (query_id) JOIN e USING (table_id) GROUP BY ALL) GROUP BY ALL),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_id) AS rank FROM exact
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_id) <= 3)"""
+
+
+def dense_index(spark, d):
+    cells = cell_vecs(spark, d).select("vec_id", "table_id", "row_idx", "col_idx", "vec")
+    return D.DenseIndex(spark, scratch_path(spark, "dense")).build(cells, "vec_id")
+
+
+@query("dense_candidates", f"WITH {DENSE_SQL} SELECT query_id, table_id, score, rank FROM chosen")
 def dense_candidates(spark, d):
-    cells, asked = cell_vecs(spark, d), query_vecs(spark, d)
-    centroids = S.seeded_centroids(cells, "vec_id", 16)
-    return S.centroid_candidates(asked, cells, centroids, 1)
+    """Tables by summed centroid scores, cut to six a query."""
+    return dense_index(spark, d).candidates(noisy_queries(spark, d), PROBES, CUT)
+
+
+@query("dense_search", f"WITH {DENSE_SQL} SELECT query_id, table_id, score, rank FROM dense")
+def dense_search(spark, d):
+    """The three best of the candidates by exact late interaction."""
+    cells = cell_vecs(spark, d).select("table_id", "row_idx", "col_idx", "vec")
+    return dense_index(spark, d).search(noisy_queries(spark, d), 3, PROBES, CUT, cells)
 
 
 @query("dense_search_kmeans")
