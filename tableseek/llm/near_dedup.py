@@ -5,9 +5,8 @@
    sketch's positions, or two with chance 1 / similarity - 1, and the class moves on to the child named by its value
    there. Classes at the threshold so keep one common node a level on average, unlike ones soon part. Nodes of DEPTH
    levels with at most SMALL classes are compared exhaustively by sketch, which leaves a spanning forest of likely
-   links. In larger nodes every class is compared with the smallest one, and unless all agree with it they branch on for
-   DEEPER levels; what is large even then is compared exhaustively in blocks. The links of the first tree's first level
-   are contracted to labels before that, and nodes of one label need no more work.
+   links. In larger nodes every class is compared with the first one, and unless all agree with it they branch on for
+   DEEPER levels. Links are contracted in slices; what stayed large is compared exhaustively unless it is one cluster.
 3. Likely links join classes to clusters, somewhat too large. Each cluster's texts are brought together once and links
    are confirmed on the full sets, in blocks of about BLOCK classes or BLOCK_SHINGLES and between all pairs of blocks.
 4. Confirmed links give the components.
@@ -30,8 +29,10 @@ from tableseek.llm.scratch import stored
 DRAWS = 64
 TREES = 14
 DEPTH = 4
-DEEPER = 6
+DEEPER = 2
 SMALL = 256
+PARTS = 32  # in which the members of a large node meet its first one
+SLICE_LINKS = 500_000
 BLOCK = 3000
 BLOCK_SHINGLES = 2_000_000
 LIKELY = 37 / 64  # share of equal sketch values from which a link is worth a check
@@ -111,19 +112,37 @@ class Forest:
             self.parent = up
 
 
-def likely_forest(sketch: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the likely links of a small node between different labels; labels ascend."""
+def likely_forest(sketch: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the likely links of a small node."""
     forest, out = Forest(len(sketch)), []
-    for i in np.flatnonzero(labels[1:] == labels[:-1]).tolist():
-        forest.join(i, i + 1)
     for i in range(len(sketch) - 1):
-        other = i + 1 + np.flatnonzero(labels[i + 1 :] != labels[i])
-        for j in other[(sketch[other] == sketch[i]).mean(1) >= LIKELY].tolist():
+        for j in (i + 1 + np.flatnonzero((sketch[i + 1 :] == sketch[i]).mean(1) >= LIKELY)).tolist():
             if forest.join(i, j):
                 out.append((i, j))
     return out
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) that join the same: each task replaces about SLICE_LINKS of them by stars, one link for each class."""
+
+    def contract(batches):
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        a, b = (np.asarray(table.column(i)) for i in (0, 1))
+        keys, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        forest = Forest(len(keys))
+        for i, j in zip(place[: len(a)].tolist(), place[len(a) :].tolist()):
+            forest.join(i, j)
+        roots = forest.roots()
+        member = np.flatnonzero(roots != np.arange(len(keys)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[roots[member]]), pa.array(keys[member])], names=["a", "b"])
+
+    tasks = 1 + links.count() // SLICE_LINKS
+    return links.select("a", "b").repartition(tasks).mapInArrow(contract, "a long, b long")
+
+
 def confirmed_forest(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
     """Smallest member of the component of each set; links are confirmed on the full sets."""
     sketch, sizes = sketches(hashes, bounds), np.diff(bounds)
@@ -196,34 +215,27 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, DRAWS)
 
 
-def _descend(members: DataFrame, similarity: float, levels: int, trees: int) -> DataFrame:
-    """(node, key, label) after so many more levels, from (node, key, sketch, label); a null node stands for the roots of
-    so many trees."""
+def _descend(members: DataFrame, similarity: float, levels: int) -> DataFrame:
+    """(node, key) after so many more levels, from (node, key, sketch); a null node stands for the roots of all trees."""
 
     def walk(batches):
         for batch in batches:
             n = batch.num_rows
             sketch = _matrix(batch.column(2))
             if batch.column(0).null_count:
-                member = np.tile(np.arange(n), trees)
-                node = mix(np.repeat(np.arange(trees), n).astype(np.uint64))
+                member = np.tile(np.arange(n), TREES)
+                node = mix(np.repeat(np.arange(TREES), n).astype(np.uint64))
             else:
                 node, member = np.asarray(batch.column(0)).astype(np.uint64), np.arange(n)
             node, member = _walk(node, member, sketch, similarity, levels)
             for at in range(0, len(node), 100_000):
-                rows = pa.array(member[at : at + 100_000])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[at : at + 100_000].astype(np.int64)), batch.column(1).take(rows), batch.column(3).take(rows)], names=["node", "key", "label"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 100_000].astype(np.int64)), batch.column(1).take(pa.array(member[at : at + 100_000]))], names=["node", "key"])
 
-    return members.select("node", "key", "sketch", "label").mapInArrow(walk, "node long, key long, label long")
+    return members.select("node", "key", "sketch").mapInArrow(walk, "node long, key long")
 
 
 def _likely_in_small(members: DataFrame) -> DataFrame:
-    """Links (a, b) between labels that join what is likely linked in a node, from (node, label, key, sketch).
-
-    Members of one label are joined already. Nodes hold 2 * SMALL rows at most.
-    """
+    """Spanning forests (a, b) of nodes, from (node, key, sketch). Nodes hold SMALL rows at most."""
 
     def compare(batches):
         rest = None
@@ -242,81 +254,86 @@ def _likely_in_small(members: DataFrame) -> DataFrame:
         n = table.num_rows
         if not n:
             return
-        labels, sketch = np.asarray(table.column(1)), _matrix(table.column(2))
+        keys, sketch = np.asarray(table.column(1)), _matrix(table.column(2))
         edges = [*[c for c in cuts.tolist() if c < n], n]
         a, b = [], []
         for low, high in zip(edges, edges[1:]):
             if high - low == 2:
-                if labels[low] != labels[low + 1] and (sketch[low] == sketch[low + 1]).mean() >= LIKELY:
+                if (sketch[low] == sketch[low + 1]).mean() >= LIKELY:
                     a.append(low)
                     b.append(low + 1)
             elif high - low > 2:
-                for i, j in likely_forest(sketch[low:high], labels[low:high]):
+                for i, j in likely_forest(sketch[low:high]):
                     a.append(low + i)
                     b.append(low + j)
-        yield pa.RecordBatch.from_arrays([pa.array(labels[a]), pa.array(labels[b])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(keys[b])], names=["a", "b"])
 
-    dealt = members.select("node", "label", "sketch", "key").repartition("node").sortWithinPartitions("node", "label", "key")
+    dealt = members.select("node", "key", "sketch").repartition("node").sortWithinPartitions("node", "key")
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def likely_links(classes: DataFrame, similarity: float, trees: int, deeper: int | None = None) -> DataFrame:
-    """Distinct likely links (a, b) between labels of classes (key, sketch, label), enough to join what these trees bring
-    together. Nodes of one label are left alone, large nodes branch on until they are small, of one label, or agree with
-    their first member; what is large after DEEPER levels is compared exhaustively, in blocks. With deeper, nodes branch
-    on for so many levels only, and what is large then is left to other trees."""
-    levels = DEEPER if deeper is None else deeper
-    links, at = None, classes.select(F.lit(None).cast("long").alias("node"), "key", "sketch", "label")
-    sketched = stored(classes.select("key", "sketch"), "sketches")
-    for step in range(1 + levels):
-        paths = stored(_descend(at, similarity, 1 if step else DEPTH, trees), "paths")
-        sizes = paths.groupBy("node").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "label")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high")
-        ).where("low < high").select("node", "n", "first")
-        many = stored(sizes.where(F.col("n") > SMALL), "large")
-        few = paths.join(many, "node", "left_anti").join(sizes.where(F.col("n") <= SMALL).select("node"), "node")
-        found = _likely_in_small(few.join(sketched, "key"))
-        links = found if links is None else links.unionByName(found)
+def likely_links(classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """Likely links (a, b) between classes (key, sketch), and the members (node, key) of nodes that stayed large.
+
+    Large nodes branch on until they are small or all their members agree with the first one, for DEEPER levels.
+    """
+    links, at = [], classes.select(F.lit(None).cast("long").alias("node"), "key", "sketch")
+    sketched = classes.select("key", "sketch")
+    for step in range(1 + DEEPER):
+        paths = stored(_descend(at, similarity, 1 if step else DEPTH), "paths")
+        sizes = stored(paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1"), "sizes")
+        many = sizes.where(F.col("n") > SMALL)
+        few = paths.join(many.select("node"), "node", "left_anti").join(sizes.where(F.col("n") <= SMALL).select("node"), "node")
+        links.append(stored(contracted(stored(_likely_in_small(few.join(sketched, "key")), "forests")), "links"))
         if many.isEmpty():
-            break
-        # each member of a large node meets the node's first one
-        held = paths.join(many.select("node", "first"), "node").join(sketched, "key")
-        first = sketched.select(F.col("key").alias("least"), F.col("sketch").alias("other"))
-        hubs = many.select("node", F.col("first.key").alias("least")).join(first, "least").select("node", "other")
-        held = stored(held.join(hubs, "node").withColumn("near", _agree("sketch", "other")).drop("other"), "hubs")
-        links = links.unionByName(held.where("near AND label != first.label").select(F.col("first.label").alias("a"), F.col("label").alias("b")))
-        if step == deeper:
-            break
-        apart = held.groupBy("node").agg(F.bool_and("near").alias("whole")).where("NOT whole").select("node")
-        at = stored(held.join(apart, "node", "left_semi").select("node", "key", "sketch", "label"), "members")
+            return _all(links), None
+        # a large node's first member meets the others, which are dealt out by a part of their key
+        parts = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        star = paths.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")).join(parts, ["node", "part"]).where("key != least")
+        star = star.select("node", "key", "least").join(sketched, "key").join(sketched.select(F.col("key").alias("least"), F.col("sketch").alias("other")), "least")
+        star = stored(star.select("node", "key", "least", _agree("sketch", "other").alias("near")), "stars")
+        links.append(stored(contracted(star.where("near").select(F.col("least").alias("a"), F.col("key").alias("b"))), "links"))
+        apart = star.where("NOT near").select("node").distinct()
+        left = star.join(apart, "node", "left_semi")
+        left = left.select("node", "key").unionByName(left.select("node", F.col("least").alias("key")).distinct())
+        at = stored(left.join(sketched, "key").select("node", "key", "sketch"), "members")
         if at.isEmpty():
-            break
-        if step == levels:
-            links = links.unionByName(_likely_in_blocks(at))
-    return links.distinct()
+            return _all(links), None
+    return _all(links), at.select("node", "key")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def _likely_in_blocks(members: DataFrame) -> DataFrame:
-    """As _likely_in_small, for nodes of any size: between all pairs of their blocks."""
+def _likely_in_blocks(members: DataFrame, sketched: DataFrame) -> DataFrame:
+    """As _likely_in_small, for nodes (node, key) of any size: between all pairs of their blocks."""
     blocks = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / (SMALL // 2)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("key"), "blocks").cast("int")
     pair = lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))
     pairs = members.join(blocks, "node").withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
-    return _likely_in_small(pairs.select(F.xxhash64("node", "at").alias("node"), "key", "sketch", "label"))
+    return _likely_in_small(pairs.select(F.xxhash64("node", "at").alias("node"), "key").join(sketched, "key"))
 
 
 def likely_clusters(classes: DataFrame, similarity: float) -> DataFrame:
     """(key, root) of the classes (key, sketch) that have likely links.
 
-    What the first tree joins at its first level is contracted to labels, and then all trees only look for links between
-    labels, so the links to join are a few for each class, however many copies a group has.
+    Forests of the trees are contracted where they stand before they are joined, so a class has a few links, however many
+    copies its group and however many trees there are. Nodes that stayed large and whose members are not in one cluster
+    by then are compared exhaustively, in blocks.
     """
-    at = classes.select("key", "sketch").withColumn("label", F.col("key"))
-    for trees, deeper in ((1, 0), (TREES, None)):
-        found = components(stored(likely_links(at, similarity, trees, deeper), "links")).select(F.col("key").alias("label"), "root")
-        at = stored(at.join(found, "label", "left").select("key", "sketch", F.coalesce("root", "label").alias("label")), "labels")
-    sizes = at.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label")
-    return at.join(sizes, "label", "left_semi").select("key", F.col("label").alias("root"))
+    links, rest = likely_links(classes, similarity)
+    links = stored(contracted(links), "links")
+    clusters = components(links)
+    if rest is None:
+        return clusters
+    named = rest.join(clusters, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = named.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("node")
+    found = stored(_likely_in_blocks(stored(rest.join(mixed, "node"), "rest"), classes.select("key", "sketch")), "links")
+    return clusters if found.isEmpty() else components(stored(contracted(links.unionByName(found)), "links"))
 
 
 def _agree(a: str, b: str):

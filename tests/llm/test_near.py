@@ -5,7 +5,6 @@ import random
 import brute
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tableseek.llm import near_dedup
 
@@ -63,12 +62,9 @@ def test_links_stay_few_in_a_large_group(spark):
             words[draw.randrange(400)] = f"x{draw.randrange(10**6)}"
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    sets = near_dedup._sets(docs, "doc_id", "text", 2).select("key", "sketch", F.col("key").alias("label"))
-    classes = near_dedup.stored(sets, "classes")
-    assert near_dedup.likely_links(classes, 0.8, 1, 0).count() < 3 * 500
-    labelled = near_dedup.components(near_dedup.likely_links(classes, 0.8, 1, 0))
-    labelled = classes.drop("label").join(labelled.select("key", F.col("root").alias("label")), "key")
-    assert near_dedup.likely_links(labelled, 0.8, near_dedup.TREES).count() < 50
+    sets = near_dedup._sets(docs, "doc_id", "text", 2).select("key", "sketch")
+    links, _ = near_dedup.likely_links(near_dedup.stored(sets, "classes"), 0.8)
+    assert near_dedup.contracted(links).count() < 500
     found = near_dedup.near_duplicates(docs, size=2).select("component_id").distinct().count()
     assert found == len({c for _, c in brute.near(rows, 2)})
 
