@@ -10,15 +10,17 @@ without a free surrogate of their format (short ones, or without letters and dig
 
 from __future__ import annotations
 
+import secrets
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableseek.llm.scratch import stored
 
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # a host has 127 labels at most; without a bound the matcher would recurse for each of them
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}",
     "secret": r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|(?<![0-9A-Za-z])(?=[0-9a-f]{0,31}[0-9])(?=[0-9a-f]{0,31}[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[0-9A-F]{0,31}[0-9])(?=[0-9A-F]{0,31}[A-F])[0-9A-F]{32,64}(?![0-9A-Za-z]))",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9A-Za-z-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
@@ -38,6 +40,14 @@ SIGNS = ("@", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox")
 LEFT, RIGHT = "\ufdd0", "\ufdd1"  # noncharacters: no text may hold them; they are removed from texts that do
 
 
+KEY = "spark.tableseek.pii.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that a deployment sets in its configuration; without one, a key drawn for this run, which nobody knows."""
+    return spark.conf.get(KEY, None) or secrets.token_hex(32)
+
+
 def kind_of(value: Column) -> Column:
     """First kind whose pattern the whole value has. Look-arounds hold, since nothing stands around it."""
     out = F.lit(None).cast("string")
@@ -220,9 +230,12 @@ def resolve_collisions(values: DataFrame, key: str) -> DataFrame:
 def replace_personal_data(docs: DataFrame, key: str, text: str = "text", added: str = "n_entities") -> DataFrame:
     """All columns of docs with every entity of `text` replaced, and `added` (long, entities found) added.
 
-    Null texts stay null, empty ones empty. Repeated rows get the same result. An existing column `added` is replaced.
+    Null texts stay null, empty ones empty. Repeated rows get the same result. An existing column `added` is replaced; others
+    are kept, whatever their names. Texts count whole, however long: no pattern recurses with the text's length.
     """
-    columns = [c for c in docs.columns if c != added]
+    names = [c for c in docs.columns if c != added]
+    columns = [f"c{i}" for i in range(len(names))]
+    docs, text = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*columns), columns[names.index(text)]
     source = docs.select(*columns, pieces_of(F.col(text)).alias("__pieces"))
     holding = source.where(F.size("__pieces") > 1)
     found = holding.select(F.explode(_values(F.col("__pieces"))).alias("value")).distinct()
@@ -247,4 +260,4 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text", added:
     rewritten = F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), rewrite), ""))
     new = F.when(some, rewritten).otherwise(F.col(text))
     number = F.when(some, F.size(pieces) - 1).otherwise(0).cast("long")
-    return source.select(*[new.alias(c) if c == text else F.col(c) for c in columns], number.alias(added))
+    return source.select(*[new.alias(n) if c == text else F.col(c).alias(n) for c, n in zip(columns, names)], number.alias(added))

@@ -10,7 +10,6 @@ from tableseek.llm.registry import ORACLES, QUERIES, load, query
 from tableseek.llm.scratch import stored
 
 __all__ = ["ORACLES", "QUERIES"]
-PII_KEY = "production-key"  # a deployment takes its own from its secret store
 
 
 @query("op3_quality_classifier")
@@ -73,7 +72,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query("op4_pii_surrogates")
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_personal_data(load(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pii.replace_personal_data(load(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 @query("op7_minhash_near_dedup")

@@ -90,3 +90,33 @@ def test_moved_values_reach_their_texts(spark, monkeypatch):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.replace_personal_data(empty, "key").count() == 0
+
+
+def test_long_runs_of_each_patterns_own_characters(spark):
+    """No text makes a pattern recurse with its length."""
+    long = 5_000  # 1,500 labels of a host once overflowed the matcher's stack
+    runs = [
+        "x@" + "a." * long + "com", "a." * long + "@b.com", "x@" + "a" * long + ".com", "DE89" + " ABCD" * long, "+1" + " 555" * long, "1234 " * long,
+        "1." * long, "1-" * long, "sk-" + "A" * long, "0a" * long, "A" * long, "Anna " + "Smith-" * long, "Dr. " * long, "Mr. Ab" + "'b" * long, "(555) " * long,
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "doc_id long, text string").repartition(8)
+    found = {r.doc_id: r for r in pii.replace_personal_data(docs, "k").collect()}
+    assert len(found) == len(runs) and found[2].n_entities == 1 and found[0].text is not None
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["__pieces", "value", "__digest", "__attempts", "c0", "kind", "a.b"]
+    docs = spark.createDataFrame([("me@corp.org", *range(len(names)))] * 2, ["text", *names])
+    out = pii.replace_personal_data(docs, "k")
+    assert out.columns == ["text", *names, "n_entities"]
+    assert {tuple(r)[1:] for r in out.collect()} == {(*range(len(names)), 1)}
+
+
+def test_the_key_comes_from_the_configuration(spark):
+    first, second = pii.session_key(spark), pii.session_key(spark)
+    assert first != second and len(first) == 64
+    spark.conf.set(pii.KEY, "of the deployment")
+    try:
+        assert pii.session_key(spark) == "of the deployment"
+    finally:
+        spark.conf.unset(pii.KEY)
