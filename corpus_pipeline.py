@@ -17,7 +17,6 @@ from tableseek.llm.registry import load
 from tableseek.llm.scratch import shared_folder, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-KEY = "production-key"  # a deployment takes its own from its secret store
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates; n_chars follows the new text."""
-    out = pii.replace_personal_data(docs.select(*COLUMNS), KEY)
+    out = pii.replace_personal_data(docs.select(*COLUMNS), pii.session_key(spark))
     changed = F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(*COLUMNS)
 
