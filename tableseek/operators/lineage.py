@@ -155,21 +155,37 @@ def ast_tables(queries: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def normalize_questions(
-    questions: DataFrame, catalog: DataFrame, order: str = "query_id"
+    questions: DataFrame, catalog: DataFrame, order: str = "query_id", schemas: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Kept questions with their tables, and the skip reasons.
 
-    Input questions(query_id, question, db_id, sql). A question needs text, database, SQL
-    and at least one resolvable table; of equal (question, database, tables) the first stays.
+    Input questions(query_id, question, db_id, sql) and, with schemas(db_id, table_names), ast: a query tree as JSON. A
+    question needs a known database, text, SQL and at least one resolvable table; these are the reasons, in this order. Tables
+    come from the tree where it names some that the catalog has, else from the SQL. Of equal (question, database,
+    tables) the first stays.
     """
     resolved = resolve_lineage(questions, catalog).withColumnRenamed("tables", "required_tables")
-    joined = questions.join(resolved, "query_id", "left")
+    if schemas is not None:
+        low = catalog.select("db_id", "table_name", F.lower("table_name").alias("_low"))
+        named = ast_tables(questions.filter("ast IS NOT NULL"), schemas)
+        placed = named.select("query_id", F.posexplode("tables").alias("_pos", "_n")).withColumn("_low", F.lower("_n"))
+        met = placed.join(questions.select("query_id", "db_id"), "query_id").join(low, ["db_id", "_low"])
+        listed = met.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "table_name"))).alias("_t"))
+        trees = listed.select("query_id", F.transform("_t", lambda x: x["table_name"]).alias("_tree"))
+        both = resolved.join(trees, "query_id", "full_outer")
+        resolved = both.select(
+            "query_id", F.when(F.col("_tree").isNotNull(), "tree").otherwise(F.col("path")).alias("path"), F.coalesce("_tree", "required_tables").alias("required_tables")
+        )
+    known = catalog.select("db_id").distinct().withColumn("_known", F.lit(True))
+    joined = questions.join(resolved, "query_id", "left").join(known, "db_id", "left")
     reason = (
-        F.when(is_missing("question") | is_missing("db_id") | is_missing("sql"), "incomplete")
+        F.when(F.col("_known").isNull(), "missing_database")
+        .when(is_missing("question"), "missing_question")
+        .when(is_missing("sql"), "missing_sql")
         .when(F.coalesce(F.size("required_tables"), F.lit(0)) <= 0, "no_tables")
     )
     # Three results read the resolved questions, so they are written once.
-    classified = materialize(joined.withColumn("reason", reason), "questions")
+    classified = materialize(joined.withColumn("reason", reason).drop("_known"), "questions")
     complete = classified.filter(F.col("reason").isNull()).drop("reason")
     keyed = complete.withColumn("query_key", question_key(F.trim("question"), "db_id", "required_tables"))
     kept = keep_first(keyed, ["query_key"], order)

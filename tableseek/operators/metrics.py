@@ -98,6 +98,14 @@ def strict_per_query(scores: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("ap", checked)
 
 
+def outcomes(asked: DataFrame, per_query: DataFrame) -> DataFrame:
+    """Queries that were scored and those without a positive, each with their number and means; none is left out."""
+    joined = asked.select("query_id").distinct().join(per_query, "query_id", "left")
+    outcome = F.when(F.col("ap").isNull(), "no_positive").otherwise("scored").alias("outcome")
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias({"ap": "map", "rr": "mrr"}[c])
+    return joined.groupBy(outcome).agg(mean("ap"), mean("rr"), F.count("*").alias("n_queries"))
+
+
 def chunk_state(per_query: DataFrame, chunk: str) -> DataFrame:
     """Additive sums per chunk; summing the rows merges chunks."""
     return per_query.groupBy(chunk).agg(
@@ -114,8 +122,8 @@ def merge_chunks(state: DataFrame) -> DataFrame:
     )
 
 
-def info_nce(scores: DataFrame, temperature: float = 0.07, by: Sequence[str] = ("query_id",)) -> DataFrame:
-    """Per-query multi-positive contrastive loss; a query without a positive fails the job."""
+def info_nce(scores: DataFrame, temperature: float = 0.07, by: Sequence[str] = ("query_id",), strict: bool = True) -> DataFrame:
+    """Per-query multi-positive contrastive loss; a query without a positive fails the job, or has none if not strict."""
     by = list(by)
     scaled = scores.select(*by, "positive", (F.col("score") / temperature).alias("_s"))
     peaks = scaled.groupBy(*by).agg(F.max("_s").alias("_m"))
@@ -127,7 +135,7 @@ def info_nce(scores: DataFrame, temperature: float = 0.07, by: Sequence[str] = (
     # exp underflows for positives far below the peak; their own peak takes over there.
     log_pos = F.when(F.col("_pos") > 0, F.log("_pos")).otherwise(F.col("_mp") - F.col("_m"))
     loss = F.log("_all") - log_pos
-    missing = F.raise_error(F.lit("a query has no positive")).cast("double")
+    missing = F.raise_error(F.lit("a query has no positive")).cast("double") if strict else F.lit(None).cast("double")
     return summed.select(*by, F.when(F.col("_has"), loss).otherwise(missing).alias("loss"))
 
 

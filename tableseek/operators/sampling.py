@@ -143,3 +143,10 @@ def conflicting_roots(files: DataFrame) -> DataFrame:
     """Databases found under more than one path, over files(db_id, path)."""
     paths = files.select("db_id", "path").distinct()
     return paths.groupBy("db_id").agg(F.count("*").alias("n_paths")).filter("n_paths > 1")
+
+
+def checked_roots(files: DataFrame) -> DataFrame:
+    """files(db_id, path) with one path per database; the job fails on a database found under two."""
+    paths = files.groupBy("db_id").agg(F.min("path").alias("path"), F.max("path").alias("_other"))
+    message = F.concat(F.lit("database under more than one path: "), "db_id")
+    return paths.select("db_id", F.when(F.col("path") == F.col("_other"), F.col("path")).otherwise(F.raise_error(message)).alias("path"))

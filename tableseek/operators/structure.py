@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,33 @@ def visible_cells(cells: DataFrame) -> DataFrame:
     return same_row.unionByName(same_col)
 
 
+GLOBAL_ROW = -1  # fixed value: the row of cells that all cells of their table see
+
+
+def visible_ranges(cells: DataFrame, weight: Column) -> DataFrame:
+    """What each cell sees, as ranges instead of pairs: linear in the cells, whatever the size of a table.
+
+    A cell sees its row, its column and the cells in GLOBAL_ROW; those see the whole table. Returns table_id, row_idx, col_idx,
+    is_global, the first and last column of its row (col_low, col_high) and row of its column (row_low, row_high),
+    n_visible and visible_sum, the sum of ``weight`` over the visible cells. (table_id, row_idx, col_idx) is unique, and the
+    column of a global cell holds no others.
+    """
+    held = cells.select("table_id", "row_idx", "col_idx", weight.alias("_w"), (F.col("row_idx") == GLOBAL_ROW).alias("is_global"))
+    count, total = F.count("*"), F.sum("_w")
+    rows = held.groupBy("table_id", "row_idx").agg(count.alias("_rn"), total.alias("_rw"), F.min("col_idx").alias("col_low"), F.max("col_idx").alias("col_high"))
+    plain = held.filter("NOT is_global")
+    columns = plain.groupBy("table_id", "col_idx").agg(count.alias("_cn"), total.alias("_cw"), F.min("row_idx").alias("row_low"), F.max("row_idx").alias("row_high"))
+    tables = held.groupBy("table_id").agg(
+        count.alias("_n"), total.alias("_all"), F.count_if("is_global").alias("_gn"), F.coalesce(F.sum(F.when(F.col("is_global"), F.col("_w"))), F.lit(0)).alias("_gw")
+    )
+    joined = held.join(rows, ["table_id", "row_idx"]).join(columns, ["table_id", "col_idx"], "left").join(tables, "table_id")
+    seen = lambda whole, own, *parts: F.when(F.col("is_global"), F.col(whole)).otherwise(sum((F.col(p) for p in parts), -own))
+    return joined.select(
+        "table_id", "row_idx", "col_idx", "is_global", "col_low", "col_high", "row_low", "row_high",
+        seen("_n", F.lit(1), "_rn", "_cn", "_gn").alias("n_visible"), seen("_all", F.col("_w"), "_rw", "_cw", "_gw").alias("visible_sum"),
+    )
+
+
 def hyperedges(cells: DataFrame) -> DataFrame:
     """Three incidences per cell: its row, its column and the whole table."""
     edges = F.array(

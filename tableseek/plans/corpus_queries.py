@@ -16,7 +16,7 @@ from tableseek.operators.impute import impute, value_pools
 from tableseek.operators.ranking import global_ids, row_in_small_group
 from tableseek.operators.sampling import first_rows, reshuffled_epochs, row_sample
 from tableseek.plans.batch_queries import PLAN_SQL, chunked_questions
-from tableseek.plans.lowering import ORDER_CELLS_SQL, ORDER_ROWS_SQL, QUESTIONS_SQL, catalog, order_tables, stored_gold
+from tableseek.plans.lowering import ALL_CELLS_SQL, ALL_ROWS_SQL, ORDER_ROWS_SQL, QUESTIONS_SQL, catalog, order_tables, stored_gold
 from tableseek.plans.registry import load, query
 from tableseek.plans.relation_queries import _HOLEY_SQL, batch_cells, holey_cells
 from tableseek.session import scratch_path
@@ -185,11 +185,11 @@ def header_pools(spark, d):
 
 @query(
     "pivot_roundtrip",
-    f"""WITH {ORDER_CELLS_SQL} SELECT table_id, col_idx, header, count(*) AS n_cells, md5(string_agg(cell, ',' ORDER BY row_idx)) AS cells_md5 FROM order_cells GROUP BY 1, 2, 3""",
+    f"""WITH {ALL_CELLS_SQL} SELECT table_id, col_idx, header, count(*) AS n_cells, md5(string_agg(cell, ',' ORDER BY row_idx)) AS cells_md5 FROM order_cells GROUP BY 1, 2, 3""",
 )
 def pivot_roundtrip(spark, d):
     """Nested columns to long cells, back to nested, and to rows again."""
-    long = C.explode_tables(order_tables(spark, d))
+    long = C.explode_tables(order_tables(spark, d, None))
     nested = C.nest_cells(long.select("table_id", "col_idx", "row_idx", "header", "cell"))
     columns = nested.select("table_id", F.posexplode("columns").alias("col_idx", "c"))
     return columns.select(
@@ -200,14 +200,14 @@ def pivot_roundtrip(spark, d):
 
 @query(
     "nonempty_tables",
-    f"""WITH {ORDER_ROWS_SQL} SELECT table_id, count(*) FILTER (WHERE CAST(quantity AS BIGINT) > 20) AS n_rows FROM order_rows GROUP BY table_id HAVING count(*) FILTER (WHERE CAST(quantity AS BIGINT) > 20) > 0""",
+    f"""WITH {ALL_ROWS_SQL} SELECT table_id, count(*) FILTER (WHERE CAST(quantity AS BIGINT) > 20) AS n_rows FROM order_rows GROUP BY table_id HAVING count(*) FILTER (WHERE CAST(quantity AS BIGINT) > 20) > 0""",
 )
 def nonempty_tables(spark, d):
     """Only rows with a large quantity are kept; tables without any are dropped."""
     columns = F.transform(
         "columns", lambda c: c.withField("cells", F.filter(c["cells"], lambda v, i: F.get(F.col("_q"), i).cast("bigint") > 20))
     )
-    tables = order_tables(spark, d).withColumn("_q", F.element_at("columns", 4)["cells"]).withColumn("columns", columns)
+    tables = order_tables(spark, d, None).withColumn("_q", F.element_at("columns", 4)["cells"]).withColumn("columns", columns)
     return C.drop_empty_tables(tables).select("table_id", T.shortest_column("columns").cast("bigint").alias("n_rows"))
 
 
@@ -260,12 +260,15 @@ def masked_ranking(spark, d):
 SELECT epoch, batch // 20 AS shard, count(*) AS n_rows, count(DISTINCT batch) AS n_batches FROM b WHERE batch < 60 GROUP BY 1, 2""",
 )
 def batch_shards(spark, d):
-    """Two epochs of 60 batches, twenty batches per shard, written partitioned and read back."""
+    """Two epochs of 60 batches, twenty batches per shard; each epoch is one version, then the output is complete."""
     path = scratch_path(spark, "batches")
     rows = reshuffled_epochs(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", 960, 2)
     batched = rows.withColumn("batch", F.floor(F.col("pos") / 16)).withColumn("shard", F.floor(F.col("batch") / 20))
-    W.write_shards(batched, path, ["epoch", "shard"])
-    back = spark.read.parquet(path)
+    writer = W.StagedWriter(spark, path, {"batch_size": "16", "batches_per_shard": "20"})
+    for epoch in (0, 1):
+        writer.write(f"epoch {epoch}", {"batches": batched.filter(F.col("epoch") == epoch)}, ["shard"])
+    writer.finish(["epoch 0", "epoch 1"], batches=120)
+    back = W.read_staged(spark, path, {"batch_size": "16", "batches_per_shard": "20"}, "batches")
     return back.groupBy("epoch", F.col("shard").cast("bigint").alias("shard")).agg(
         F.count("*").alias("n_rows"), F.count_distinct("batch").alias("n_batches")
     )

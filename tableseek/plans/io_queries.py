@@ -183,7 +183,7 @@ def schema_files(spark, d):
 )
 def resumed_checkpoint(spark, d):
     """First attempt fails for some databases, the second one builds only those and publishes."""
-    path, out = scratch_path(spark, "checkpoint"), scratch_path(spark, "published")
+    path, parameters = scratch_path(spark, "checkpoint"), {"max_rows": "50", "seed": "42"}
     tables = catalog(spark, d).withColumn("db_group", F.expr("CAST(substring(db_id, 3) AS BIGINT) % 20"))
     sums = tables.groupBy("db_group", "db_id").agg(F.count("*").alias("n_tables"), F.sum("n_rows").alias("n_rows"))
     groups = sums.select(F.concat(F.lit("g"), F.col("db_group").cast("string")).alias("db_id")).distinct()
@@ -197,8 +197,8 @@ def resumed_checkpoint(spark, d):
         return rows, broken.select("db_id", F.lit("unreadable").alias("error"))
 
     schema = "db_id string, name string, n_tables bigint, n_rows bigint"
-    W.resume_by_database(spark, groups, build, path, schema, {"max_rows": "50", "seed": "42"}, out, max_attempts=2)
-    return spark.read.parquet(out).select(F.col("name").alias("db_id"), "n_tables", "n_rows")
+    W.resume_by_database(spark, groups, build, path, schema, parameters, max_attempts=2)
+    return W.read_staged(spark, path, parameters, "rows").select(F.col("name").alias("db_id"), "n_tables", "n_rows")
 
 
 @query(
@@ -224,12 +224,15 @@ def run_manifest(spark, d):
 SELECT i // 256 AS shard, count(*) AS n_tables, min(table_id) AS first_table FROM n GROUP BY 1""",
 )
 def eval_shards(spark, d):
-    """Table shards with a metadata comparison before they are used."""
-    path = scratch_path(spark, "shards")
-    placed = B.shards(catalog(spark, d).select("db_id", "table_id"), ["db_id", "table_id"], 256)
-    W.write_shards(placed, path, ["shard"])
-    meta = spark.createDataFrame([("table_shard_size", "256"), ("seed", "42")], "key string, value string")
-    back = W.read_shards(spark, path, meta, meta)
+    """Table shards in two parts: the writer stops after the first, the next one takes up its parameters and finishes."""
+    path, parameters = scratch_path(spark, "shards"), {"table_shard_size": "256", "seed": "42"}
+    placed = materialize(B.shards(catalog(spark, d).select("db_id", "table_id"), ["db_id", "table_id"], 256), "placed")
+    for parts in ([0], [0, 1]):
+        writer = W.StagedWriter(spark, path, parameters)
+        for part in parts:
+            writer.write(f"part {part}", {"shards": placed.filter(F.col("shard") % 2 == part)}, ["shard"])
+    writer.finish(["part 0", "part 1"])
+    back = W.read_staged(spark, path, parameters, "shards")
     return back.groupBy(F.col("shard").cast("bigint").alias("shard")).agg(
         F.count("*").alias("n_tables"), F.min("table_id").alias("first_table")
     )
@@ -266,7 +269,8 @@ def streaks(spark, d):
 def reading_stream(spark, d):
     path = f"{d.rstrip('/')}/events.parquet"
     # As a glob the path may be one file as well as a folder of files.
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.replace("events", "event[s]"))
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1000)
+    events = source.parquet(path.replace("events", "event[s]"))
     shaped = events.select(
         F.col("user_id").alias("host"), "ts", "event_id", F.lit(500).alias("memory_total_mb"),
         F.col("value").alias("memory_used_mb"), F.get_json_object("props", "$.k").cast("int").alias("utilization_percent"),
@@ -275,27 +279,41 @@ def reading_stream(spark, d):
     return shaped.select("host", "ts", "event_id", _state().alias("state"))
 
 
+def _watched(spark, d, label, watch, shape=lambda stream: stream):
+    """Runs a watcher over all events; the delay covers the disorder of the table's files."""
+    out, checkpoint = J.stream_paths(spark, label)
+    end = load(spark, d, "events").agg((F.max("ts") + F.expr("INTERVAL 2 YEARS")).alias("ts"))
+    return J.watch_to_the_end(shape(reading_stream(spark, d)), watch, end, out, checkpoint)
+
+
+DELAY = "400 days"
+
+
 @query("stream_state_changes", _CHANGES)
 def stream_state_changes(spark, d):
-    out, checkpoint = J.stream_paths(spark, "changes")
-    J.run_to_parquet(J.watch_states(reading_stream(spark, d)), out, checkpoint)
-    return spark.read.parquet(out).select("host", "event_id", F.coalesce("previous", F.lit("")).alias("previous"), "state")
+    found = _watched(spark, d, "changes", lambda s: J.watch_states(s, delay=DELAY))
+    return found.select("host", "event_id", F.coalesce("previous", F.lit("")).alias("previous"), "state")
 
 
 @query("stream_free_streaks", _STREAKS)
 def stream_free_streaks(spark, d):
-    out, checkpoint = J.stream_paths(spark, "streaks")
-    flagged = reading_stream(spark, d).select("host", "ts", "event_id", (F.col("state") == "free").alias("free"))
-    J.run_to_parquet(J.watch_streaks(flagged, k=2), out, checkpoint)
-    return spark.read.parquet(out).select("host", "event_id", "streak")
+    flagged = lambda s: s.select("host", "ts", "event_id", (F.col("state") == "free").alias("free"))
+    return _watched(spark, d, "streaks", lambda s: J.watch_streaks(s, k=2, delay=DELAY), flagged).select("host", "event_id", "streak")
 
 
-@query("stream_reminders")
+@query(
+    "stream_reminders",
+    f"""WITH RECURSIVE {_STATES},
+o AS (SELECT host, event_id, state, epoch_us(ts) AS us, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS i FROM st),
+r AS (SELECT host, i, event_id, state, true AS told, false AS reminder, us AS notified FROM o WHERE i = 1
+  UNION ALL SELECT o.host, o.i, o.event_id, o.state, o.state <> r.state OR o.us - r.notified >= 21600000000, o.state = r.state,
+    CASE WHEN o.state <> r.state OR o.us - r.notified >= 21600000000 THEN o.us ELSE r.notified END FROM r JOIN o ON o.host = r.host AND o.i = r.i + 1)
+SELECT host, event_id, state, reminder FROM r WHERE told""",
+)
 def stream_reminders(spark, d):
     """Change alerts plus reminders after six quiet hours."""
-    out, checkpoint = J.stream_paths(spark, "reminders")
-    J.run_to_parquet(J.watch_states(reading_stream(spark, d), reminder_seconds=6 * 3600), out, checkpoint)
-    return spark.read.parquet(out).select("host", "event_id", "state", "reminder")
+    found = _watched(spark, d, "reminders", lambda s: J.watch_states(s, reminder_seconds=6 * 3600, delay=DELAY))
+    return found.select("host", "event_id", "state", "reminder")
 
 
 @query(
@@ -304,15 +322,18 @@ def stream_reminders(spark, d):
 SELECT i // 256 AS shard, count(*) AS n_tables, count(DISTINCT table_id) AS n_distinct FROM n GROUP BY 1""",
 )
 def stream_shards(spark, d):
-    """Shards published in two waves; the consumer restarts between them and takes each once."""
-    folder, meta = scratch_path(spark, "wave"), scratch_path(spark, "meta")
+    """Shards published in two waves; the consumer restarts between them, takes each once and ends at the stop marker."""
+    folder, marker = scratch_path(spark, "wave"), scratch_path(spark, "marker")
     out, checkpoint = J.stream_paths(spark, "shards")
-    expected = spark.createDataFrame([("seed", "42")], "key string, value string")
-    expected.write.parquet(meta)
-    placed = B.shards(catalog(spark, d).select("db_id", "table_id"), ["db_id", "table_id"], 256)
+    parameters = {"seed": "42"}
+    placed = materialize(B.shards(catalog(spark, d).select("db_id", "table_id"), ["db_id", "table_id"], 256), "placed")
+    producer = W.StagedWriter(spark, marker, parameters)
     for wave in (0, 1):
         placed.filter(F.col("shard") % 2 == wave).select("shard", "table_id").write.mode("append").parquet(folder)
-        J.consume_shards(spark, folder, "shard bigint, table_id string", out, checkpoint, expected, meta)
+        producer.write(f"wave {wave}", {"waves": spark.range(wave, wave + 1)})
+        J.consume_shards(spark, folder, "shard bigint, table_id string", out, checkpoint, parameters, marker)
+    producer.finish(["wave 0", "wave 1"])
+    J.consume_until_complete(spark, folder, "shard bigint, table_id string", out, checkpoint, parameters, marker)
     return spark.read.parquet(out).groupBy("shard").agg(
         F.count("*").alias("n_tables"), F.count_distinct("table_id").alias("n_distinct")
     )

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tableseek.operators import lineage as L
 from tableseek.plans.registry import load, query
-from tableseek.session import spread
+from tableseek.session import materialize, scratch_path, spread
+from tableseek.sources import writers as W
 
 # Six statement shapes; {a}, {b}, {c} are the order-dependent table names.
 SHAPES = [
@@ -126,3 +127,30 @@ def question_normalisation(spark, d):
     kept, skipped = L.normalize_questions(sql_log(spark, d), sql_catalog(spark, d))
     total = kept.agg(F.count("*").alias("n")).select(F.lit("kept").alias("reason"), "n")
     return skipped.unionByName(total)
+
+
+@query(
+    "normalised_artefacts",
+    f"""WITH {_RESOLVED}, q AS (SELECT o_orderkey AS query_id, 'db' || (o_orderkey // 10) AS db_id, concat_ws(' ', o_orderpriority, o_orderkey // 40) AS question,
+  list_sort(string_split(tables, ',')) AS s FROM orders LEFT JOIN res ON query_id = o_orderkey),
+k AS (SELECT min(query_id) AS query_id, db_id, any_value(array_to_string(s, ',')) AS tables FROM q WHERE s IS NOT NULL GROUP BY question, db_id, s)
+SELECT 'question' AS artefact, db_id, query_id, tables, 0::BIGINT AS n FROM k
+UNION ALL SELECT 'manifest', reason, -1, '', n FROM (SELECT 'kept' AS reason, count(*) AS n FROM k
+  UNION ALL SELECT 'no_tables', count(*) FROM q WHERE s IS NULL UNION ALL SELECT 'duplicate', (SELECT count(*) FROM q WHERE s IS NOT NULL) - (SELECT count(*) FROM k)) WHERE n > 0""",
+)
+def normalised_artefacts(spark, d):
+    """Split, catalog and manifest off one normalisation, published as one version and read back."""
+    path, parameters = scratch_path(spark, "normalised"), {"seed": "42"}
+    kept, skipped = L.normalize_questions(sql_log(spark, d), sql_catalog(spark, d))
+    kept = materialize(kept, "kept")
+    manifest = skipped.unionByName(kept.agg(F.count("*").alias("n")).select(F.lit("kept").alias("reason"), "n"))
+    writer = W.StagedWriter(spark, path, parameters)
+    writer.write("all", {"questions": kept, "catalog": sql_catalog(spark, d), "manifest": manifest})
+    writer.finish(["all"])
+    questions, told = (W.read_staged(spark, path, parameters, t) for t in ("questions", "manifest"))
+    catalog = W.read_staged(spark, path, parameters, "catalog")
+    known = questions.join(catalog.select("db_id").distinct(), "db_id", "left_semi")
+    tables = F.array_join(F.array_sort("required_tables"), ",")
+    return known.select(F.lit("question").alias("artefact"), "db_id", "query_id", tables.alias("tables"), F.lit(0).cast("bigint").alias("n")).unionByName(
+        told.filter("n > 0").select(F.lit("manifest").alias("artefact"), F.col("reason").alias("db_id"), F.lit(-1).cast("bigint").alias("query_id"), F.lit("").alias("tables"), "n")
+    )

@@ -112,9 +112,9 @@ ORDER_CELLS_SQL = (
 ALL_CELLS_SQL = ORDER_CELLS_SQL.replace(" WHERE hr <= 50", "")
 
 
-def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested form: table_id, table_name, columns. At most 50 rows are gathered per table."""
-    rows = order_rows(spark, sf_dir)
+def order_tables(spark: SparkSession, sf_dir: str, max_rows: int | None = MAX_ROWS_PER_TABLE) -> DataFrame:
+    """Nested form: table_id, table_name, columns. A table is one record, so its rows must fit one."""
+    rows = order_rows(spark, sf_dir, max_rows)
     gathered = rows.groupBy("table_id").agg(
         F.array_sort(F.collect_list(F.struct("row_idx", *HEADERS))).alias("_rows")
     )

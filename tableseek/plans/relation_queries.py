@@ -12,8 +12,8 @@ from tableseek.operators import referential as R
 from tableseek.operators import resolution as Q
 from tableseek.operators.corrupt import corrupt_cells
 from tableseek.operators.impute import impute
-from tableseek.operators.structure import hyperedges, visible_cells
-from tableseek.plans.lowering import ALL_CELLS_SQL, ORDER_CELLS_SQL, QUESTIONS_SQL, catalog, order_cells, qrels, questions
+from tableseek.operators.structure import hyperedges, visible_ranges
+from tableseek.plans.lowering import ALL_CELLS_SQL, QUESTIONS_SQL, catalog, order_cells, qrels, questions
 from tableseek.plans.registry import load, query
 
 FKS = [
@@ -23,12 +23,14 @@ FKS = [
     R.ForeignKey("orders", "customer", ("o_custkey",), ("c_custkey",)),
     R.ForeignKey("lineitem", "orders", ("l_orderkey",), ("o_orderkey",)),
     R.ForeignKey("lineitem", "supplier", ("l_suppkey",), ("s_suppkey",)),
+    R.ForeignKey("lineitem", "part", ("l_partkey",), ("p_partkey",)),
 ]
 KEYS = {
     "region": ["r_regionkey"],
     "nation": ["n_nationkey"],
     "customer": ["c_custkey"],
     "supplier": ["s_suppkey"],
+    "part": ["p_partkey"],
     "orders": ["o_orderkey"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
 }
@@ -44,6 +46,7 @@ def database(spark, d):
         "nation": load(spark, d, "nation").select("n_nationkey", "n_regionkey"),
         "customer": load(spark, d, "customer").select("c_custkey", "c_nationkey"),
         "supplier": load(spark, d, "supplier").select("s_suppkey", "s_nationkey"),
+        "part": load(spark, d, "part").select("p_partkey"),
         "orders": load(spark, d, "orders").select("o_orderkey", custkey.alias("o_custkey")),
         "lineitem": load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct(),
     }
@@ -68,8 +71,9 @@ CLOSED_SQL = DB_SQL + ",\n" + ",\n".join(
         _top(("s_nation", "nation"), "nation", "n_nationkey", "n_regionkey IN (SELECT r_regionkey FROM s_region)"),
         _top(("s_customer", "customer"), "customer", "c_custkey", "c_nationkey IN (SELECT n_nationkey FROM s_nation)"),
         _top(("s_supplier", "supplier"), "supplier", "s_suppkey", "s_nationkey IN (SELECT n_nationkey FROM s_nation)"),
+        _top(("s_part", "part"), "(SELECT p_partkey FROM part)", "p_partkey"),
         _top(("s_orders", "orders"), "ord", "o_orderkey", "o_custkey IS NULL OR o_custkey IN (SELECT c_custkey FROM s_customer)"),
-        _top(("s_lineitem", "lineitem"), "li", _LK, "l_orderkey IN (SELECT o_orderkey FROM s_orders) AND l_suppkey IN (SELECT s_suppkey FROM s_supplier)"),
+        _top(("s_lineitem", "lineitem"), "li", _LK, "l_orderkey IN (SELECT o_orderkey FROM s_orders) AND l_suppkey IN (SELECT s_suppkey FROM s_supplier) AND l_partkey IN (SELECT p_partkey FROM s_part)"),
     ]
 )
 _KEYS_SQL = " UNION ALL ".join(
@@ -98,7 +102,8 @@ UNION ALL SELECT 'customer', 'nation', 'c_nationkey', (SELECT count(*) FROM s_cu
 UNION ALL SELECT 'supplier', 'nation', 's_nationkey', (SELECT count(*) FROM s_supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM s_nation))
 UNION ALL SELECT 'orders', 'customer', 'o_custkey', (SELECT count(*) FROM s_orders WHERE o_custkey NOT IN (SELECT c_custkey FROM s_customer))
 UNION ALL SELECT 'lineitem', 'orders', 'l_orderkey', (SELECT count(*) FROM s_lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM s_orders))
-UNION ALL SELECT 'lineitem', 'supplier', 'l_suppkey', (SELECT count(*) FROM s_lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM s_supplier))""",
+UNION ALL SELECT 'lineitem', 'supplier', 'l_suppkey', (SELECT count(*) FROM s_lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM s_supplier))
+UNION ALL SELECT 'lineitem', 'part', 'l_partkey', (SELECT count(*) FROM s_lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM s_part))""",
 )
 def fk_verify(spark, d):
     sampled = R.sample_database(database(spark, d), KEYS, FKS, MAX_ROWS)
@@ -186,6 +191,7 @@ ALIGNED_SQL = DB_SQL + ",\n" + ",\n".join(
         _top(("s_lineitem", "lineitem"), "li", _LK),
         _top(("s_orders", "orders"), "ord", "o_orderkey", f"o_orderkey IN {_refs('lineitem', 'l_orderkey', 'orders', 'o_orderkey')}"),
         _top(("s_supplier", "supplier"), "supplier", "s_suppkey", f"s_suppkey IN {_refs('lineitem', 'l_suppkey', 'supplier', 's_suppkey')}"),
+        _top(("s_part", "part"), "(SELECT p_partkey FROM part)", "p_partkey", f"p_partkey IN {_refs('lineitem', 'l_partkey', 'part', 'p_partkey')}"),
         _top(("s_customer", "customer"), "customer", "c_custkey", f"c_custkey IN {_refs('orders', 'o_custkey', 'customer', 'c_custkey')}"),
         _top(("s_nation", "nation"), "nation", "n_nationkey",
              f"n_nationkey IN {_refs('customer', 'c_nationkey', 'nation', 'n_nationkey')} OR n_nationkey IN {_refs('supplier', 's_nationkey', 'nation', 'n_nationkey')}"),
@@ -416,15 +422,17 @@ def cache_merge(spark, d):
 
 @query(
     "visible_cells",
-    f"""WITH {ORDER_CELLS_SQL}
+    f"""WITH {ALL_CELLS_SQL},
+c AS (SELECT table_id, row_idx, col_idx FROM order_cells UNION ALL SELECT DISTINCT table_id, -1, -1 FROM order_cells)
 SELECT a.table_id, a.row_idx, a.col_idx, count(*) AS n_visible, CAST(sum(b.row_idx * 6 + b.col_idx) AS BIGINT) AS position_sum
-FROM order_cells a JOIN order_cells b ON a.table_id = b.table_id AND (a.row_idx = b.row_idx OR a.col_idx = b.col_idx) GROUP BY 1, 2, 3""",
+FROM c a JOIN c b ON a.table_id = b.table_id AND (a.row_idx = b.row_idx OR a.col_idx = b.col_idx OR a.row_idx = -1 OR b.row_idx = -1) GROUP BY 1, 2, 3""",
 )
 def visible(spark, d):
-    pairs = visible_cells(order_cells(spark, d))
-    return pairs.groupBy("table_id", "row_idx", "col_idx").agg(
-        F.count("*").alias("n_visible"), F.sum(F.col("row_other") * 6 + F.col("col_other")).alias("position_sum")
-    )
+    """All cells and a caption per table, which every cell sees and which sees every cell."""
+    cells = order_cells(spark, d, None).select("table_id", "row_idx", "col_idx")
+    caption = cells.select("table_id").distinct().select("table_id", F.lit(-1).alias("row_idx"), F.lit(-1).alias("col_idx"))
+    seen = visible_ranges(cells.unionByName(caption), (F.col("row_idx") * 6 + F.col("col_idx")).cast("bigint"))
+    return seen.select("table_id", "row_idx", "col_idx", "n_visible", F.col("visible_sum").alias("position_sum"))
 
 
 @query(

@@ -117,13 +117,13 @@ def bm25_per_query(spark, d):
 
 @query(
     "strict_metrics",
-    f"""WITH {BM25_SQL}, {METRIC_SQL} SELECT round(avg(ap), 6) AS map, round(avg(rr), 6) AS mrr, count(*) AS n_queries FROM pq""",
+    f"""WITH {BM25_SQL}, {METRIC_SQL}
+SELECT CASE WHEN ap IS NULL THEN 'no_positive' ELSE 'scored' END AS outcome, round(coalesce(avg(ap), 0), 6) AS map, round(coalesce(avg(rr), 0), 6) AS mrr, count(*) AS n_queries
+FROM (SELECT DISTINCT item_id AS query_id FROM benchmark) LEFT JOIN pq USING (query_id) GROUP BY 1""",
 )
 def strict_metrics(spark, d):
-    """Only queries that have a relevant hit enter, so the strict check passes."""
-    judged = judged_hits(spark, d)
-    answered = judged.filter("positive").select("query_id").distinct()
-    return M.map_mrr(M.strict_per_query(judged.join(answered, "query_id", "left_semi"), "doc_id"))
+    """Every query counts: scored, or without a relevant hit, where the strict evaluation fails."""
+    return M.outcomes(passages(spark, d), M.per_query_metrics(judged_hits(spark, d), "doc_id"))
 
 
 @query(
@@ -303,15 +303,16 @@ def map_mrr_multi_model(spark, d):
 @query(
     "info_nce",
     f"""WITH {VEC_SQL},
-q AS (SELECT model, query_id, max(score / 0.07) AS m FROM models GROUP BY 1, 2 HAVING bool_or(positive))
-SELECT model, round(avg(l), 6) AS loss, count(*) AS n_queries FROM (SELECT model, query_id, ln(sum(exp(score / 0.07 - m))) - ln(sum(CASE WHEN positive THEN exp(score / 0.07 - m) END)) AS l
+q AS (SELECT model, query_id, max(score / 0.07) AS m FROM models GROUP BY 1, 2)
+SELECT model, round(avg(l), 6) AS loss, count(l) AS n_queries, count(*) - count(l) AS n_failed FROM (SELECT model, query_id, ln(sum(exp(score / 0.07 - m))) - ln(sum(CASE WHEN positive THEN exp(score / 0.07 - m) END)) AS l
   FROM models JOIN q USING (model, query_id) GROUP BY 1, 2) GROUP BY model""",
 )
 def info_nce(spark, d):
-    scores = model_scores(spark, d)
-    answered = scores.filter("positive").select("model", "query_id").distinct()
-    losses = M.info_nce(scores.join(answered, ["model", "query_id"], "left_semi"), by=["model", "query_id"])
-    return losses.groupBy("model").agg(F.round(F.avg("loss"), 6).alias("loss"), F.count("*").alias("n_queries"))
+    """Loss of the queries with a positive, and the number of those without, which a strict run fails on."""
+    losses = M.info_nce(model_scores(spark, d), by=["model", "query_id"], strict=False)
+    return losses.groupBy("model").agg(
+        F.round(F.avg("loss"), 6).alias("loss"), F.count("loss").alias("n_queries"), F.count_if(F.col("loss").isNull()).alias("n_failed")
+    )
 
 
 @query(

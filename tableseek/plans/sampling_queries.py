@@ -9,6 +9,7 @@ from tableseek.operators import sampling as S
 from tableseek.operators.resolution import keep_style
 from tableseek.plans.lowering import ORDER_CELLS_SQL, QUESTIONS_SQL, catalog, order_cells, qrels, questions
 from tableseek.plans.registry import load, query
+from tableseek.session import materialize
 
 H = "md5(concat_ws('|', '42', {0}))"
 
@@ -86,22 +87,24 @@ def split_queries_capped(spark, d):
 @query(
     "fixed_corpus",
     f"""WITH {QUESTIONS_SQL},
-need AS (SELECT DISTINCT table_id FROM qrels WHERE db_id LIKE '%7'),
+need AS (SELECT DISTINCT table_id FROM qrels),
 rest AS (SELECT table_id, row_number() OVER (ORDER BY {H.format('table_id')}, table_id) AS r FROM catalog
          WHERE table_id NOT IN (SELECT table_id FROM need))
 SELECT table_id, 'required' AS origin FROM need
-UNION ALL SELECT table_id, 'fill' FROM rest WHERE r <= (SELECT 5 * count(*) FROM need) - (SELECT count(*) FROM need)""",
+UNION ALL SELECT table_id, 'fill' FROM rest WHERE r <= 200""",
 )
 def fixed_corpus(spark, d):
-    """Gold tables of the databases ending in 7, filled to five times their number."""
-    required = qrels(spark, d).filter(F.col("db_id").like("%7")).select("table_id").distinct()
-    return S.fixed_corpus(required, catalog(spark, d), "table_id", 5 * required.count())
+    """All gold tables and 200 others."""
+    required = materialize(qrels(spark, d).select("table_id").distinct(), "required")
+    return S.fixed_corpus(required, catalog(spark, d), "table_id", required.count() + 200)
 
 
 @query(
     "validation_corpus",
     f"""WITH {QUESTIONS_SQL},
-pos AS (SELECT DISTINCT table_id, db_id FROM qrels WHERE query_id % 50 = 0),
+p AS (SELECT o_orderkey, {_POS.format(h=H.format('o_orderkey'), k='o_orderkey')} AS p FROM orders),
+val AS (SELECT o_orderkey AS query_id FROM (SELECT o_orderkey, {_cuts('(SELECT count(*) FROM orders)', 0.85, 0.05)} AS split FROM p) WHERE split = 'val'),
+pos AS (SELECT DISTINCT table_id, db_id FROM qrels WHERE query_id IN (SELECT query_id FROM val)),
 hard AS (SELECT table_id FROM (
   SELECT c.table_id, row_number() OVER (PARTITION BY c.db_id ORDER BY md5(concat_ws('|', '42h', c.table_id)), c.table_id) AS r
   FROM catalog c WHERE c.db_id IN (SELECT db_id FROM pos) AND c.table_id NOT IN (SELECT table_id FROM pos)) WHERE r <= 3),
@@ -112,8 +115,10 @@ SELECT table_id, origin FROM forced
 UNION ALL SELECT table_id, 'fill' FROM rest WHERE r <= 3000 - (SELECT count(*) FROM forced)""",
 )
 def validation_corpus(spark, d):
-    """Positives of the validation split (every 50th question), 3 hard negatives per database, fill to 3000."""
-    positives = qrels(spark, d).filter(F.col("query_id") % 50 == 0)
+    """Positives of the whole validation split, 3 hard negatives per database, fill to 3000."""
+    split = S.split_queries(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", {"train": 0.85, "val": 0.05, "test": 0.10})
+    asked = split.filter(F.col("split") == "val").select(F.col("o_orderkey").alias("query_id"))
+    positives = materialize(qrels(spark, d).join(asked, "query_id", "left_semi"), "positives")
     return S.validation_corpus(positives, catalog(spark, d), "table_id", "db_id", per_db=3, size=3000)
 
 
@@ -243,10 +248,10 @@ def table_set_equality(spark, d):
 @query(
     "root_conflicts",
     """SELECT 'supp' || l_suppkey AS db_id, count(DISTINCT l_returnflag || l_linestatus) AS n_paths
-FROM lineitem WHERE l_quantity > 48 GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag || l_linestatus) > 1""",
+FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag || l_linestatus) > 1""",
 )
 def root_conflicts(spark, d):
-    files = load(spark, d, "lineitem").filter("l_quantity > 48").select(
+    files = load(spark, d, "lineitem").select(
         F.concat(F.lit("supp"), F.col("l_suppkey").cast("string")).alias("db_id"),
         F.concat("l_returnflag", "l_linestatus").alias("path"),
     )

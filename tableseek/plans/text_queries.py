@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tableseek.functions import text as T
 from tableseek.operators import cells as C
 from tableseek.operators.ranking import global_ids
-from tableseek.plans.lowering import ALL_CELLS_SQL, HEADERS, ORDER_CELLS_SQL, ORDER_ROWS_SQL, order_cells, order_rows, order_tables
+from tableseek.plans.lowering import ALL_CELLS_SQL, ALL_ROWS_SQL, HEADERS, ORDER_CELLS_SQL, ORDER_ROWS_SQL, order_cells, order_rows, order_tables
 from tableseek.plans.registry import load, query
 
 _CLEAN = "trim(regexp_replace(coalesce({0}, ''), '[\\s\\x0B\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
@@ -347,13 +347,13 @@ def header_rows(spark, d):
 
 @query(
     "table_validation",
-    f"""WITH {ORDER_ROWS_SQL},
+    f"""WITH {ALL_ROWS_SQL},
 rowsz AS (SELECT table_id, row_idx, CASE WHEN CAST(partkey AS BIGINT) % 50 = 0 THEN 5 ELSE 6 END AS w FROM order_rows)
 SELECT table_id, count(*) AS n_rows, bool_and(w = 6) AS valid FROM rowsz GROUP BY table_id""",
 )
 def table_validation(spark, d):
     """Rows whose part key is a multiple of 50 lose their last cell."""
-    rows = order_rows(spark, d)
+    rows = order_rows(spark, d, None)
     full = F.array(*HEADERS)
     ragged = F.when(F.col("partkey").cast("bigint") % 50 == 0, F.slice(full, 1, 5)).otherwise(full)
     tables = rows.groupBy("table_id").agg(F.collect_list(ragged).alias("rows"))

@@ -78,8 +78,15 @@ class CommitLog:
         return version
 
     def load(self, folders: list[str], schema: str | None = None) -> DataFrame:
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(*[self.full(f) for f in folders])
+        """Rows of several data folders; each may be partitioned in itself."""
+        found = None
+        for folder in folders:
+            reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+            rows = reader.parquet(self.full(folder))
+            found = rows if found is None else found.unionByName(rows)
+        if found is None:
+            raise ValueError(f"{self.path} names no folder")
+        return found
 
     def vacuum(self, keep: set[str]) -> list[str]:
         """Removes the data folders that are not named; the caller knows that no writer is at work."""

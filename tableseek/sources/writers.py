@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from tableseek.operators.ranking import small_or_unhinted
+from tableseek.session import materialize
+from tableseek.sources.commit_log import CommitLog
 
 
 def write_corpus(docs: DataFrame, path: str) -> None:
@@ -43,10 +44,73 @@ def check_manifest(stored: DataFrame, expected: DataFrame) -> None:
         raise ValueError(f"metadata differs: {[(r['key'], r['stored'], r['expected']) for r in different]}")
 
 
-def checkpointed(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    if table_exists(spark, path):
-        return spark.read.parquet(path)
-    return spark.createDataFrame([], schema)
+class StagedWriter:
+    """An output in parts (epochs, waves of shards, sets of databases) with a commit log.
+
+    A part is written to a folder of its own and appears with one commit, so a writer that dies leaves the parts before
+    it; the next one finds out what is there. Parameters are kept in the log, and a run with other ones is refused.
+    ``finish`` marks the output complete without moving or rewriting anything.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parameters: dict[str, str]):
+        self.spark, self.log = spark, CommitLog(spark, path)
+        self.entry = self.log.latest() or {"version": 0, "parameters": parameters, "parts": {}, "complete": False}
+        _check_parameters(self.entry["parameters"], parameters)
+
+    @property
+    def parts(self) -> dict[str, dict[str, str]]:
+        """Folders of each part by table name."""
+        return self.entry["parts"]
+
+    def write(self, part: str, tables: dict[str, DataFrame], partition_by: list[str] | None = None) -> None:
+        """Tables of a part, side by side, as one version. A part that is there already is left alone."""
+        if part in self.parts:
+            return
+        if self.entry["complete"]:
+            raise ValueError(f"{self.log.path} is complete and has no part {part}")
+        folders = {}
+        for name, rows in tables.items():
+            folders[name] = self.log.stage(name)
+            held = rows.repartition(*partition_by) if partition_by else rows
+            writer = held.write.partitionBy(*partition_by) if partition_by else held.write
+            writer.parquet(self.log.full(folders[name]))
+        self._commit({**self.entry, "parts": {**self.parts, part: folders}})
+
+    def finish(self, parts: list[str] | None = None, **counts: int) -> None:
+        """The completion marker; refused while one of ``parts`` is missing."""
+        missing = [p for p in parts or [] if p not in self.parts]
+        if missing:
+            raise ValueError(f"{self.log.path} lacks {missing}")
+        if not self.entry["complete"]:
+            self._commit({**self.entry, "complete": True, "counts": counts})
+
+    def table(self, name: str, schema: str | None = None) -> DataFrame | None:
+        """Rows of one table over all parts; None where no part has it."""
+        folders = [p[name] for p in self.parts.values() if name in p]
+        return self.log.load(folders, schema) if folders else None
+
+    def _commit(self, content: dict[str, Any]) -> None:
+        self.log.commit(content, self.entry["version"])
+        self.entry = self.log.latest()
+
+
+def _check_parameters(stored: dict[str, str], expected: dict[str, str]) -> None:
+    different = sorted(k for k in stored.keys() | expected.keys() if stored.get(k) != expected.get(k))
+    if different:
+        raise ValueError(f"metadata differs: {[(k, stored.get(k), expected.get(k)) for k in different[:20]]}")
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    return bool((CommitLog(spark, path).latest() or {}).get("complete"))
+
+
+def read_staged(spark: SparkSession, path: str, expected: dict[str, str], name: str, complete: bool = True) -> DataFrame:
+    """One table of a staged output, after its parameters passed the comparison and, by default, once it is complete."""
+    entry = CommitLog(spark, path).latest()
+    if entry is None or (complete and not entry["complete"]):
+        raise ValueError(f"{path} is not complete")
+    _check_parameters(entry["parameters"], expected)
+    return CommitLog(spark, path).load([p[name] for p in entry["parts"].values() if name in p])
 
 
 def resume_by_database(
@@ -56,51 +120,40 @@ def resume_by_database(
     path: str,
     schema: str,
     parameters: dict[str, str],
-    publish: str,
     max_attempts: int = 1,
 ) -> DataFrame:
-    """Build the databases a checkpoint lacks; publish only when none failed.
+    """Build the databases an output lacks; it is complete once none fails.
 
-    ``build(todo)`` returns rows(db_id, ...) and failures(db_id, error) for the databases
-    asked. Parameters are compared with those of earlier runs first. Finished databases
-    are appended per db_id and never built again. Returns the remaining failures.
+    ``build(todo)`` returns rows(db_id, ...) and failures(db_id, error) for the databases asked. Parameters are compared
+    with those of earlier runs first. An attempt commits its rows together with the list of databases it finished, those
+    without rows too, and none of them is built again. Returns the failures that remain; ``read_staged`` has the rows.
     """
-    known = f"{path}/parameters"
-    expected = spark.createDataFrame(sorted(parameters.items()), "key string, value string")
-    if table_exists(spark, known):
-        check_manifest(spark.read.parquet(known), expected)
-    else:
-        expected.write.parquet(known)
-    rows_path = f"{path}/rows"
+    output = StagedWriter(spark, path, parameters)
     failures = requested.select("db_id").limit(0).withColumn("error", F.lit(""))
     for _ in range(max_attempts):
-        done = checkpointed(spark, rows_path, schema).select("db_id").distinct()
-        todo = requested.select("db_id").distinct().join(done, "db_id", "left_anti")
+        if output.entry["complete"]:
+            break
+        todo, done = requested.select("db_id").distinct(), output.table("done", "db_id string")
+        if done is not None:
+            todo = todo.join(done, "db_id", "left_anti")
+        todo = materialize(todo, "todo")
         built, failures = build(todo)
-        built.join(failures, "db_id", "left_anti").write.mode("append").partitionBy("db_id").parquet(rows_path)
+        failures = materialize(failures, "failures")
+        finished = todo.join(failures, "db_id", "left_anti")
+        columns = [c.strip().split()[0] for c in schema.split(",")]
+        rows = built.select(*columns).join(failures, "db_id", "left_anti")
+        output.write(f"attempt {len(output.parts)}", {"rows": rows, "done": finished})
         if failures.isEmpty():
-            spark.read.parquet(rows_path).write.mode("errorifexists").parquet(publish)
-            break
+            output.finish()
     return failures
 
 
-def write_shards(rows: DataFrame, path: str, parts: list[str]) -> None:
-    """Partitioned Parquet; rows of one shard are brought together before the write."""
-    rows.repartition(*parts).write.mode("errorifexists").partitionBy(*parts).parquet(path)
-
-
-def read_shards(spark: SparkSession, path: str, stored: DataFrame, expected: DataFrame) -> DataFrame:
-    """Shards after their metadata passed the comparison."""
-    check_manifest(stored, expected)
-    return spark.read.parquet(path)
-
-
 def merge_cache_file(current: DataFrame, path: str, key: str, replace: bool = False) -> DataFrame:
     """Load a stored cache: replace the current one, or fill only keys it lacks."""
     loaded = current.sparkSession.read.parquet(path)
     if replace:
         return loaded
-    return current.unionByName(loaded.join(small_or_unhinted(current.select(key)), key, "left_anti"))
+    return current.unionByName(loaded.join(current.select(key), key, "left_anti"))
 
 
 def write_leaderboard(results: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """Candidates, batches, corruption, lineage, sources, checkpoints and streams on small fixtures."""
 
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -215,23 +216,9 @@ def test_first_reading_switch(spark):
     assert state_changes(readings, F.lit(0), notify_first=False).count() == 1
 
 
-def test_stream_state_survives_restarts_and_reminds(spark, collect_rows):
-    folder = scratch_path(spark, "waves")
-    out, checkpoint = jobs.stream_paths(spark, "waves")
-    waves = [[(0, 0, 0, "busy"), (0, 600, 1, "free")], [(0, 1200, 2, "free"), (0, 8000, 3, "free"), (0, 9000, 4, "busy")]]
-    for wave in waves:
-        spark.createDataFrame(wave, "host bigint, s bigint, event_id bigint, state string").select(
-            "host", F.timestamp_seconds("s").alias("ts"), "event_id", "state"
-        ).coalesce(1).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema("host bigint, ts timestamp, event_id bigint, state string").parquet(folder)
-        jobs.run_to_parquet(jobs.watch_states(stream, reminder_seconds=3600), out, checkpoint)
-    got = collect_rows(spark.read.parquet(out), "event_id", F.coalesce("previous", F.lit("")), "state", "reminder")
-    assert got == [(0, "", "busy", False), (1, "busy", "free", False), (3, "free", "free", True), (4, "free", "busy", False)]
-
-
 def test_recovery_withholds_output_until_all_databases_are_built(spark):
-    path, out = scratch_path(spark, "ckpt"), scratch_path(spark, "out")
-    requested = spark.createDataFrame([("good",), ("missing",)], "db_id string")
+    path = scratch_path(spark, "ckpt")
+    requested = spark.createDataFrame([("good",), ("missing",), ("no rows",)], "db_id string")
     items = spark.createDataFrame([("good", 1), ("missing", 2)], "db_id string, id int")
     asked = []
 
@@ -243,13 +230,18 @@ def test_recovery_withholds_output_until_all_databases_are_built(spark):
 
         return run
 
-    left = writers.resume_by_database(spark, requested, build(["missing"]), path, "db_id string, id int", {"seed": "42"}, out)
-    assert [r["db_id"] for r in left.collect()] == ["missing"] and not writers.table_exists(spark, out)
+    left = writers.resume_by_database(spark, requested, build(["missing"]), path, "db_id string, id int", {"seed": "42"})
+    assert [r["db_id"] for r in left.collect()] == ["missing"]
+    with pytest.raises(ValueError):
+        writers.read_staged(spark, path, {"seed": "42"}, "rows")
     with pytest.raises(ValueError):
-        writers.resume_by_database(spark, requested, build([]), path, "db_id string, id int", {"seed": "1"}, out)
-    writers.resume_by_database(spark, requested, build([]), path, "db_id string, id int", {"seed": "42"}, out)
-    assert asked == [["good", "missing"], ["missing"]]
-    assert spark.read.parquet(out).count() == 2
+        writers.resume_by_database(spark, requested, build([]), path, "db_id string, id int", {"seed": "1"})
+    before = {f.name for f in Path(path.removeprefix("file:")).iterdir()}
+    writers.resume_by_database(spark, requested, build([]), path, "db_id string, id int", {"seed": "42"})
+    writers.resume_by_database(spark, requested, build([]), path, "db_id string, id int", {"seed": "42"})
+    assert asked == [["good", "missing", "no rows"], ["missing"]]  # a database without rows is done, too
+    assert writers.read_staged(spark, path, {"seed": "42"}, "rows").count() == 2
+    assert before <= {f.name for f in Path(path.removeprefix("file:")).iterdir()}  # completion moved and rewrote nothing
 
 
 def test_web_dump(spark, tmp_path):
