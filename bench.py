@@ -15,11 +15,11 @@ from tableseek.plans import QUERIES  # noqa: E402
 from tableseek.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "bm25_map", "bm25_topk", "postings_stats", "augmented_corpus",
+    "lexical_index", "bm25_map", "bm25_topk", "postings_stats", "augmented_corpus",
     "doc_contents", "doc_roundtrip", "column_profile", "column_types",
     "capped_rows", "split_queries", "fixed_corpus", "fk_closure_sample", "aligned_sample",
     "impute_cyclic", "corrupt_cells", "hard_negatives", "candidates_visible", "train_batches",
-    "size_batches", "padding_plan", "map_mrr_multi_model", "info_nce", "dense_candidates",
+    "size_batches", "padding_plan", "map_mrr_multi_model", "info_nce", "dense_candidates", "dense_search",
     "sql_lineage", "state_changes", "dedupe_questions", "nested_corpus", "score_global", "hybrid_ranks", "stream_state_changes",
 ]
 

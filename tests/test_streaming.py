@@ -13,7 +13,8 @@ SCHEMA = "host bigint, ts timestamp, event_id bigint, state string"
 
 def frame(spark, rows):
     raw = spark.createDataFrame(rows, "host bigint, s bigint, event_id bigint, state string")
-    return raw.select("host", F.timestamp_seconds("s").alias("ts"), "event_id", "state")
+    # not from the epoch itself, where the first watermark stands
+    return raw.select("host", F.timestamp_seconds(F.col("s") + 100_000).alias("ts"), "event_id", "state")
 
 
 def waves_of(spark, waves, watch, label):
