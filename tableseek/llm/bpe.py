@@ -6,7 +6,7 @@ are then replayed in rank order: a merge touches only the positions of its pair,
 and files the pairs with the two neighbours anew. Each distinct word is therefore encoded once per slice and
 remembered for later slices of the task, however often it occurs.
 
-No shuffle is needed, and memory is bounded by the slice and by REMEMBER stretches.
+No shuffle is needed, and memory is bounded by the slice and by REMEMBER_BYTES of stretches.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 8_000_000
-REMEMBER = 250_000
+SLICE_BYTES = 3_000_000
+REMEMBER_BYTES = 24_000_000  # of stretches that a task keeps with their ids, each counted with ENTRY_BYTES of its own
+ENTRY_BYTES = 200
+REMEMBER_PAIRS = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,6 +58,8 @@ class MergeReplay:
                 rest.append(i)
             else:
                 out[i] = b"" if whole is None else whole.to_bytes(4, "little")
+        if len(self.joined) > REMEMBER_PAIRS:
+            self.joined.clear()
         if rest:
             self._replay([words[i] for i in rest], rest, out)
         return out  # type: ignore[return-value]
@@ -161,6 +165,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
             return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
         known: dict[str, bytes] = {}
+        held = 0
         for batch in batches:
             size = batch.column(text_at).nbytes / max(1, batch.num_rows)
             rows = max(1, int(SLICE_BYTES / max(1, size)))
@@ -171,14 +176,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
                 for value in texts:
                     used.update(stretches(value))
                 fresh = list(used.difference(known))
-                if len(known) + len(fresh) > REMEMBER:
+                if held > REMEMBER_BYTES:
                     known.clear()
-                    fresh = list(used)
+                    held, fresh = 0, list(used)
                 pieces = [find(x) for x in fresh]
                 words = list({w for piece in pieces for w in piece})
                 ids_of = dict(zip(words, replay.encode([w.encode() for w in words])))
                 for stretch, piece in zip(fresh, pieces):
-                    known[stretch] = b"".join([ids_of[w] for w in piece])
+                    ids = known[stretch] = b"".join([ids_of[w] for w in piece])
+                    held += len(stretch) + len(ids) + ENTRY_BYTES
                 ids = [b"".join([known[x] for x in stretches(value)]) for value in texts]
                 decoded = [b"".join(map(token, np.frombuffer(row, "<u4").tolist())) for row in ids]
                 yield pa.RecordBatch.from_arrays(
