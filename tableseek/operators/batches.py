@@ -114,9 +114,12 @@ def packing_utilisation(batches: DataFrame) -> DataFrame:
     return grouped.withColumn("used_pct", F.round(100.0 * F.col("n_cells") / F.col("n_slots"), 4))
 
 
-def shape_microbatches(shapes: DataFrame, cell_budget: int, max_tables: int, key: str = "table_id") -> DataFrame:
+def shape_microbatches(
+    shapes: DataFrame, cell_budget: int, max_tables: int, key: str = "table_id", largest: tuple[int, int] | None = None
+) -> DataFrame:
     """Micro-batches of tables with the same power-of-two shape, small areas first.
 
+    ``largest`` are the last bins of columns and rows, which take all larger tables, too; None lets bins grow with the tables.
     A shape bin may hold most tables: tables get their corpus index first, and bins
     are ranked in pieces of 65,536 consecutive indices.
     """
@@ -124,6 +127,9 @@ def shape_microbatches(shapes: DataFrame, cell_budget: int, max_tables: int, key
     binned = indexed.withColumn("col_bin", power_of_two_ceiling("n_cols")).withColumn(
         "row_bin", power_of_two_ceiling("n_rows")
     )
+    if largest is not None:
+        for name, last in zip(("col_bin", "row_bin"), largest):
+            binned = binned.withColumn(name, F.least(F.col(name), F.lit(last).cast(binned.schema[name].dataType)))
     placed = ordinal(binned, ["col_bin", "row_bin"], ["_idx"], F.floor(F.col("_idx") / 65536), "_pos")
     area = F.col("col_bin") * F.col("row_bin")
     group_size = F.least(F.greatest(F.lit(1), F.floor(F.lit(cell_budget) / area)), F.lit(max_tables))
