@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from tableseek.functions.hashing import hash_key, hash_mod
 from tableseek.operators.ranking import hash_ordinal, top_k
 
+# Tables of one database that a list holds.
+LIST = 1000
+
 
 def group_sizes(tables: DataFrame, group: Sequence[str]) -> DataFrame:
     """Tables per group."""
@@ -59,10 +62,11 @@ def hard_negatives(qrels: DataFrame, tables: DataFrame, n: int, seed: int = 42)
 def chunk_distractors(
     queries: DataFrame, tables: DataFrame, n: int, seed: int = 42
 ) -> DataFrame:
-    """Two-stage distractors over queries(query_id, db_id, chunk), tables(db_id, table_id).
+    """Two-stage distractors over queries(query_id, db_id, chunk), tables(db_id, table_id): the columns of the queries and ``tables``.
 
     A chunk draws 2n tables of the whole corpus, each of its queries keeps n tables of
-    that pool from other databases, in the query's own seeded order.
+    that pool from other databases, in the query's own seeded order. A pool is one list of
+    2n tables, so a query chooses inside its row and no pairs are shuffled.
     """
     whole = tables.withColumn("_all", F.lit(0))
     sizes = group_sizes(whole, ["_all"])
@@ -72,24 +76,44 @@ def chunk_distractors(
     )
     pool = draw_from_ring(wants, placed, ["_all"], sizes, "chunk", seed).drop("_all", "_step")
     pool = pool.join(tables.select("table_id", F.col("db_id").alias("_table_db")), "table_id")
-    met = queries.join(pool, "chunk").filter(F.col("db_id") != F.col("_table_db"))
-    hashed = met.withColumn("_h", hash_key("query_id", "table_id", seed=seed))
-    return top_k(hashed, ["query_id"], ["_h", "table_id"], n, rank="_r").select("query_id", "db_id", "chunk", "table_id")
+    pools = pool.groupBy("chunk").agg(F.collect_list(F.struct("table_id", "_table_db")).alias("_pool"))
+    others = F.filter("_pool", lambda t: t["_table_db"] != F.col("db_id"))
+    hashed = F.transform(others, lambda t: F.struct(hash_key("query_id", t["table_id"], seed=seed).alias("_h"), t["table_id"].alias("table_id")))
+    kept = F.transform(F.slice(F.sort_array(hashed), 1, n), lambda t: t["table_id"])
+    return queries.join(pools, "chunk").withColumn("tables", kept).drop("_pool")
+
 
+def own_tables(queries: DataFrame, tables: DataFrame, piece: int = LIST) -> DataFrame:
+    """The columns of the queries and ``tables``: every table of the query's own database, in lists of about ``piece``.
 
-def own_tables(queries: DataFrame, tables: DataFrame) -> DataFrame:
-    """Every table of the query's own database. Databases are bounded by the corpus builder;
-    the result is by definition queries x tables of a database."""
-    return queries.join(tables.select("db_id", "table_id"), "db_id").select("query_id", "db_id", "chunk", "table_id")
+    A database is cut into its lists once, so a query meets lists and not tables."""
+    sizes = group_sizes(tables, ["db_id"]).select("db_id", F.ceil(F.col("_n") / piece).alias("_k"))
+    dealt = tables.select("db_id", "table_id").join(sizes, "db_id").withColumn("_piece", F.pmod(F.xxhash64("table_id"), F.col("_k")))
+    lists = dealt.groupBy("db_id", "_piece").agg(F.collect_list("table_id").alias("tables")).drop("_piece")
+    return queries.join(lists, "db_id")
+
+
+def candidate_lists(queries: DataFrame, tables: DataFrame, qrels: DataFrame, n: int, seed: int = 42, piece: int = LIST) -> DataFrame:
+    """Visible candidates as query_id, db_id, chunk, gold, own and ``tables``: lists of bounded length, some per query.
+
+    ``gold`` has all gold tables of the query, visible or not; it is empty where there are none.
+    """
+    gold = qrels.groupBy("query_id").agg(F.collect_set("table_id").alias("gold"))
+    asked = queries.select("query_id", "db_id", "chunk").join(gold, "query_id", "left")
+    asked = asked.withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
+    own = own_tables(asked, tables, piece).withColumn("own", F.lit(True))
+    other = chunk_distractors(asked, tables, n, seed).withColumn("own", F.lit(False))
+    return own.unionByName(other)
 
 
 def candidate_plan(queries: DataFrame, tables: DataFrame, qrels: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Visible candidates per query: own database and distractors, with the positive flag."""
-    own = own_tables(queries, tables).withColumn("own", F.lit(True))
-    other = chunk_distractors(queries, tables, n, seed).withColumn("own", F.lit(False))
-    gold = qrels.select("query_id", "table_id").withColumn("positive", F.lit(True))
-    joined = own.unionByName(other).join(gold, ["query_id", "table_id"], "left")
-    return joined.withColumn("positive", F.coalesce("positive", F.lit(False)))
+    """Visible candidates per query: own database and distractors, with the positive flag.
+    The result is by definition queries x tables of a database; it is expanded from lists."""
+    lists = candidate_lists(queries, tables, qrels, n, seed)
+    rows = lists.select("query_id", "db_id", "chunk", "own", "gold", F.explode("tables").alias("table_id"))
+    return rows.withColumn("positive", F.array_contains("gold", F.col("table_id"))).select(
+        "query_id", "table_id", "db_id", "chunk", "own", "positive"
+    )
 
 
 def plan_violations(plan: DataFrame, qrels: DataFrame) -> DataFrame:
