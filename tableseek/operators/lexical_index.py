@@ -4,8 +4,8 @@ A segment holds the postings of some documents. Documents are dealt by hash into
 block is the list of (document, tf, length) of one term in one range, with the largest tf and the smallest length in it.
 Blocks and the term dictionary (df, cf) are partitioned by term hash, so a search opens only the buckets of its terms.
 
-Search adds up, per query and range, what the blocks allow at most; the most promising ranges are scored first, and of
-the others only those whose sum reaches the k-th score found so far. Block sums are read without the lists themselves.
+Building deals the texts by range once; counts and blocks are made where a range's texts are. Search reads the blocks of
+the queries' terms, deals them by range once, and scores range by range; a task passes on its k best of every query.
 """
 
 from __future__ import annotations
@@ -14,16 +14,18 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tableseek.functions import text as T
 from tableseek.operators.ranking import top_k
 from tableseek.session import materialize
 from tableseek.sources.commit_log import CommitLog
 
-RANGE = 64
+RANGE = 256
 BUCKETS = 32
 SEGMENTS = 8  # an index of more segments is merged into one
-LEADING = 4  # ranges scored first hold about so many times k documents
+TASK_DOCS = 4096  # documents whose postings or scores meet in one task, about
+LEADING = 4  # of the former search in two phases; not read any more
 K1, B = 0.9, 0.4
 
 
@@ -51,31 +53,45 @@ class LexicalIndex:
 
     def append(self, docs: DataFrame, key: str = "id", text: str = "contents") -> LexicalIndex:
         """Adds documents as a segment of their own; the other segments are not touched. Keys must be new."""
-        lengths = docs.select(F.col(key).alias("key"), T.tokens(text).alias("_t"))
-        tokens = T.exploded(lengths, F.col("_t"), "term", "key", F.size("_t").alias("len"))
-        tf = tokens.groupBy("term", "key", "len").agg(F.count("*").cast("int").alias("tf"))
-        seen = lengths.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("_t")), F.lit(0)).alias("tokens")).first()
-        return self._write(tf, seen["docs"], seen["tokens"], self.segments)
+        n = docs.count()
+        ranges = max(1, -(-n // RANGE))
+        dealt = docs.select(F.col(key).alias("key"), F.col(text).alias("_x"), _range_of("key", ranges)).repartition(self._tasks(n), "range")
+        lengths = dealt.select("range", "key", T.tokens("_x").alias("_t"))
+        tokens = T.exploded(lengths, F.col("_t"), "term", "range", "key", F.size("_t").alias("len"))
+        tf = tokens.groupBy("range", "term", "key", "len").agg(F.count("*").cast("int").alias("tf"))
+        return self._write(self._blocks_of(tf), n, ranges, self.segments)
 
     def merge(self) -> LexicalIndex:
-        """One segment instead of all; postings are dealt anew, no text is read."""
-        tf = self.blocks().select("term", F.inline("list"))
-        return self._write(tf, self.n_docs, sum(s["tokens"] for s in self.segments), [])
-
-    def _write(self, tf: DataFrame, docs: int, tokens: int, others: list[dict[str, Any]]) -> LexicalIndex:
-        folder = self.log.stage("segment")
-        ranges = max(1, -(-docs // RANGE))
-        placed = tf.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int"))
-        blocks = placed.groupBy("term", "range").agg(
+        """One segment instead of all; no text is read. Ranges are kept and numbered on, or dealt anew where most are far from full."""
+        n, kept = self.n_docs, sum(s["ranges"] for s in self.segments)
+        ranges = max(1, -(-n // RANGE))
+        if kept <= 2 * ranges + 1:
+            starts, start = F.lit(0), 0
+            for number, segment in enumerate(self.segments):
+                starts, start = F.when(F.col("segment") == number, F.lit(start)).otherwise(starts), start + segment["ranges"]
+            return self._write(self.blocks().withColumn("range", (F.col("range") + starts).cast("int")).drop("segment"), n, kept, [])
+        postings = self.blocks().select("term", F.inline("list")).select(_range_of("key", ranges), "term", "key", "len", "tf")
+        return self._write(self._blocks_of(postings.repartition(self._tasks(n), "range")), n, ranges, [])
+
+    def _tasks(self, docs: int) -> int:
+        """Tasks for so many documents: few documents are still dealt over the cores."""
+        return max(-(-docs // TASK_DOCS), min(self.spark.sparkContext.defaultParallelism, -(-docs // RANGE)), 1)
+
+    def _blocks_of(self, tf: DataFrame) -> DataFrame:
+        """Blocks of tf(range, term, key, len, tf); rows that are dealt by range are not moved again."""
+        return tf.groupBy("range", "term").agg(
             F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"),
             F.collect_list(F.struct("key", "len", "tf")).alias("list"),  # a range bounds it
         ).withColumn("bucket", self.bucket("term"))
-        # AQE splits and joins the buckets' pieces; a bucket is some files, each in order of terms
-        spread = blocks.repartition("bucket", F.pmod(F.xxhash64("term", "range"), F.lit(4)))
-        spread.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(self.log.full(f"{folder}/blocks"))
-        stored = self.spark.read.parquet(self.log.full(f"{folder}/blocks"))
+
+    def _write(self, blocks: DataFrame, docs: int, ranges: int, others: list[dict[str, Any]]) -> LexicalIndex:
+        folder = self.log.stage("segment")
+        blocks.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(self.log.full(f"{folder}/blocks"))
+        fields = [f for f in blocks.schema if f.name != "bucket"] + [blocks.schema["bucket"]]
+        stored = self.spark.read.schema(StructType(fields)).parquet(self.log.full(f"{folder}/blocks"))
         terms = stored.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"))
         terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(self.log.full(f"{folder}/terms"))
+        tokens = stored.agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
         made = {"folder": folder, "docs": docs, "tokens": tokens, "ranges": ranges}
         self.log.commit({"segments": [*others, made], "buckets": self.entry["buckets"]}, self.entry["version"])
         self.entry = self.log.latest()
@@ -102,35 +118,39 @@ class LexicalIndex:
         """query_id, bucket, term, df and weight of the terms of queries(query_id, text) that the index holds."""
         asked = T.exploded(queries, T.tokens("text"), "term", "query_id").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         asked = materialize(asked.withColumn("bucket", self.bucket("term")), "asked")
-        held = self.terms().where(F.col("bucket").isin(_buckets(asked)))
+        stored = self._read("terms").where(F.col("bucket").isin(_buckets(asked)))
+        held = stored.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").groupBy("bucket", "term").agg(F.sum("df").alias("df"))
         idf = F.log(1 + (self.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
         return materialize(asked.join(held, ["bucket", "term"]).select("query_id", "bucket", "term", "df", (idf * F.col("qtf")).alias("weight")), "weights")
 
     def saturation(self, tf: str, length: str, k1: float = K1, b: float = B) -> Column:
         return F.col(tf) / (F.col(tf) + k1 * (1 - b + b * F.col(length) / self.avg_len))
 
-    def search(self, queries: DataFrame, k: int, key: str = "id", k1: float = K1, b: float = B) -> DataFrame:
-        """query_id, document, score (six places) and rank: the k best documents that share a term with the query."""
+    def scores(self, queries: DataFrame, key: str = "id", k1: float = K1, b: float = B) -> DataFrame:
+        """query_id, document and score (six places) of every document that shares a term with the query.
+
+        Only blocks of the queries' terms are moved, once; a document's scores add up where its range is."""
         weights = self.weights(queries)
         blocks = self.blocks().where(F.col("bucket").isin(_buckets(weights)))
-        at = ["query_id", "segment", "range"]
-        touched = blocks.select("bucket", "segment", "term", "range", "max_tf", "min_len").join(weights, ["bucket", "term"])
-        most = F.sum(F.col("weight") * self.saturation("max_tf", "min_len", k1, b)).alias("most")
-        bounds = materialize(touched.groupBy(*at).agg(most), "bounds")
-
-        def scored(ranges: DataFrame) -> DataFrame:
-            needed = ranges.select(*at).join(touched.select("query_id", "weight", "bucket", "term", "segment", "range"), at)
-            found = needed.join(blocks.select("bucket", "term", "segment", "range", "list"), ["bucket", "term", "segment", "range"])
-            found = found.select("query_id", "weight", F.inline("list"))
-            score = F.sum(F.col("weight") * self.saturation("tf", "len", k1, b))
-            return found.groupBy("query_id", F.col("key").alias(key)).agg(F.round(score, 6).alias("score"))
-
-        leading = top_k(bounds, ["query_id"], [F.desc("most"), "segment", "range"], 1 + LEADING * k // RANGE)
-        first = materialize(top_k(scored(leading), ["query_id"], [F.desc("score"), key], k), "leading")
-        reached = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
-        rest = bounds.join(leading.select(*at), at, "left_anti").join(reached, "query_id", "left")
-        rest = rest.where(F.col("reached").isNull() | (F.col("most") * (1 + 1e-9) + 1e-6 >= F.col("reached")))
-        return top_k(first.drop("rank").unionByName(scored(rest)), ["query_id"], [F.desc("score"), key], k)
+        touched = blocks.join(weights.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+        # arrays of plain numbers travel in less than half the bytes of an array of structs
+        # one column for both: the number of a single segment is a constant, which a partitioning by two columns does not survive
+        place = F.xxhash64("segment", "range").alias("place")
+        flat = touched.select(place, "term", *[F.col(f"list.{c}").alias(c) for c in ("key", "len", "tf")])
+        dealt = flat.repartition(self._tasks(self.n_docs), "place")
+        postings = dealt.select("place", "term", F.inline(F.arrays_zip("key", "len", "tf")))
+        found = postings.join(weights.select("query_id", "term", "weight"), "term")
+        score = F.sum(F.col("weight") * self.saturation("tf", "len", k1, b))
+        summed = found.groupBy("place", "query_id", "key").agg(F.round(score, 6).alias("score"))
+        return summed.select("query_id", F.col("key").alias(key), "score")
+
+    def search(self, queries: DataFrame, k: int, key: str = "id", k1: float = K1, b: float = B) -> DataFrame:
+        """query_id, document, score (six places) and rank: the k best documents that share a term with the query."""
+        return top_k(self.scores(queries, key, k1, b), ["query_id"], [F.desc("score"), key], k)
+
+
+def _range_of(key: str, ranges: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int").alias("range")
 
 
 def _buckets(terms: DataFrame) -> list[int]:
@@ -166,7 +186,8 @@ def passages_by_index(index: LexicalIndex, docs: DataFrame, passages: DataFrame,
     met = rarest.select("query_id", "bucket", "term").join(blocks.select("bucket", "term", "list"), ["bucket", "term"])
     met = met.select("query_id", F.inline("list")).groupBy("query_id", "key").agg(F.count("*").alias("_met"))
     wanted = rarest.groupBy("query_id").agg(F.count("*").alias("_want"))
-    pairs = met.join(wanted, "query_id").where("_met = _want").select("query_id", F.col("key").alias(key))
+    # stored, so that its size is known and texts are not moved to meet few pairs
+    pairs = materialize(met.join(wanted, "query_id").where("_met = _want").select("query_id", F.col("key").alias(key)), "pairs")
     spaced = lambda tokens: F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
     candidates = docs.join(pairs.select(key).distinct(), key, "left_semi").select(key, spaced(T.tokens(text)).alias("_ds"))
     checked = pairs.join(toks.select("query_id", spaced("_p").alias("_ps")), "query_id").join(candidates, key)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tableseek.functions import text as T
 from tableseek.operators.ranking import small_or_unhinted, top_k
 from tableseek.operators.sampling import fill_to_size
+from tableseek.session import materialize
 
 
 def postings(docs: DataFrame, key: str = "id", text: str = "contents") -> DataFrame:
@@ -68,7 +69,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "id", te
 
 def fetch(hits: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
     """Stored documents of the hits."""
-    return hits.join(docs, key)
+    return materialize(hits, "hits").join(docs, key)
 
 
 def passage_qrels(docs: DataFrame, passages: DataFrame, key: str = "id", text: str = "contents", gram: int = 8) -> DataFrame:
@@ -97,8 +98,12 @@ def passage_qrels(docs: DataFrame, passages: DataFrame, key: str = "id", text: s
     return checked.filter(F.contains("_ds", "_ps")).select("query_id", key)
 
 
-def augment_corpus(docs: DataFrame, seeds: DataFrame, k: int, size: int, key: str = "id", text: str = "contents") -> DataFrame:
-    """Distinct top-k hits of all seed texts, filled at random to ``size``; origin marks which."""
-    hits = bm25_search(docs, seeds, k, key, text).select(key).distinct()
-    chosen = fill_to_size(hits, docs.select(key), key, size)
-    return docs.join(chosen, key)
+def augment_corpus(
+    docs: DataFrame, seeds: DataFrame, k: int, size: int, key: str = "id", text: str = "contents", hits: DataFrame | None = None
+) -> DataFrame:
+    """Distinct top-k hits of all seed texts, filled at random to ``size``; origin marks which.
+
+    ``hits`` are the seeds' hits where an index has them already. The choice is stored, so that texts need not be moved to meet it."""
+    found = bm25_search(docs, seeds, k, key, text) if hits is None else hits
+    chosen = fill_to_size(materialize(found.select(key).distinct(), "required"), docs.select(key), key, size)
+    return docs.join(materialize(chosen, "chosen"), key)

@@ -185,7 +185,7 @@ SELECT CAST(doc_id AS VARCHAR) AS id, source || '-' || lang AS table_name, lengt
 )
 def augmented_corpus(spark, d):
     """Top 5 documents of every seed text, filled to 300."""
-    corpus = X.augment_corpus(docs(spark, d), passages(spark, d), 5, 300, "doc_id", "text")
+    corpus = X.augment_corpus(docs(spark, d), passages(spark, d), 5, 300, "doc_id", "text", hits=_hits(spark, d, 5))
     return corpus.select(
         F.col("doc_id").cast("string").alias("id"), F.concat_ws("-", "source", "lang").alias("table_name"),
         F.length("text").cast("bigint").alias("n_chars"), "origin", F.lit("webtable").alias("source"),
@@ -394,7 +394,7 @@ SELECT query_id, doc_id, score FROM f""",
 )
 def hybrid_ranks(spark, d):
     """The lexical list fused with a second list (seeded order of the matches)."""
-    scores = X.bm25_scores(docs(spark, d), passages(spark, d), "doc_id", "text").select("query_id", "doc_id")
+    scores = stored_index(spark, d).scores(passages(spark, d), "doc_id").select("query_id", "doc_id")
     second = top_k(scores.withColumn("_h", hash_key("query_id", "doc_id")), ["query_id"], ["_h", "doc_id"], 100)
     return M.fuse_ranks([_hits(spark, d), second], "doc_id").withColumn("score", F.round("score", 6))
 

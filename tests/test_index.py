@@ -123,3 +123,23 @@ def test_long_literals_and_comments_in_statements(spark):
     queries = spark.createDataFrame(statements, "query_id long, db_id string, sql string")
     got = {(r.query_id, r.table_name) for r in mentioned_tables(queries, catalog).collect()}
     assert got == {(1, "t1"), (1, "t2"), (2, "t2")}
+
+
+def test_postings_are_dealt_by_range_once(spark, tables, tmp_path):
+    """Building moves texts once, and scores add up without another exchange of postings."""
+    _, docs, _, queries = tables
+    index = I.build_index(docs, str(tmp_path / "index"))
+    plan = index.scores(queries)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(place") == 1 and "hashpartitioning(query_id" not in plan and "hashpartitioning(key" not in plan
+
+
+def test_merge_deals_anew_where_ranges_are_far_from_full(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "RANGE", 200)
+    rows, docs, asked, queries = tables
+    index = I.LexicalIndex(spark, str(tmp_path / "index"))
+    for part in range(8):
+        index = index.append(docs.where(F.col("id") % 8 == part))
+    assert sum(s["ranges"] for s in index.segments) == 8
+    merged = index.merge()
+    assert merged.segments[0]["ranges"] == 3
+    assert sorted(map(tuple, merged.search(queries, 10).select("query_id", "id", "score", "rank").collect())) == brute(rows, asked, 10)
