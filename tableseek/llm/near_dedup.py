@@ -234,6 +234,13 @@ def _descend(members: DataFrame, similarity: float, levels: int) -> DataFrame:
     return members.select("node", "key", "sketch").mapInArrow(walk, "node long, key long")
 
 
+def _with_sketch(rows: DataFrame, sketched: DataFrame, *more: str) -> DataFrame:
+    """node, key, sketch and ``more`` of rows (node, key, ...). A class stands in some dozens of nodes, which the trees bound;
+    they are listed first, so it meets its sketch once and not once a node."""
+    at = F.struct("node", *more)
+    return rows.groupBy("key").agg(F.collect_list(at).alias("at")).join(sketched, "key").select("key", "sketch", F.inline("at"))
+
+
 def _likely_in_small(members: DataFrame) -> DataFrame:
     """Spanning forests (a, b) of nodes, from (node, key, sketch). Nodes hold SMALL rows at most."""
 
@@ -284,19 +291,19 @@ def likely_links(classes: DataFrame, similarity: float) -> tuple[DataFrame, Data
         sizes = stored(paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1"), "sizes")
         many = sizes.where(F.col("n") > SMALL)
         few = paths.join(many.select("node"), "node", "left_anti").join(sizes.where(F.col("n") <= SMALL).select("node"), "node")
-        links.append(stored(contracted(stored(_likely_in_small(few.join(sketched, "key")), "forests")), "links"))
+        links.append(stored(contracted(stored(_likely_in_small(_with_sketch(few, sketched)), "forests")), "links"))
         if many.isEmpty():
             return _all(links), None
         # a large node's first member meets the others, which are dealt out by a part of their key
         parts = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         star = paths.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")).join(parts, ["node", "part"]).where("key != least")
-        star = star.select("node", "key", "least").join(sketched, "key").join(sketched.select(F.col("key").alias("least"), F.col("sketch").alias("other")), "least")
+        star = _with_sketch(star, sketched, "least").join(sketched.select(F.col("key").alias("least"), F.col("sketch").alias("other")), "least")
         star = stored(star.select("node", "key", "least", _agree("sketch", "other").alias("near")), "stars")
         links.append(stored(contracted(star.where("near").select(F.col("least").alias("a"), F.col("key").alias("b"))), "links"))
         apart = star.where("NOT near").select("node").distinct()
         left = star.join(apart, "node", "left_semi")
         left = left.select("node", "key").unionByName(left.select("node", F.col("least").alias("key")).distinct())
-        at = stored(left.join(sketched, "key").select("node", "key", "sketch"), "members")
+        at = stored(_with_sketch(left, sketched).select("node", "key", "sketch"), "members")
         if at.isEmpty():
             return _all(links), None
     return _all(links), at.select("node", "key")

@@ -69,6 +69,19 @@ def test_links_stay_few_in_a_large_group(spark):
     assert found == len({c for _, c in brute.near(rows, 2)})
 
 
+def test_a_class_meets_its_sketch_once(spark):
+    """However many nodes a class stands in, the join with the sketches makes one row for it."""
+    rows = spark.range(40).selectExpr("id div 4 as key", "id as node", "id % 3 as least")
+    sketched = spark.range(10).selectExpr("id as key", "encode(string(id), 'utf-8') as sketch")
+    found = near_dedup._with_sketch(rows, sketched, "least")
+    want = rows.join(sketched, "key").select("key", "sketch", "node", "least")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    node = found._jdf.queryExecution().optimizedPlan()
+    while "Join" not in node.nodeName():
+        node = node.children().apply(0)
+    assert "collect_list" in node.children().apply(0).toString()
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_given_table(spark, size):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
