@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableseek.operators.ranking import top_k
-from tableseek.operators.scoring import nearest_centroids, score_candidates, seeded_centroids
+from tableseek.operators.scoring import _rounded, nearest_centroids, score_candidates, seeded_centroids
 from tableseek.session import materialize
 from tableseek.sources.commit_log import CommitLog
 
 MAX_LISTS = 65_536  # bounds the codebook that tasks hold
 BUCKETS = 32
+# Vectors whose lists, and probes, meet in one task
+VECTORS_PER_BLOCK, PROBES_PER_BLOCK = 500_000, 500_000
 
 
 def list_count(n_vectors: int) -> int:
@@ -82,6 +84,48 @@ def decode_residuals(coded: DataFrame, centroids: DataFrame) -> DataFrame:
     return coded.mapInPandas(back, schema)
 
 
+def _best_sums(cut: int):
+    """Of probes and lists of one block, the cut best tables of each query by the sum over its tokens of the best probed
+    centroid, of six places; equal ones by table."""
+    names = ["query_id", "table_id", "score"]
+
+    def best(probes: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+        if probes.empty or lists.empty:
+            return pd.DataFrame(columns=names)
+        tables, at = np.unique(lists["table_id"].to_numpy(str), return_inverse=True)
+        order = np.argsort(lists["centroid"].to_numpy(), kind="stable")
+        at, kinds = at[order], lists["centroid"].to_numpy()[order]
+        probes = probes.sort_values(["query_id", "tok_idx", "_s"], ascending=[True, True, False], kind="stable")
+        low = np.searchsorted(kinds, probes["centroid"], "left").tolist()
+        high = np.searchsorted(kinds, probes["centroid"], "right").tolist()
+        query, token, s = (probes[c].to_numpy() for c in ("query_id", "tok_idx", "_s"))
+        fresh = np.append(True, (query[1:] != query[:-1]) | (token[1:] != token[:-1]))
+        starts = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        total, met = np.zeros(len(tables)), np.full(len(tables), -1)
+        turn, out = 0, []
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(query)]):
+            begun = turn = turn + 1
+            for i in range(start, end):
+                turn += int(fresh[i])
+                here = at[low[i] : high[i]]
+                here = here[met[here] != turn]  # a token's better probes have counted already
+                total[here[met[here] < begun]] = 0
+                total[here] += s[i]
+                met[here] = turn
+            hit = np.flatnonzero(met >= begun)
+            score = _rounded(total[hit])
+            if len(hit) > cut:
+                least = np.partition(score, -cut)[-cut]
+                above = np.flatnonzero(score > least)
+                kept = np.concatenate([above, np.flatnonzero(score == least)[: cut - len(above)]])
+                hit, score = hit[kept], score[kept]
+            out.append((np.full(len(hit), query[start]), hit, score))
+        ids, hits, scores = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"query_id": ids, "table_id": tables[hits], "score": scores})
+
+    return best
+
+
 class DenseIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.log = spark, CommitLog(spark, path)
@@ -117,9 +161,16 @@ class DenseIndex:
         probes = nearest_centroids(asked, self.centroids(), n_probe, similarity="_s").select("query_id", "tok_idx", "centroid", "_s")
         probes = materialize(probes.withColumn("bucket", F.pmod(F.xxhash64("centroid"), F.lit(BUCKETS)).cast("int")), "probes")
         opened = [r[0] for r in probes.select("bucket").distinct().collect()]
-        lists = self.lists().filter(F.col("bucket").isin(opened)).select("bucket", "centroid", "table_id").distinct()
-        met = probes.join(lists, ["bucket", "centroid"]).groupBy("query_id", "table_id", "tok_idx").agg(F.max("_s").alias("_s"))
-        summed = met.groupBy("query_id", "table_id").agg(F.round(F.sum("_s"), 6).alias("score"))
+        lists = self.lists().filter(F.col("bucket").isin(opened)).select("centroid", "table_id").distinct()
+        # blocks of queries meet blocks of tables: a probe meets a list inside a task, and cut tables a query leave it
+        n, cores = probes.count(), self.spark.sparkContext.defaultParallelism
+        table_blocks = max(1, -(-self.entry["vectors"] // VECTORS_PER_BLOCK))
+        query_blocks = max(1, -(-n // PROBES_PER_BLOCK), min(-(-2 * cores // table_blocks), -(-n // 8192)))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        keys = ["_qb", "_tb"]
+        asked = probes.select("query_id", "tok_idx", "centroid", "_s", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("_qb"), every(table_blocks).alias("_tb"))
+        lists = lists.select("centroid", "table_id", F.pmod(F.xxhash64("table_id"), F.lit(table_blocks)).cast("int").alias("_tb"), every(query_blocks).alias("_qb"))
+        summed = asked.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInPandas(_best_sums(cut), "query_id bigint, table_id string, score double")
         return top_k(summed, ["query_id"], [F.desc("score"), "table_id"], cut)
 
     def search(self, query_vecs: DataFrame, k: int, n_probe: int = 4, cut: int = 256, cells: DataFrame | None = None, mode: str = "global") -> DataFrame:
