@@ -197,7 +197,7 @@ def cell_vecs(spark, d):
     i = F.col("vec_id")
     table = F.floor(i / 16)
     db = F.concat(F.lit("db"), F.floor(i / 128).cast("string"))
-    return load(spark, d, "embeddings").select(
+    return spread(load(spark, d, "embeddings")).select(
         "vec_id", "label", db.alias("db_id"),
         T.table_id(db, F.concat(F.lit("t"), table.cast("string"))).alias("table_id"),
         (i % 4).cast("int").alias("col_idx"), F.floor(i % 16 / 4).cast("int").alias("row_idx"), F.col("embedding").alias("vec"),
@@ -207,7 +207,7 @@ def cell_vecs(spark, d):
 def query_vecs(spark, d):
     """Eight consecutive vectors, read backwards, are the tokens of one query."""
     i = F.col("vec_id")
-    return load(spark, d, "embeddings").select(
+    return spread(load(spark, d, "embeddings")).select(
         F.floor(i / 8).alias("query_id"), (i % 8).cast("int").alias("tok_idx"), "label",
         F.concat(F.lit("db"), F.floor(i / 128).cast("string")).alias("db_id"), F.reverse("embedding").alias("vec"),
     )
@@ -335,7 +335,7 @@ def noisy_queries(spark, d):
     """Eight consecutive vectors with noise are the tokens of one query: each plus a quarter of itself read backwards."""
     i = F.col("vec_id")
     noisy = F.zip_with("embedding", F.reverse("embedding"), lambda x, y: x.cast("double") + y.cast("double") * 0.25)
-    return load(spark, d, "embeddings").select(F.floor(i / 8).alias("query_id"), (i % 8).cast("int").alias("tok_idx"), noisy.alias("vec"))
+    return spread(load(spark, d, "embeddings")).select(F.floor(i / 8).alias("query_id"), (i % 8).cast("int").alias("tok_idx"), noisy.alias("vec"))
 
 
 PROBES, CUT = 4, 6
@@ -380,9 +380,7 @@ def dense_search_kmeans(spark, d):
     """k-means lists, exact late-interaction re-scoring, top 10 tables per query."""
     cells, asked = cell_vecs(spark, d), query_vecs(spark, d)
     centroids = S.kmeans_centroids(cells.select("vec"), 16)
-    scored = S.score_candidates(S.centroid_candidates(asked, cells, centroids, 1), asked, cells)
-    scores = scored.select("query_id", "table_id", F.round("global", 6).alias("score"))
-    return top_k(scores, ["query_id"], [F.desc("score"), "table_id"], 10)
+    return S.best_of_lists(asked, cells, centroids, 1, 10)
 
 
 @query(
