@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from tableseek.functions.text import power_of_two_ceiling
 from tableseek.operators.candidates import hard_negatives
-from tableseek.operators.ranking import global_ids, hash_ordinal, ordinal, row_in_small_group
+from tableseek.operators.ranking import global_ids, hash_ordinal, ordinal
 from tableseek.operators.sampling import one_per_group
-from tableseek.session import materialize
 
 
 def fixed_chunks(df: DataFrame, order: Sequence[str], size: int, name: str) -> DataFrame:
@@ -39,39 +38,64 @@ def batch_count(n: str | Column, size: int) -> Column:
     return F.floor(n / size) + F.when(n % size >= 2, 1).otherwise(0)
 
 
-def train_batches(
+def assigned_batches(qrels: DataFrame, tables: DataFrame, batch_size: int, epoch: int | None = None, seed: int = 42) -> DataFrame:
+    """query_id, table_id (its seeded positive) and batch of every query with a non-empty gold table."""
+    gold = qrels.join(tables.filter("n_rows > 0").select("table_id"), "table_id", "left_semi")
+    pick_seed = seed if epoch is None else f"{seed}e{epoch}"
+    positives = one_per_group(gold, ["query_id"], "table_id", seed=pick_seed)
+    placed = hash_ordinal(positives, [], ["query_id"], seed=pick_seed, name="_pos")
+    return placed.select("query_id", "table_id", F.floor(F.col("_pos") / batch_size).alias("batch"))
+
+
+def full_batches(assigned: DataFrame) -> DataFrame:
+    """batch and query_id of the batches with at least two queries."""
+    held = assigned.groupBy("batch").agg(F.collect_list("query_id").alias("_q")).filter(F.size("_q") >= 2)
+    return held.select("batch", F.explode("_q").alias("query_id"))
+
+
+def batch_lists(
     qrels: DataFrame, tables: DataFrame, batch_size: int, n_negatives: int, epoch: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """Per batch the de-duplicated candidate list crossed with the batch's queries.
+    """Per query of a batch: batch, query_id and ``candidates``, the batch's list of (candidate, table_id, positive).
 
-    Each query brings one seeded positive and its hard negatives; a candidate counts as
-    positive for every query of the batch that has it as gold. Batches of one query are
-    dropped. A batch holds at most batch_size * (1 + n_negatives) candidates, so its
-    windows and its query x candidate rows are bounded by the parameters.
+    Each query brings one seeded positive and its hard negatives; a candidate counts as positive for every query of the
+    batch that has it as gold. Batches of one query are dropped. A batch meets once, as lists of its queries: it holds at
+    most batch_size * (1 + n_negatives) candidates, so no pairs of queries and candidates are shuffled.
     """
     usable = tables.filter("n_rows > 0")
     gold = qrels.join(usable.select("table_id"), "table_id", "left_semi")
-    pick_seed = seed if epoch is None else f"{seed}e{epoch}"
-    positives = one_per_group(gold, ["query_id"], "table_id", seed=pick_seed)
-    placed = hash_ordinal(positives, [], ["query_id"], seed=pick_seed, name="_pos")
-    batch = F.floor(F.col("_pos") / batch_size).alias("batch")
-    # Every later step starts from the batch assignment, so it is written once.
-    assigned = materialize(placed.select("query_id", "table_id", batch), "batches")
-    placed = assigned.select("query_id", "batch")
-    negatives = hard_negatives(gold, usable, n_negatives, seed).join(placed, "query_id")
-    listed = assigned.withColumn("slot", F.lit(0).cast("bigint")).unionByName(
-        negatives.select("query_id", "table_id", "batch", F.col("rank").alias("slot"))
-    )
-    first = listed.groupBy("batch", "table_id").agg(F.min(F.struct("query_id", "slot")).alias("_at"))
-    ranked = row_in_small_group(["batch"], [F.col("_at.query_id"), F.col("_at.slot")])
-    candidates = first.withColumn("candidate", (ranked - 1).cast("bigint")).drop("_at")
-    kept = placed.groupBy("batch").agg(F.count("*").alias("_n")).filter("_n >= 2").select("batch")
-    pairs = candidates.join(kept, "batch", "left_semi").join(placed, "batch")
-    marked = pairs.join(
-        gold.select("query_id", "table_id").withColumn("positive", F.lit(True)), ["query_id", "table_id"], "left"
-    )
-    return marked.select(
-        "batch", "query_id", "candidate", "table_id", F.coalesce("positive", F.lit(False)).alias("positive")
+    golds = gold.groupBy("query_id").agg(F.collect_set("table_id").alias("gold"))
+    negatives = hard_negatives(gold, usable, n_negatives, seed).groupBy("query_id")
+    negatives = negatives.agg(F.collect_list(F.struct(F.col("rank").alias("slot"), "table_id")).alias("negatives"))
+    assigned = assigned_batches(qrels, tables, batch_size, epoch, seed)
+    asked = assigned.join(golds, "query_id").join(negatives, "query_id", "left")
+    own = F.array(F.struct(F.lit(0).cast("bigint").alias("slot"), "table_id"))
+    brought = F.concat(own, F.coalesce("negatives", F.slice(own, 1, 0)))
+    met = asked.groupBy("batch").agg(F.collect_list(F.struct("query_id", "gold", brought.alias("brought"))).alias("_q")).filter(F.size("_q") >= 2)
+    listed = F.flatten(F.transform("_q", lambda q: F.transform(q["brought"], lambda b: F.struct(q["query_id"], b["slot"], b["table_id"].alias("table_id")))))
+    met = met.withColumn("_t", F.array_distinct(F.transform(F.sort_array(listed), lambda x: x["table_id"])))
+    rows = met.select("batch", "_t", F.explode("_q").alias("_one")).select("batch", "_t", "_one.query_id", "_one.gold")
+    marked = F.transform("_t", lambda t, i: F.struct(i.cast("bigint").alias("candidate"), t.alias("table_id"), F.array_contains("gold", t).alias("positive")))
+    return rows.select("batch", "query_id", marked.alias("candidates"))
+
+
+def train_batches(
+    qrels: DataFrame, tables: DataFrame, batch_size: int, n_negatives: int, epoch: int | None = None, seed: int = 42
+) -> DataFrame:
+    """Per batch the de-duplicated candidate list crossed with the batch's queries: ``batch_lists`` as rows."""
+    lists = batch_lists(qrels, tables, batch_size, n_negatives, epoch, seed)
+    return lists.select("batch", "query_id", F.inline("candidates")).select("batch", "query_id", "candidate", "table_id", "positive")
+
+
+def list_invariants(lists: DataFrame) -> DataFrame:
+    """As ``batch_invariants``, of batch_lists: a query's candidates are audited inside its row."""
+    places, tables = F.col("candidates.candidate"), F.col("candidates.table_id")
+    n = F.size("candidates")
+    return lists.agg(
+        F.count("*").alias("n_queries"),
+        F.count_if(~F.exists("candidates", lambda c: c["positive"])).alias("no_positive"),
+        F.count_if((F.array_min(places) != 0) | (F.array_max(places) != n - 1)).alias("bad_index"),
+        F.count_if(F.size(F.array_distinct(tables)) != n).alias("duplicate_candidate"),
     )
 
 

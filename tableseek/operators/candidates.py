@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableseek.functions.hashing import hash_key, hash_mod
-from tableseek.operators.ranking import hash_ordinal, top_k
+from tableseek.operators.ranking import hash_ordinal
 
 # Tables of one database that a list holds.
 LIST = 1000
@@ -55,8 +55,12 @@ def hard_negatives(qrels: DataFrame, tables: DataFrame, n: int, seed: int = 42)
     sizes = group_sizes(usable, ["db_id"])
     wants = qrels.groupBy("query_id", "db_id").agg((F.count("*") + n).alias("_want"))
     drawn = draw_from_ring(wants, ring(usable, ["db_id"], "table_id", seed), ["db_id"], sizes, "query_id", seed)
-    free = drawn.join(qrels.select("query_id", "table_id"), ["query_id", "table_id"], "left_anti")
-    return top_k(free, ["query_id"], ["_step"], n).drop("_step")
+    # a query's draws, which its gold tables bound, meet once; gold is taken out inside the row
+    lists = drawn.groupBy("query_id").agg(F.collect_list(F.struct("_step", "table_id", "db_id")).alias("_drawn"))
+    gold = qrels.groupBy("query_id").agg(F.collect_set("table_id").alias("_gold"))
+    free = F.filter(F.sort_array("_drawn"), lambda t: ~F.array_contains("_gold", t["table_id"]))
+    rows = lists.join(gold, "query_id").select("query_id", F.posexplode(F.slice(free, 1, n)).alias("_at", "_t"))
+    return rows.select("query_id", "_t.db_id", "_t.table_id", (F.col("_at") + 1).cast("bigint").alias("rank"))
 
 
 def chunk_distractors(
