@@ -316,13 +316,30 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _block_tasks(members: DataFrame) -> DataFrame:
+    """(node, key), in which node names a task; any two members of a node (node, key, root) with different roots meet in one.
+
+    Members of a node's largest cluster are linked with each other by now, so they meet the others only. Both are cut into
+    blocks of about SMALL / 2, so rows grow with the members outside the largest cluster and not with the square of the node.
+    """
+    clusters = members.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = clusters.groupBy("node").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / (SMALL // 2)).cast("int")
+    cut = largest.select("node", F.col("major.root").alias("major"), blocks(F.col("major.n")).alias("inside"), blocks(F.col("n") - F.col("major.n")).alias("outside"))
+    of = lambda n: F.pmod(F.xxhash64("key"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    at = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    met = F.transform(upto("outside"), lambda i: at("inside", i, of("inside")))
+    among = F.transform(upto("outside"), lambda j: at("outside", F.least(of("outside"), j), F.greatest(of("outside"), j)))
+    across = F.transform(upto("inside"), lambda j: at("inside", of("outside"), j))
+    tasks = F.when(F.col("root") == F.col("major"), met).otherwise(F.concat(among, across))
+    placed = members.join(cut, "node").select("node", "key", F.explode(tasks).alias("at"))
+    return placed.select(F.xxhash64("node", "at").alias("node"), "key")
+
+
 def _likely_in_blocks(members: DataFrame, sketched: DataFrame) -> DataFrame:
-    """As _likely_in_small, for nodes (node, key) of any size: between all pairs of their blocks."""
-    blocks = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / (SMALL // 2)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("key"), "blocks").cast("int")
-    pair = lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))
-    pairs = members.join(blocks, "node").withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
-    return _likely_in_small(pairs.select(F.xxhash64("node", "at").alias("node"), "key").join(sketched, "key"))
+    """As _likely_in_small, for nodes (node, key, root) of any size: between blocks, but not inside of known clusters."""
+    return _likely_in_small(_with_sketch(_block_tasks(members), sketched))
 
 
 def likely_clusters(classes: DataFrame, similarity: float) -> DataFrame:
@@ -330,7 +347,7 @@ def likely_clusters(classes: DataFrame, similarity: float) -> DataFrame:
 
     Forests of the trees are contracted where they stand before they are joined, so a class has a few links, however many
     copies its group and however many trees there are. Nodes that stayed large and whose members are not in one cluster
-    by then are compared exhaustively, in blocks.
+    by then are compared exhaustively, in blocks, but for the pairs inside their largest cluster.
     """
     links, rest = likely_links(classes, similarity)
     links = stored(contracted(links), "links")
@@ -339,7 +356,7 @@ def likely_clusters(classes: DataFrame, similarity: float) -> DataFrame:
         return clusters
     named = rest.join(clusters, "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = named.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("node")
-    found = stored(_likely_in_blocks(stored(rest.join(mixed, "node"), "rest"), classes.select("key", "sketch")), "links")
+    found = stored(_likely_in_blocks(stored(named.join(mixed, "node").select("node", "key", "root"), "rest"), classes.select("key", "sketch")), "links")
     return clusters if found.isEmpty() else components(stored(contracted(links.unionByName(found)), "links"))
 
 

@@ -120,3 +120,18 @@ def test_links_at_the_threshold_meet_in_a_tree():
         if node[a] == node[b] and member[a] // 2 == member[b] // 2 and member[a] != member[b]:
             met.add(int(member[a]) // 2)
     assert len(met) >= 0.998 * pairs
+
+
+def test_a_large_cluster_meets_the_others_only(spark):
+    """Blocks hold every pair of different clusters; a node's largest cluster costs a row a member, not a row a block."""
+    size = 6 * near_dedup.SMALL
+    rows = [(1, k, 0) for k in range(size)] + [(1, size + k, size + k // 2) for k in range(20)] + [(2, k, k // 3) for k in range(300)]
+    tasks = near_dedup._block_tasks(spark.createDataFrame(rows, "node long, key long, root long").repartition(4)).toPandas()
+    held = tasks.groupby("node")["key"].agg(list)
+    assert held.map(len).max() < 2 * near_dedup.SMALL
+    met = {(min(a, b), max(a, b)) for keys in held if len(keys) for a in keys for b in keys}
+    others = range(size, size + 20)
+    assert all((k, o) in met for k in range(size) for o in others)
+    assert all((a, b) in met for a in others for b in others if a < b)
+    assert all((a, b) in met for a in range(300) for b in range(a, 300) if a // 3 != b // 3)
+    assert len(tasks) < size + 20 * (1 + 6 * 2) + 300 * 4 + 100
