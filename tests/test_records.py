@@ -32,3 +32,10 @@ def test_shuffled_tables_move_line_items_once(spark):
 def test_top_k_of_one_piece(spark, collect_rows):
     df = spark.range(500).withColumn("g", F.col("id") % 3)
     assert collect_rows(ranking.top_k(df, ["g"], ["id"], 4, pieces=1)) == collect_rows(ranking.top_k(df, ["g"], ["id"], 4))
+
+
+def test_pivot_roundtrip_in_the_record(spark):
+    back = nested(spark).select("table_id", C.nested_in_record(C.cells_in_record("columns")).alias("columns"))
+    got = {r.table_id: [(c.header, c.cells) for c in r.columns] for r in back.collect()}
+    assert got == {"d#sep#a": [("x", ["1", " ", None]), ("y y", ["b", "c  c", "d"])], "d#sep#b": [], "d#sep#c": []}
+    assert exchanges(QUERIES["pivot_roundtrip"](spark, SF)) == 1
