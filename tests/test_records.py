@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tableseek.functions import text as T
 from tableseek.operators import cells as C
 from tableseek.operators import ranking
 from tableseek.operators import sampling as S
@@ -39,3 +40,16 @@ def test_pivot_roundtrip_in_the_record(spark):
     got = {r.table_id: [(c.header, c.cells) for c in r.columns] for r in back.collect()}
     assert got == {"d#sep#a": [("x", ["1", " ", None]), ("y y", ["b", "c  c", "d"])], "d#sep#b": [], "d#sep#c": []}
     assert exchanges(QUERIES["pivot_roundtrip"](spark, SF)) == 1
+
+
+def test_sequence_views_of_records(spark):
+    got = {(r.view, r.idx): r.sequence for r in C.sequence_views(nested(spark).limit(1), " / ").collect()}
+    assert got[("column", 0)] == "x real x / x real 1 / x real [EMPTY] / x real [EMPTY]"
+    assert got[("row", 1)] == "x real [EMPTY] / y y text c c" and len(got) == 5
+    assert exchanges(QUERIES["cell_sequences"](spark, SF)) == 1
+
+
+def test_float_test_is_one_search(spark):
+    values = ["1", "1,000", "1_0", "1__0", "_1", "1_", ".5", "5.", "1e5", "+-1", "iNf", "-Infinity", "NaN", "nano", " 7 ", "", None, "$1", "1d"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(T.parses_as_float("v")).collect()
+    assert [v for v, r in zip(values, got) if r[0]] == ["1", "1,000", "1_0", ".5", "5.", "1e5", "iNf", "-Infinity", "NaN", " 7 "]
