@@ -27,7 +27,7 @@ def web_lines(spark, d):
     line = F.to_json(F.struct(relation.alias("relation"), F.concat(F.lit("  page\t"), F.col("table_name")).alias("pageTitle")))
     odd = F.substring("table_name", -1, 1).cast("int") % 2
     both = F.when(odd == 0, F.array(line, F.concat(F.lit('{"relation": [['), F.col("table_name")))).otherwise(F.array(line))
-    return tables.select(F.explode(both).alias("value"))
+    return T.exploded(tables, both, "value")
 
 
 _CLEAN_ROWS = ORDER_ROWS_SQL + """,

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableseek.functions import text as T
 from tableseek.functions.hashing import hash_key
 from tableseek.model import CORPUS, MAX_ROWS_PER_TABLE, QUESTION, READING, WEB_LINE
 from tableseek.operators.cells import parse_corpus
-from tableseek.operators.ranking import global_ids
+from tableseek.operators.ranking import global_ids, small_or_unhinted
+from tableseek.session import materialize
 
 
 def scan_web_dump(spark: SparkSession, folder: str, pattern: str = "*.json.gz") -> tuple[DataFrame, DataFrame]:
     """Good lines and unreadable lines of all gzip JSON files below ``folder``.
 
-    gzip files do not split, so the number of files sets the read parallelism; the good
-    rows are spread again before the expensive text work.
+    gzip files do not split, so the number of files sets the read parallelism. The good lines are parsed and written once, as they
+    are read; ``_at`` is their place in what was written of their file, and ``_part`` names it.
     """
     text = (
         spark.read.option("recursiveFileLookup", True)
@@ -29,8 +30,8 @@ def scan_web_dump(spark: SparkSession, folder: str, pattern: str = "*.json.gz")
     parsed = text.filter(F.trim("value") != "").withColumn("_r", F.from_json("value", f"{WEB_LINE}, _bad STRING", options))
     broken = F.col("_r").isNull() | F.col("_r._bad").isNotNull()
     bad = parsed.filter(broken).select("_file", F.col("value").alias("line"))
-    good = parsed.filter(~broken).select("_file", "_line", "_r.relation", "_r.pageTitle")
-    return good, bad
+    good = materialize(parsed.filter(~broken).select("_file", "_line", "_r.relation", "_r.pageTitle"), "web")
+    return good.select("*", F.col("_metadata.file_path").alias("_part"), F.col("_metadata.row_index").alias("_at")), bad
 
 
 def web_columns(relation: str | Column, key: Column, max_rows: int = MAX_ROWS_PER_TABLE, seed: int = 42) -> Column:
@@ -56,17 +57,34 @@ def web_columns(relation: str | Column, key: Column, max_rows: int = MAX_ROWS_PE
     )
 
 
+def _line_ids(good: DataFrame, start: int) -> DataFrame:
+    """Dense ids (_id) in file and line order. A file that was written in one piece is numbered by the places of its lines, so
+    that no line is moved; with a file in several pieces lines are sorted."""
+    if not {"_part", "_at"} <= set(good.columns):
+        return global_ids(good, ["_file", "_line"], start, name="_id")
+    files = good.groupBy("_file").agg(
+        F.count("*").alias("_n"), F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.min("_part").alias("_low"), F.max("_part").alias("_high")
+    )
+    files = materialize(files, "files")
+    if files.filter("_low <> _high OR _last - _first + 1 <> _n").limit(1).count():
+        return global_ids(good.drop("_part", "_at"), ["_file", "_line"], start, name="_id")
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = files.select("_file", (F.coalesce(before, F.lit(0)) - F.col("_first") + start).alias("_start"))
+    placed = good.join(small_or_unhinted(starts), "_file")
+    return placed.withColumn("_id", (F.col("_start") + F.col("_at")).cast("bigint")).drop("_part", "_at", "_start")
+
+
 def web_documents(good: DataFrame, start: int = 0, max_rows: int = MAX_ROWS_PER_TABLE, seed: int = 42) -> DataFrame:
     """Corpus records of web tables with dense ids in file and line order.
 
     Carries both page_title and table_name: stored corpora use either.
     """
-    numbered = global_ids(good, ["_file", "_line"], start, name="_id")
+    numbered = _line_ids(good, start)
     shaped = numbered.select(
         F.col("_id").cast("string").alias("id"),
         T.clean_text("pageTitle").alias("page_title"),
         web_columns("relation", F.col("_id"), max_rows, seed).alias("columns"),
-    )
+    ).withColumn("_even", T.trim_ragged("columns"))  # once a record, and not once a row of it
     return shaped.select(
         "id",
         F.col("id").alias("table_id"),
@@ -74,7 +92,7 @@ def web_documents(good: DataFrame, start: int = 0, max_rows: int = MAX_ROWS_PER_
         F.col("page_title").alias("table_name"),
         F.transform("columns", lambda c: c["header"]).alias("column_names"),
         F.size("columns").alias("num_columns"),
-        T.render_document("page_title", T.trim_ragged("columns")).alias("contents"),
+        T.render_document("page_title", "_even").alias("contents"),
     )
 
 

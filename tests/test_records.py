@@ -1,5 +1,7 @@
 """Work on one capped table stays in its record: same rows as over long cells, and no cell is moved."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from tableseek.functions import text as T
@@ -7,6 +9,7 @@ from tableseek.operators import cells as C
 from tableseek.operators import ranking
 from tableseek.operators import sampling as S
 from tableseek.plans import QUERIES
+from tableseek.sources import readers
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +56,19 @@ def test_float_test_is_one_search(spark):
     values = ["1", "1,000", "1_0", "1__0", "_1", "1_", ".5", "5.", "1e5", "+-1", "iNf", "-Infinity", "NaN", "nano", " 7 ", "", None, "$1", "1d"]
     got = spark.createDataFrame([(v,) for v in values], "v string").select(T.parses_as_float("v")).collect()
     assert [v for v, r in zip(values, got) if r[0]] == ["1", "1,000", "1_0", ".5", "5.", "1e5", "iNf", "-Infinity", "NaN", " 7 "]
+
+
+def test_web_lines_are_numbered_where_they_are(spark, tmp_path):
+    import gzip
+
+    for name, n in (("b", 3), ("a", 2), ("c", 4)):
+        lines = [x for i in range(n) for x in (json.dumps({"relation": [["h", "v"]], "pageTitle": f"{name}{i}"}), '{"relation": [[')]
+        with gzip.open(tmp_path / f"{name}.json.gz", "wt") as f:
+            f.write("\n".join(lines))
+    good, bad = readers.scan_web_dump(spark, str(tmp_path))
+    want = [f"{name}{i}" for name, n in (("a", 2), ("b", 3), ("c", 4)) for i in range(n)]
+    docs = readers.web_documents(good)
+    assert [r.page_title for r in docs.orderBy(F.col("id").cast("int")).collect()] == want and bad.count() == 9
+    assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "").replace("Exchange SinglePartition", "")
+    torn = good.withColumn("_at", F.col("_at") * 2)  # as if a file had been written in pieces
+    assert [r.page_title for r in readers.web_documents(torn).orderBy(F.col("id").cast("int")).collect()] == want
