@@ -41,20 +41,26 @@ def web_columns(relation: str | Column, key: Column, max_rows: int = MAX_ROWS_PE
     same rows. Everything happens inside the row.
     """
     relation = F.col(relation) if isinstance(relation, str) else relation
+    place = lambda i: F.struct(hash_key(key, i, seed=seed).alias("h"), i.alias("i"))
+
+    def rows(n: Column) -> Column:
+        every = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        sampled = F.sort_array(F.transform(F.slice(F.sort_array(F.transform(every, place)), 1, max_rows), lambda x: x["i"]))
+        return F.when(n <= max_rows, every).otherwise(sampled)
+
+    def cleaned(real: Column, chosen: Column) -> Column:
+        return F.transform(
+            real,
+            lambda c: F.struct(
+                T.clean_text(F.get(c, F.lit(0))).alias("header"),
+                F.transform(F.filter(chosen, lambda i: i < F.size(c)), lambda i: T.clean_text(F.get(c, i))).alias("cells"),
+                F.lit(False).alias("is_foreign_key"),
+            ),
+        )
+
+    longest = lambda real: F.coalesce(F.array_max(F.transform(real, lambda c: F.size(c) - 1)), F.lit(0))
     real = F.filter(relation, lambda c: c.isNotNull() & (F.size(c) > 0))
-    n = F.coalesce(F.array_max(F.transform(real, lambda c: F.size(c) - 1)), F.lit(0))
-    all_rows = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    drawn = F.array_sort(F.transform(all_rows, lambda i: F.struct(hash_key(key, i, seed=seed).alias("h"), i.alias("i"))))
-    sampled = F.array_sort(F.transform(F.slice(drawn, 1, max_rows), lambda x: x["i"]))
-    chosen = F.when(n <= max_rows, all_rows).otherwise(sampled)
-    return F.transform(
-        real,
-        lambda c: F.struct(
-            T.clean_text(F.get(c, F.lit(0))).alias("header"),
-            F.transform(F.filter(chosen, lambda i: i < F.size(c)), lambda i: T.clean_text(F.get(c, i))).alias("cells"),
-            F.lit(False).alias("is_foreign_key"),
-        ),
-    )
+    return T.held(real, lambda real: T.held(T.held(longest(real), rows), lambda chosen: cleaned(real, chosen)))
 
 
 def _line_ids(good: DataFrame, start: int) -> DataFrame:
