@@ -392,9 +392,11 @@ SELECT query_id, doc_id, score FROM f""",
 )
 def hybrid_ranks(spark, d):
     """The lexical list fused with a second list (seeded order of the matches)."""
-    scores = stored_index(spark, d).scores(passages(spark, d), "doc_id").select("query_id", "doc_id")
-    second = top_k(scores.withColumn("_h", hash_key("query_id", "doc_id")), ["query_id"], ["_h", "doc_id"], 100)
-    return M.fuse_ranks([_hits(spark, d), second], "doc_id").withColumn("score", F.round("score", 6))
+    scores = stored_index(spark, d).scores(passages(spark, d), "doc_id")
+    first = top_k(scores, ["query_id"], [F.desc("score"), "doc_id"], 100)
+    # the score decides nothing here, a document stands once a query; it keeps both lists on one shuffle of the postings
+    second = top_k(scores.withColumn("_h", hash_key("query_id", "doc_id")), ["query_id"], ["_h", "doc_id", "score"], 100)
+    return M.fuse_ranks([first, second], "doc_id").withColumn("score", F.round("score", 6))
 
 
 @query(
