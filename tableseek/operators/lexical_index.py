@@ -69,9 +69,10 @@ class LexicalIndex:
             starts, start = F.lit(0), 0
             for number, segment in enumerate(self.segments):
                 starts, start = F.when(F.col("segment") == number, F.lit(start)).otherwise(starts), start + segment["ranges"]
-            return self._write(self.blocks().withColumn("range", (F.col("range") + starts).cast("int")).drop("segment"), n, kept, [])
+            moved = self.blocks().withColumn("range", (F.col("range") + starts).cast("int")).drop("segment")
+            return self._write(moved, n, kept, [], self.terms())
         postings = self.blocks().select("term", F.inline("list")).select(_range_of("key", ranges), "term", "key", "len", "tf")
-        return self._write(self._blocks_of(postings.repartition(self._tasks(n), "range")), n, ranges, [])
+        return self._write(self._blocks_of(postings.repartition(self._tasks(n), "range")), n, ranges, [], self.terms())
 
     def _tasks(self, docs: int) -> int:
         """Tasks for so many documents: few documents are still dealt over the cores."""
@@ -84,13 +85,16 @@ class LexicalIndex:
             F.collect_list(F.struct("key", "len", "tf")).alias("list"),  # a range bounds it
         ).withColumn("bucket", self.bucket("term"))
 
-    def _write(self, blocks: DataFrame, docs: int, ranges: int, others: list[dict[str, Any]]) -> LexicalIndex:
+    def _write(self, blocks: DataFrame, docs: int, ranges: int, others: list[dict[str, Any]], terms: DataFrame | None = None) -> LexicalIndex:
+        """Commits a segment of these blocks; its term dictionary is ``terms`` where it is known, or counted from the blocks."""
         folder = self.log.stage("segment")
         blocks.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(self.log.full(f"{folder}/blocks"))
         fields = [f for f in blocks.schema if f.name != "bucket"] + [blocks.schema["bucket"]]
         stored = self.spark.read.schema(StructType(fields)).parquet(self.log.full(f"{folder}/blocks"))
-        terms = stored.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"))
-        terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(self.log.full(f"{folder}/terms"))
+        if terms is None:
+            terms = stored.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"))
+        # written where they are counted; a bucket's terms are not gathered by a shuffle of their own
+        terms.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(self.log.full(f"{folder}/terms"))
         tokens = stored.agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
         made = {"folder": folder, "docs": docs, "tokens": tokens, "ranges": ranges}
         self.log.commit({"segments": [*others, made], "buckets": self.entry["buckets"]}, self.entry["version"])

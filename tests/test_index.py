@@ -143,3 +143,28 @@ def test_merge_deals_anew_where_ranges_are_far_from_full(spark, tables, tmp_path
     merged = index.merge()
     assert merged.segments[0]["ranges"] == 3
     assert sorted(map(tuple, merged.search(queries, 10).select("query_id", "id", "score", "rank").collect())) == brute(rows, asked, 10)
+
+
+def test_merge_adds_up_the_dictionaries(spark, tables, tmp_path):
+    """A dictionary is counted from blocks once a segment, with one shuffle; a merge adds up those it replaces."""
+    _, docs, _, _ = tables
+    index = I.LexicalIndex(spark, str(tmp_path / "index"))
+    for part in range(2):
+        index = index.append(docs.where(F.col("id") % 2 == part))
+    counted, written = [], index._write
+    index._write = lambda blocks, docs, ranges, others, terms=None: counted.append(terms) or written(blocks, docs, ranges, others, terms)
+    merged = index.merge()
+    assert "list" not in counted[0].columns and not any("/blocks" in f for f in counted[0].inputFiles())
+    whole = I.build_index(docs, str(tmp_path / "whole"))
+    assert sorted(map(tuple, merged.terms().collect())) == sorted(map(tuple, whole.terms().collect()))
+
+
+def test_hybrid_lists_share_the_postings(spark):
+    """Both lists are cut from one shuffle of the postings."""
+    from tableseek.plans import QUERIES
+
+    fused = QUERIES["hybrid_ranks"](spark, "/root/testdata/sf0.01")
+    fused.collect()
+    plan = fused._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    moved = [p for p in plan.split("\n") if "hashpartitioning(place" in p]
+    assert len(moved) == 1 and "ReusedExchange" in plan
