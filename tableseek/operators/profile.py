@@ -121,6 +121,23 @@ def key_columns(cells: DataFrame) -> DataFrame:
     return counted.withColumn("key_like", F.col("is_fk") | T.is_key_header("header"))
 
 
+def key_columns_in_record(tables: DataFrame) -> DataFrame:
+    """As key_columns, for nested tables (table_id, columns) that fit one record; cells are not moved."""
+    n = lambda c: F.size(c["cells"])
+    measured = F.transform(
+        "columns",
+        lambda c, i: F.struct(
+            i.alias("col_idx"),
+            c["header"].alias("header"),
+            c["is_foreign_key"].alias("is_fk"),
+            F.when(n(c) > 0, F.round(F.size(F.array_distinct(F.array_compact(c["cells"]))) / n(c), 6)).alias("distinct_ratio"),
+        ),
+    )
+    # the outer form with a test: the plain one would have all columns measured twice, for a test of the list's size
+    counted = tables.select("table_id", F.inline_outer(measured)).filter("distinct_ratio IS NOT NULL")
+    return counted.withColumn("key_like", F.col("is_fk") | T.is_key_header("header"))
+
+
 def attractors(matches: DataFrame, target: Sequence[str], source: str, n: int) -> DataFrame:
     """Columns most often matched first, with distinct sources and overall totals."""
     pairs = matches.groupBy(*target, source).agg(F.count("*").alias("_n"))

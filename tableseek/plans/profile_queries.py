@@ -14,6 +14,7 @@ from tableseek.plans.lowering import (
     order_cells,
     qrels,
     questions,
+    whole_tables,
 )
 from tableseek.plans.registry import load, query
 from tableseek.session import scratch_path
@@ -146,8 +147,10 @@ SELECT header, count(*) AS n_columns, count(*) FILTER (WHERE header IN ('partkey
   round(avg(distinct_ratio), 4) AS mean_ratio FROM c GROUP BY header""",
 )
 def key_share(spark, d):
-    cells = order_cells(spark, d, None).withColumn("is_foreign_key", F.col("header").isin("partkey", "suppkey"))
-    columns = P.key_columns(cells)
+    tables, cells = whole_tables(spark, d)
+    columns = P.key_columns_in_record(tables)
+    if cells is not None:
+        columns = columns.unionByName(P.key_columns(cells))
     return columns.groupBy("header").agg(
         F.count("*").alias("n_columns"),
         F.count_if("key_like").alias("n_key_like"),
